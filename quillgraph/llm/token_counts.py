@@ -14,7 +14,7 @@ from quillgraph.llm.common import documents
 
 MARK = "▁"
 #: States of a worker's transducer, and memoised words; beyond, it is compiled anew.
-STATES, WORDS = 120_000, 300_000
+STATES, WORDS = 300_000, 500_000
 #: Characters of a chunk whose state map is computed by itself.
 CHUNK = 1 << 15
 
@@ -38,7 +38,7 @@ class Transducer:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.starts = {p[:k] for p in scores for k in range(1, len(p) + 1)}
-        self.whole: dict[str, bool] = {}
+        self.made_of: dict[str, tuple[str, str] | None] = {}
         self.beside: dict[tuple, bool] = {}
         self.words: dict[str, int] = {}
         self.reset()
@@ -73,16 +73,55 @@ class Transducer:
         """Tokens of a part: one, or its bytes where the vocabulary lacks it."""
         return 1 if part in self.scores else len(part.encode())
 
+    def halves(self, part: str) -> tuple[str, str] | None:
+        """The two parts whose joining makes an entry; None for a single character, or if merges never make it."""
+        if part in self.made_of:
+            return self.made_of[part]
+        found = None
+        if len(part) > 1 and self.merges(part) == [part]:
+            low = self.scores[part]
+            # without the entry itself, merges stop at its two halves
+            del self.scores[part]
+            rest = self.merges(part)
+            self.scores[part] = low
+            found = (rest[0], rest[1]) if len(rest) == 2 else None
+        self.made_of[part] = found
+        return found
+
     def may_follow(self, before: str | None, part: str) -> bool:
-        if (alone := self.whole.get(part)) is None:
-            alone = self.whole[part] = len(part) == 1 or self.merges(part) == [part]
-        if not alone or before is None:
-            return alone
+        """Whether merges leave the two side by side.
+
+        Their last merges are undone, the worse-scored first. What then meets at
+        the border must not form an entry that scores better than the merge that
+        was undone last: that pair would have joined before. Of equal scores the
+        left pair joins first.
+        """
+        if len(part) > 1 and not self.halves(part):
+            return False
+        if before is None:
+            return True
         key = (before, part)
-        if (found := self.beside.get(key)) is None:
-            if len(self.beside) > 4 * STATES:
-                self.beside.clear()
-            found = self.beside[key] = self.merges(before + part) == [before, part]
+        if (found := self.beside.get(key)) is not None:
+            return found
+        score = self.scores.get
+        a, b = before, part
+        over, ties = float("-inf"), False  # a border pair above this score would have joined, or at it, with ties
+        while True:
+            s = score(a + b)
+            if s is not None and (s > over or ties and s == over):
+                found = False
+                break
+            left, right = self.halves(a), self.halves(b)
+            if left is None and right is None:
+                found = True
+                break
+            if right is None or left is not None and self.scores[a] < self.scores[b]:
+                over, ties, a = self.scores[a], False, left[1]
+            else:
+                over, ties, b = self.scores[b], True, right[0]
+        if len(self.beside) > 2 * STATES:
+            self.beside.clear()
+        self.beside[key] = found
         return found
 
     def make(self, state: int, char: str) -> tuple[int, int]:

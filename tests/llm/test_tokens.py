@@ -119,7 +119,7 @@ def test_packing(odd_docs, sf_docs, width):
     for frame in (odd_docs.repartition(1), sf_docs):
         rows = packing.pack(frame, P.path("byte_bpe_50k.json"), P.PATTERN, width).collect()
         lost = check_packing(frame, rows, width)
-        assert lost < (0.01 if width == 2048 else 0.1)
+        assert lost < (0.01 if width == 2048 else 0.2)
 
 
 def test_packing_blocks(sf_docs, monkeypatch):
