@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
@@ -20,7 +21,23 @@ from quillgraph.llm.common import documents
 #: Characters of a chunk, and of what it shares with the next.
 CHUNK, OVERLAP = 1 << 15, 1 << 8
 #: Entries of a worker's memo of encoded pieces; it starts anew beyond.
-MEMO = 300_000
+MEMO = 500_000
+
+
+class _Memo(dict):
+    """Packed 32-bit ids of pieces that begin and end at pre-token boundaries."""
+
+    def __init__(self, coder: Bpe):
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        words = self.coder.pattern.findall(piece)
+        if len(words) > 1:
+            found = b"".join(map(self.__getitem__, words))
+        else:
+            found = array("I", self.coder.merge(piece.encode())).tobytes()
+        self[piece] = found
+        return found
 
 
 class Bpe:
@@ -33,7 +50,7 @@ class Bpe:
         for piece, rank in ranks.items():
             self.token[rank] = piece
         self.text_of = [str(i) for i in range(len(self.token))]
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of the lowest rank merges, leftmost first, until none is left."""
@@ -107,18 +124,6 @@ class Bpe:
                 del cuts[bisect_left(cuts, high - 2) :]
         return [text[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def encode_piece(self, piece: str) -> bytes:
-        """Ids of a piece that begins and ends at pre-token boundaries, as packed 32-bit integers."""
-        found = self.memo.get(piece)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            ids = array("I")
-            for word in self.pattern.findall(piece):
-                ids.extend(self.merge(word.encode()))
-            found = self.memo[piece] = ids.tobytes()
-        return found
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as unsigned 32-bit integers.
 
@@ -126,7 +131,10 @@ class Bpe:
         space always begins a pre-token; what lies between two such places is
         encoded by itself and memoised.
         """
-        return np.frombuffer(b"".join(map(self.encode_piece, self.pieces(text))), np.uint32)
+        pieces = self.pieces(text)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.uint32)
 
     def pieces(self, text: str) -> list[str]:
         """Stretches of a text that begin and end where pre-tokens do."""
@@ -148,7 +156,7 @@ class Bpe:
         return " ".join(map(self.text_of.__getitem__, ids.tolist()))
 
 
-_RUN = regex.compile(r" \s")
+_RUN = re.compile(r" \s")
 _EDGE = regex.compile(r" (?=\S)")
 
 
