@@ -38,7 +38,7 @@ class Models:
         table = np.empty((self.tree.size, 256, len(langs)), np.float32)
         for k, lang in enumerate(langs):
             table[:, :, k] = self._compile(counts.get(lang))
-        self.table = table.reshape(-1, len(langs))
+        self.table = table.reshape(self.tree.size * 256, len(langs))
 
     @staticmethod
     def _contexts(counts: list, most: int) -> list[np.ndarray]:
