@@ -34,12 +34,14 @@ def exact_groups(docs: DataFrame, prefix: int = 64) -> DataFrame:
         "texts",
     )
     # length and prefix: what stands alone here has no equal
-    coarse = rows.groupBy("n", "head").agg(F.count("*").alias("rows")).filter("rows > 1").select("n", "head")
+    # (both small tables are written, so that the joins read shuffles directly and Spark may split a hot key)
+    coarse = materialize(rows.groupBy("n", "head").agg(F.count("*").alias("rows")).filter("rows > 1").select("n", "head"), "coarse")
     shared = rows.join(coarse, ["n", "head"], "left_semi")
     order = F.struct(F.col("points"), F.col("doc_id").isNotNull(), -F.col("doc_id"))
     # by the full hash alone: the join's partitions don't fit it, so each task sums first and the join may be split
     groups = shared.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max_by("doc_id", order).alias("keep_id")).filter("group_size > 1")
-    joined = rows.join(groups.select("text_sha256", "group_size", "keep_id", F.lit(True).alias("grouped")), "text_sha256", "left")
+    groups = materialize(groups.withColumn("grouped", F.lit(True)), "groups")
+    joined = rows.join(groups, "text_sha256", "left")
     keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id",
