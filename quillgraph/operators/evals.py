@@ -1,0 +1,146 @@
+"""Measures: recall, precision, strata, intervals, percentiles, scores and cost."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as X
+
+
+def recall_at(ids: Column | str, gold: Column | str, k: int) -> Column:
+    """Share of the gold ids among the first k; null without gold."""
+    return F.try_divide(F.size(F.array_intersect(F.slice(ids, 1, k), gold)).cast("double"), F.size(gold))
+
+
+def grounding(cited: Column | str, gold: Column | str) -> Column:
+    """Share of the cited ids that are gold; null where either is empty."""
+    return F.when((F.size(cited) > 0) & (F.size(gold) > 0), F.size(F.array_intersect(cited, gold)) / F.size(cited))
+
+
+def strata(hops: Column, category: Column, source: Column) -> Column:
+    """Labels of the overlapping slices of a question."""
+    aggregation = category.eqNullSafe(F.lit("aggregation"))
+    plain = [F.when((hops == n) & ~aggregation, f"{n}-hop") for n in (1, 2, 3)]
+    return F.array_compact(F.array(*plain, F.when(aggregation, "aggregation"), F.when(source == "hand", "hand"), F.when(hops == 0, "out-of-scope"), F.lit("all")))
+
+
+def by_stratum(rows: DataFrame, value: str) -> DataFrame:
+    """stratum, n, mean of a value over rows(…, strata); nulls don't count."""
+    return rows.select(F.explode("strata").alias("stratum"), value).groupBy("stratum").agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def micro_prf(found: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: tp, fp, fn, precision, recall, f1 of two sets of rows, case aside."""
+    from quillgraph.operators.resolve import prf
+
+    folded = [X.fold(F.col(k).cast("string")).alias(k) for k in keys]
+    both = found.select(*folded).distinct().withColumn("f", F.lit(1)).join(gold.select(*folded).distinct().withColumn("g", F.lit(1)), keys, "full")
+    return prf(both.agg(F.count_if(F.col("f").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn")))
+
+
+def index_p95(value: Column | str) -> Column:
+    """The element at int(n * 0.95) - 1 of the ascending values; of a single one, that."""
+    ordered = F.sort_array(F.collect_list(value))
+    return F.try_element_at(ordered, F.greatest(F.floor(F.size(ordered) * 0.95).cast("int"), F.lit(1)))
+
+
+def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, median, p95, mean. Counts of equal values are summed first, so a group of any size is ranked by its distinct values."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by).orderBy(value)
+    ranked = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("c").over(Window.partitionBy(*by)))
+
+    def at(position: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= position, F.col(value)))
+
+    low, high = at(F.floor((F.col("total") + 1) / 2)), at(F.floor(F.col("total") / 2) + 1)
+    p95 = at(F.greatest(F.floor(F.col("total") * 0.95), F.lit(1)))
+    mean = F.sum(F.col(value) * F.col("c")) / F.sum("c")
+    return ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.round((low + high) / 2, 6).alias("median"), F.round(p95, 6).alias("p95"), F.round(mean, 6).alias("mean"))
+
+
+def bootstrap(diffs: DataFrame, slices: list[str], rounds: int = 10_000, seed: int = 0) -> DataFrame:
+    """stratum, n, delta, low, high, significant: intervals of the mean paired difference, from diffs(stratum, ord, diff).
+
+    One generator serves the slices in the order given, so the figures are those
+    of a serial run. The evaluation set is small by nature: one row a question.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng, out = random.Random(seed), []
+        for name in slices:
+            values = pdf[pdf["stratum"] == name].sort_values("ord")["diff"].tolist()
+            if not values:
+                continue
+            n = len(values)
+            means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(rounds))
+            low, high = means[int(rounds * 0.025)], means[int(rounds * 0.975)]
+            out.append((name, n, sum(values) / n, low, high, not low <= 0 <= high))
+        return pd.DataFrame(out, columns=["stratum", "n", "delta", "low", "high", "significant"])
+
+    schema = "stratum string, n long, delta double, low double, high double, significant boolean"
+    return diffs.groupBy(F.lit(0).alias("one")).applyInPandas(run, schema)
+
+
+def key_score(hops: Column, category: Column, refused: Column, expected: Column, expected_count: Column, answer: Column) -> Column:
+    """1 or 0 by the question's key; null where it has none."""
+    numbers = X.stated_numbers(answer)
+    named = X.names_it(answer, F.transform(expected, X.normalize))
+    return (
+        F.when(hops == 0, F.when(refused, 1.0).otherwise(0.0))
+        .when(category.eqNullSafe(F.lit("aggregation")), F.when(~refused & F.array_contains(numbers, expected_count), 1.0).otherwise(0.0))
+        .when(F.coalesce(F.size(expected), F.lit(0)) == 0, F.lit(None).cast("double"))
+        .otherwise(F.when(~refused & named, 1.0).otherwise(0.0))
+    )
+
+
+def verdict(hops: Column, refused: Column, judged: Column) -> Column:
+    """The verdict where the kind of question settles it, else the judge's."""
+    return F.when(refused & (hops == 0), "correct").when(refused, "refused").when(hops == 0, "incorrect").otherwise(judged)
+
+
+def shifted(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Each row with the next row's value, the last one with the first's: pairs that should not match."""
+    w = Window.orderBy(*order)
+    return rows.withColumn("other", F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+
+
+def cost(calls: DataFrame, prices: DataFrame, default_in: float, default_out: float) -> DataFrame:
+    """model, n_calls, tokens_in, tokens_out, usd of calls(model, tokens_in, tokens_out) by prices(model, usd_in, usd_out) a million."""
+    sums = calls.groupBy("model").agg(F.count("*").alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    usd = (F.col("tokens_in") * F.coalesce("usd_in", F.lit(default_in)) + F.col("tokens_out") * F.coalesce("usd_out", F.lit(default_out))) / 1e6
+    return sums.join(F.broadcast(prices), "model", "left").select("model", "n_calls", "tokens_in", "tokens_out", F.round(usd, 6).alias("usd"))
+
+
+def citation_report(answers: DataFrame) -> DataFrame:
+    """One row of counts over answers(answerable, claims, cited, invented, attempts, reformatted)."""
+    return answers.agg(
+        F.count_if("answerable").alias("answered"),
+        F.coalesce(F.sum(F.size("claims")), F.lit(0)).alias("claims"),
+        F.coalesce(F.sum(F.size("cited")), F.lit(0)).alias("citations"),
+        F.coalesce(F.sum(F.size(F.filter("claims", lambda c: F.size(c["citations"]) == 0))), F.lit(0)).alias("uncited"),
+        F.coalesce(F.sum(F.size("invented")), F.lit(0)).alias("invented"),
+        F.count_if(F.col("attempts") > 1).alias("repaired"),
+        F.count_if("reformatted").alias("reformatted"),
+    )
+
+
+def floor_gate(scores: DataFrame, least: float = 0.35) -> float:
+    """Mean recall of single-hop questions of scores(hops, category, recall); raises below ``least`` or without any."""
+    mean = scores.filter("hops = 1 and not (category <=> 'aggregation')").agg(F.avg("recall")).first()[0]
+    if mean is None:
+        raise ValueError("no single-hop questions")
+    if mean < least:
+        raise ValueError(f"recall {mean:.3f} is under {least}")
+    return mean
+
+
+def markdown(rows: Iterable, header: list[str]) -> str:
+    """Rows as a Markdown table."""
+    lines = ["| " + " | ".join(header) + " |", "|" + "---|" * len(header)]
+    return "\n".join(lines + ["| " + " | ".join("—" if v is None else str(v) for v in row) + " |" for row in rows])
