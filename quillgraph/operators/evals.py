@@ -104,10 +104,11 @@ def verdict(hops: Column, refused: Column, judged: Column) -> Column:
     return F.when(refused & (hops == 0), "correct").when(refused, "refused").when(hops == 0, "incorrect").otherwise(judged)
 
 
-def shifted(rows: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Each row with the next row's value, the last one with the first's: pairs that should not match."""
-    w = Window.orderBy(*order)
-    return rows.withColumn("other", F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+def shifted(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Each row with the value of the next row of its group, the last one with the first's: pairs that should not match."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("other", F.coalesce(F.lead(value).over(w), first))
 
 
 def cost(calls: DataFrame, prices: DataFrame, default_in: float, default_out: float) -> DataFrame:

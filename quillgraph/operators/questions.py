@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.runtime import numbered
 from quillgraph.schemas import closed
 
 
@@ -44,17 +45,16 @@ def merged(mined: DataFrame) -> DataFrame:
 
 
 def sample_strided(rows: DataFrame, order: list[str], want: int) -> DataFrame:
-    """``want`` rows at an even stride of the given order."""
+    """``want`` rows at an even stride of the given order, with their place."""
+    ranked = numbered(rows, order)
     total = rows.count()
-    places = [int(i * total / want) for i in range(want)] if want < total else None
-    ranked = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    return ranked if places is None else ranked.filter(F.col("place").isin(places))
+    return ranked if want >= total else ranked.filter(F.col("place").isin([int(i * total / want) for i in range(want)]))
 
 
 def ids(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """qid: a prefix and the row's number in three digits."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("qid", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 3, "0")))
+    """qid: a prefix and the row's number in three digits or more."""
+    n = F.col("place").cast("string")
+    return numbered(rows, order).withColumn("qid", F.concat(F.lit(prefix), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))).drop("place")
 
 
 def known(questions: DataFrame, chunks: DataFrame) -> DataFrame:

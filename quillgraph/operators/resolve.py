@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as X
 from quillgraph.functions.vectors import cosine
 from quillgraph.operators.components import connected_components
+from quillgraph.runtime import numbered
 
 TAU, FLOOR, BUCKET = 0.88, 0.67, 400
 
@@ -117,11 +118,10 @@ def listed_pairs(exhibits: DataFrame) -> DataFrame:
 
 def mine_pairs(hand: DataFrame, declared: DataFrame, listed: DataFrame, negatives: int = 220) -> DataFrame:
     """a, b, same, source: hand labels kept, declared ones regenerated, and an even stride of listed ones as negatives."""
-    w = Window.orderBy("a", "b", "source")
-    pool = listed.distinct().withColumn("i", F.row_number().over(w) - 1)
+    pool = listed.distinct()
     total = pool.count()
-    stride = max(1.0, total / max(1, negatives))
-    chosen = pool.filter(F.floor(F.floor(F.ceil(F.col("i") / stride) * stride)) == F.col("i")).limit(negatives)
+    places = range(total) if total <= negatives else [int(i * total / negatives) for i in range(negatives)]
+    chosen = numbered(pool, ["a", "b", "source"]).filter(F.col("place").isin(list(places)))
     every = (
         hand.select("a", "b", "same", F.lit("hand").alias("source"), F.lit(0).alias("rank"))
         .unionByName(declared.select("a", "b", F.lit(True).alias("same"), F.lit("alias-declaration").alias("source"), F.lit(1).alias("rank")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are broadcast at once; more take further passes over the corpus.
 QUERIES = 8192
-CELLS, PROBES, SAMPLE = 64, 16, 20_000
+CELLS, PROBES, SAMPLE = 64, 40, 20_000
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quillgraph.plans import eval_queries, graph_queries, text_queries
+
+PARTS = (graph_queries.query, text_queries.query, eval_queries.query)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in PARTS for k, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.sql.items()}

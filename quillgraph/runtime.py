@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents can be long, so batches stay short.
 ARROW_ROWS = 512
@@ -60,3 +61,21 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """df with each row's number from 0 in the given order, without gathering all rows in one task.
+
+    Rows are dealt by ranges of the order and numbered within each; what lies
+    before a range is the sum of the smaller ranges' counts, one number a range.
+    """
+    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_range", F.spark_partition_id())
+    kept = materialize(dealt, "ranges")
+    counts = sorted((r["_range"], r["n"]) for r in kept.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    start = F.create_map(*before)[F.col("_range")] if before else F.lit(0)
+    return kept.withColumn(name, (own + start - 1).cast("long")).drop("_range")
