@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.runtime import materialize
 from quillgraph.schemas import closed
 
 
@@ -119,9 +120,14 @@ def shared_neighbour(edges: DataFrame, predicate: str, allowed, most: int, examp
     An equi-join on the subject with a < b; counts are summed in tasks first.
     """
     e = edges.filter(F.col("predicate") == closed(predicate, allowed)).select("subject_id", "object_id").distinct()
-    pairs = e.select("subject_id", F.col("object_id").alias("a")).join(e.select("subject_id", F.col("object_id").alias("b")), "subject_id").filter("a < b")
-    top = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(most)
-    shown = pairs.join(F.broadcast(top.select("a", "b")), ["a", "b"]).groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_list("subject_id")), 1, examples).alias("examples"))
+
+    def pairs(of: DataFrame) -> DataFrame:
+        return of.select("subject_id", F.col("object_id").alias("a")).join(of.select("subject_id", F.col("object_id").alias("b")), "subject_id").filter("a < b")
+
+    top = materialize(pairs(e).groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(most), "top")
+    ends = top.select(F.explode(F.array("a", "b")).alias("object_id")).distinct()  # twice ``most`` at most
+    few = e.join(F.broadcast(ends), "object_id", "left_semi")
+    shown = pairs(few).join(F.broadcast(top.select("a", "b")), ["a", "b"]).groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_list("subject_id")), 1, examples).alias("examples"))
     return top.join(shown, ["a", "b"])
 
 
