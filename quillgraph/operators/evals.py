@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.runtime import numbered
 
 
 def recall_at(ids: Column | str, gold: Column | str, k: int) -> Column:
@@ -50,18 +51,18 @@ def index_p95(value: Column | str) -> Column:
 
 
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n, median, p95, mean. Counts of equal values are summed first, so a group of any size is ranked by its distinct values."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("c").over(Window.partitionBy(*by)))
-
-    def at(position: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= position, F.col(value)))
-
-    low, high = at(F.floor((F.col("total") + 1) / 2)), at(F.floor(F.col("total") / 2) + 1)
-    p95 = at(F.greatest(F.floor(F.col("total") * 0.95), F.lit(1)))
-    mean = F.sum(F.col(value) * F.col("c")) / F.sum("c")
-    return ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.round((low + high) / 2, 6).alias("median"), F.round(p95, 6).alias("p95"), F.round(mean, 6).alias("mean"))
+    """by, n, median, p95, mean, exactly.
+
+    Rows are numbered by ranges of group and value, so a group of any size is
+    spread over tasks; the wanted places are then looked up by a join.
+    """
+    placed = numbered(rows.filter(F.col(value).isNotNull()).select(*by, value), [*by, value])
+    groups = placed.groupBy(*by).agg(F.count("*").alias("n"), F.min("place").alias("first"), F.avg(value).alias("mean"))
+    wanted = {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1, "p95": F.greatest(F.floor(F.col("n") * 0.95), F.lit(1))}
+    asked = groups.select(*by, "n", "mean", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), (F.col("first") + at - 1).cast("long").alias("place")) for k, at in wanted.items()])).alias("w"))
+    found = asked.select(*by, "n", "mean", "w.*").join(placed.select("place", F.col(value).alias("_value")), "place")
+    low, high, p95 = (F.max(F.when(F.col("what") == k, F.col("_value"))) for k in wanted)
+    return found.groupBy(*by).agg(F.first("n").alias("n"), F.round((low + high) / 2, 6).alias("median"), F.round(p95, 6).alias("p95"), F.round(F.first("mean"), 6).alias("mean"))
 
 
 def bootstrap(diffs: DataFrame, slices: list[str], rounds: int = 10_000, seed: int = 0) -> DataFrame:

@@ -27,22 +27,24 @@ def _top(spark, corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int,
 
     def run(batches):
         qid, q = shared.value
-        best: list[list] = [[] for _ in qid]
+        # what is kept: query's row, negated similarity, id; k rows a query at most
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        worst = np.full(len(qid), np.inf)
         for batch in batches:
             own = batch.column("id").to_numpy()
-            score = np.round(q @ _unit(_matrix(batch.column("embedding"), width)).T, 6)
+            far = -np.round(q @ _unit(_matrix(batch.column("embedding"), width)).T, 6)
             if not_self:
-                score[qid[:, None] == own[None, :]] = -2
-            for row in range(len(qid)):
-                s = score[row]
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    at = np.flatnonzero(s >= least)
-                else:
-                    at = np.arange(len(s))
-                best[row] = sorted(best[row] + [(-s[i], own[i]) for i in at if s[i] > -2])[:k]
-        out = [(int(qid[n]), int(i), float(-s)) for n, found in enumerate(best) for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "id", "similarity"])
+                far[qid[:, None] == own[None, :]] = 3
+            row, column = np.nonzero((far <= worst[:, None]) & (far < 3))
+            row, key, ids = np.concatenate((best[0], row)), np.concatenate((best[1], far[row, column])), np.concatenate((best[2], own[column]))
+            order = np.lexsort((ids, key, row))
+            row, key, ids = row[order], key[order], ids[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = place < k
+            best = row[kept], key[kept], ids[kept]
+            full = place == k - 1
+            worst[row[full]] = key[full]
+        yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]].astype(np.int64)), pa.array(best[2]), pa.array(-best[1])], ["query_id", "id", "similarity"])
 
     return corpus.select("id", "embedding").mapInArrow(run, "query_id long, id long, similarity double")
 
