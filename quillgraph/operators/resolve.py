@@ -94,6 +94,11 @@ def entities(records: DataFrame, matched: DataFrame) -> DataFrame:
     return grouped.select(X.digest("type", "low").alias("canonical_id"), "type", "name", F.array_except("every", F.array("name")).alias("aliases"), "mention_chunks", "mention_count")
 
 
+def largest(built: DataFrame, n: int = 8) -> DataFrame:
+    """The entities with most aliases, ties by id."""
+    return built.select("canonical_id", "name", F.size("aliases").alias("n_aliases")).orderBy(F.desc("n_aliases"), "canonical_id").limit(n)
+
+
 def _unordered(rows: DataFrame, order: list) -> DataFrame:
     """The first of rows(a, b, …) for each unordered pair of norms, by order; equal and empty norms go."""
     rows = rows.withColumns({"na": X.normalize("a"), "nb": X.normalize("b")}).filter("na <> nb and na <> '' and nb <> ''")

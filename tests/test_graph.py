@@ -114,6 +114,7 @@ def test_entities(spark):
     one = built["Company", "Blue River Mining"]
     assert one.aliases == ["BRM", "Blue River Mining Inc."] and one.mention_chunks == ["c1", "c2", "c3"] and one.mention_count == 8
     assert len({x.canonical_id for x in built.values()}) == 3
+    assert [x.n_aliases for x in resolve.largest(resolve.entities(r, resolve.matches(r, none, marks)), 1).collect()] == [2]
     for order in (("Blue River Mining", "BRM"), ("BRM", "Blue River Mining")):
         no = spark.createDataFrame([(*order, False)], "a string, b string, same boolean")
         rules = {(x.i, x.j): x.rule for x in resolve.matches(r, no, marks).collect()}
