@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,6 +55,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a context.
+
+    Nothing is done where they have it: on PYTHONPATH, or sent by ``--py-files``.
+    The archive lies in the shared folder, so executors that start later get it too.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(here)
+    context = spark.sparkContext
+    on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if not os.path.isdir(here) or root in on_path or f"{name}.zip" in context._python_includes:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(here):
+            for file in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, file)
+                archive.write(full, os.path.relpath(full, root))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/package-{uuid.uuid4().hex}/{name}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder as Parquet and read it again.
 
