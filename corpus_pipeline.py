@@ -37,8 +37,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near duplicates."""
-    return _without(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
+    """One of each group of near duplicates, by shingles of five words."""
+    return _without(docs, simhash.near_duplicates(docs, width=5, radius=4).filter("doc_id <> component_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

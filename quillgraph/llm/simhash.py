@@ -20,7 +20,7 @@ TILE = 2048
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
+def fingerprint(text: bytes, width: int = 5) -> int:
     """64 bits: each is 1 if set in over half of the hashes of a text's word shingles. 0 for no words."""
     words = text.lower().split()
     if not words:
@@ -33,7 +33,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id and fp, a signed 64-bit number, for each row of docs(doc_id, text)."""
 
     def run(batches):
@@ -162,7 +162,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for each row of docs(doc_id, text).
 
     Fingerprints link if at most ``radius`` bits differ; component_id is the

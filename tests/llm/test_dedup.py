@@ -63,7 +63,7 @@ def test_near_duplicates(odd_docs, sf_docs, no_docs):
     for frame in (odd_docs, sf_docs, no_docs):
         items = [(r.doc_id, brute_print(r.text)) for r in frame.collect()]
         want = sorted(((i, f"{f:016x}", c) for (i, f), c in zip(items, brute_components(items, 4))), key=str)
-        assert sorted(map(tuple, simhash.near_duplicates(frame).collect()), key=str) == want
+        assert sorted(map(tuple, simhash.near_duplicates(frame, width=4, radius=4).collect()), key=str) == want
 
 
 def planted(seed, n):
