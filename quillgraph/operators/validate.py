@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions import text as X
+from quillgraph.runtime import materialize
 from quillgraph.schemas import RISK_TOPICS
 
 REASONS = ("unknown_endpoint", "self_loop", "type_signature", "evidence_not_found", "unknown_risk_topic")
+#: Most neighbouring words by which a quotation is looked up, and quotations of one or two words that one pass looks for.
+RUN, BLOCK = 8, 256
 
 
 def supported(evidence: Column | str, text: Column | str, strict: bool = False) -> Column:
@@ -55,3 +61,44 @@ def dropped(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
     total = rows.agg(F.count("*").alias("total"))
     return counts.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("reason", "n", F.round(F.try_divide("n", "total"), 6).alias("share"))
+
+
+def _runs(words: Column, start: Column, n: int) -> Column:
+    """The hash of n neighbouring words."""
+    return F.xxhash64(F.lit(n), F.slice(words, start, F.lit(n)))
+
+
+def _all_runs(words: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+    return F.when(F.size(words) >= n, F.transform(starts, lambda i: _runs(words, i, n))).otherwise(F.array().cast("array<bigint>"))
+
+
+def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """item_id, doc_id: which texts of docs(doc_id, text) hold which of quotes(item_id, text) whole, white space and case aside.
+
+    A quotation's first and last word may be parts of a text's words, those
+    between can't: up to RUN of them are looked up among the texts' own runs of
+    as many words, by an equi-join of hashes, and only what that finds is
+    compared. Quotations of one or two words have none between; they are looked
+    for in every text, BLOCK of them a pass. An empty one is in every text. Null
+    texts and null ids have no part; repeated rows count as often as they occur.
+    """
+    d = docs.select("doc_id", X.squash("text").alias("whole")).filter("whole is not null and doc_id is not null")
+    words = F.split("quote", " ")
+    q = quotes.select("item_id", X.squash("text").alias("quote")).filter("quote is not null and item_id is not null")
+    q = materialize(q.withColumn("between", F.least(F.size(words) - 2, F.lit(RUN))), "quotes")
+    found = docs.sparkSession.createDataFrame([], T.StructType([q.schema["item_id"], d.schema["doc_id"]]))
+    lengths = [r.between for r in q.filter("between > 0").select("between").distinct().collect()]  # RUN at most
+    if lengths:
+        own = d.select("doc_id", F.split("whole", " ").alias("w"))
+        own = own.select("doc_id", F.explode(F.array_distinct(F.concat(*[_all_runs(F.col("w"), n) for n in lengths]))).alias("run"))
+        asked = F.lit(None).cast("long")
+        for n in lengths:
+            asked = F.when(F.col("between") == n, _runs(words, F.lit(2), n)).otherwise(asked)
+        pairs = own.join(q.filter("between > 0").select("item_id", asked.alias("run")), "run").select("doc_id", "item_id").distinct()
+        found = found.unionByName(pairs.join(d, "doc_id").join(q.select("item_id", "quote"), "item_id").filter(F.contains("whole", "quote")).select("item_id", "doc_id"))
+    short = q.filter("between <= 0")
+    for block in batched((r.quote for r in short.select("quote").distinct().toLocalIterator()), BLOCK):
+        held = d.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, block)), lambda t: F.contains("whole", t))).alias("quote"))
+        found = found.unionByName(held.join(short, "quote").select("item_id", "doc_id"))
+    return found

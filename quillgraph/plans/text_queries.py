@@ -41,19 +41,8 @@ def text_clean(spark, sf_dir):
 @query(r"""SELECT item_id, doc_id FROM benchmark b JOIN documents d
 ON contains(lower(trim(regexp_replace(d.text, '[ \t\n]+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '[ \t\n]+', ' ', 'g'))))""")
 def evidence_check(spark, sf_dir):
-    """Passages that a document quotes whole.
-
-    Eight words of each passage are looked for among the documents' own runs of
-    eight, by an equi-join of ids; only the pairs that it finds are compared.
-    """
-    b = table(spark, sf_dir, "benchmark").select("item_id", X.squash("text").alias("quote"))
-    d = table(spark, sf_dir, "documents").select("doc_id", X.squash("text").alias("whole"))
-    run = lambda w, i: F.xxhash64(F.slice(w, i, 8))
-    words = F.split("whole", " ")
-    runs = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: run(F.col("w"), i)))).alias("run"))
-    asked = b.select("item_id", run(F.split("quote", " "), 2).alias("run"))
-    pairs = runs.join(asked, "run").select("doc_id", "item_id").distinct()
-    return pairs.join(d, "doc_id").join(b, "item_id").filter(F.contains("whole", "quote")).select("item_id", "doc_id")
+    """Passages that a document quotes whole."""
+    return validate.quoted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _triples(spark, sf_dir):

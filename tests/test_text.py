@@ -132,3 +132,20 @@ def test_last_type_of_a_name_holds(spark):
 def test_vocabulary_is_closed(value):
     with pytest.raises(ValueError):
         closed(value, [r[0] for r in RELATIONS])
+
+
+def test_quoted(spark):
+    texts = ["One  two three\nfour five six seven eight nine ten eleven.", "xone twoy", "ONE TWO", "", None, "nine", "three four", "a three four fi b"]
+    quotes = ["e two three four five six seven eight nine t", "one two", "hree four f", "nine", "", None, "five four", "three four five six", "ne two three fou"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, "nine"), (5, "nine")]
+    items = [(100 + i, t) for i, t in enumerate(quotes)] + [(None, "nine")]
+
+    def flat(t):
+        return " ".join(t.split()).lower()
+
+    want = sorted((i, d) for i, q in items for d, t in docs if None not in (i, d, q, t) and flat(q) in flat(t))
+    schema = "id long, text string, between string, quote string"
+    frames = [spark.createDataFrame([(*r, "x", "y") for r in rows], schema).withColumnRenamed("id", name) for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    assert sorted(map(tuple, validate.quoted(*frames).collect())) == want
+    for empty in ((frames[0].limit(0), frames[1]), (frames[0], frames[1].limit(0))):
+        assert validate.quoted(*empty).count() == 0
