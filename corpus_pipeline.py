@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import exact_dedup, language_id, packing, quality, simhash
+from quillgraph.llm import exact_dedup, language_id, packing, quality, shingle_join
 from quillgraph.runtime import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,8 +37,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near duplicates, by shingles of five words."""
-    return _without(docs, simhash.near_duplicates(docs, width=5, radius=4).filter("doc_id <> component_id"))
+    """One of each group of texts that links of Jaccard similarity 0.8 or more over shingles of five words join."""
+    return _without(docs, shingle_join.near_duplicates(docs, width=5).filter("doc_id <> component_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
