@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import log
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.runtime import materialize
 
-#: Words of the segmentation's unigram table and tokens of the classifier, the most frequent first; both are broadcast.
+#: Words of the segmentation's unigram table and tokens of the classifier that are broadcast, the most frequent first; the others are met by joins.
 VOCABULARY, TOKENS, LONGEST = 50_000, 100_000, 20
 #: Hosts whose words a worker remembers.
 HOSTS = 200_000
+_LABEL = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
 
 #: (verdict, host, path)
 RULES = (
@@ -53,20 +56,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Splits joined words by the most probable sequence of a unigram table; unknown stretches cost by length."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: -log(n / total) for w, n in counts.items()}
-        self.unknown = log(total)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) + 1
+        self.cost = {w: -log(n / self.total) for w, n in counts.items()}
+        self.unknown = log(self.total)
         self.hosts: dict[str, list[str]] = {}
 
-    def split(self, label: str) -> list[str]:
-        """Viterbi: the cheapest way to each place; of equal ways the one with the longer last word."""
+    def split(self, label: str, more: dict[str, float] = {}) -> list[str]:
+        """Viterbi: the cheapest way to each place; of equal ways the one with the longer last word. more: costs of words beside the table."""
         size = len(label)
         best, back = [0.0] + [float("inf")] * size, [0] * (size + 1)
         for end in range(1, size + 1):
             for start in range(max(0, end - LONGEST), end):
                 word = label[start:end]
                 cost = self.cost.get(word)
+                cost = more.get(word) if cost is None and more else cost
                 cost = best[start] + (self.unknown + 2.3 * (end - start) if cost is None else cost)
                 if cost < best[end]:
                     best[end], back[end] = cost, start
@@ -76,18 +80,24 @@ class Segmenter:
             end = back[end]
         return out[::-1]
 
-    def host(self, host: str) -> list[str]:
-        """Features of a host: its words, and its last label as a whole."""
+    def pieces(self, host: str) -> set[str]:
+        """Stretches of a host's labels that may be words outside the table."""
+        labels = {_shape(x) for x in _LABEL.split(host) if x}
+        return {x[a:b] for x in labels for a in range(len(x)) for b in range(a + 1, min(len(x), a + LONGEST) + 1)} - self.cost.keys()
+
+    def host(self, host: str, more: list[dict] | None = None) -> list[str]:
+        """Features of a host: its words, and its last label as a whole. more: word and n of its words outside the table."""
         found = self.hosts.get(host)
         if found is None:
             if len(self.hosts) > HOSTS:
                 self.hosts.clear()
-            labels = [x for x in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", host) if x]
-            found = self.hosts[host] = ["h:" + w for label in labels for w in self.split(_shape(label))] + (["t:" + labels[-1]] if labels else [])
+            labels = [x for x in _LABEL.split(host) if x]
+            costs = {x["word"]: -log(x["n"] / self.total) for x in more or ()}
+            found = self.hosts[host] = ["h:" + w for label in labels for w in self.split(_shape(label), costs)] + (["t:" + labels[-1]] if labels else [])
         return found
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        return self.host(host) + ["p:" + _shape(x) for x in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", path.lower()) if x]
+    def tokens(self, host: str, path: str, more: list[dict] | None = None) -> list[str]:
+        return self.host(host, more) + ["p:" + _shape(x) for x in _LABEL.split(path.lower()) if x]
 
 
 def _shape(token: str) -> str:
@@ -106,26 +116,44 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     path. Without urls of both kinds, all the rest are allowed. A tie allows.
 
     Words and tokens are counted in tasks first; the most frequent VOCABULARY
-    words and TOKENS tokens are broadcast, no other table. Repeated rows are
-    judged alike.
+    words and TOKENS tokens are broadcast. If there are more, the stretches of
+    each distinct host meet the other words in a join, and tokens outside the
+    head, summed per url, meet their counts in another. Repeated rows are judged
+    alike.
     """
     spark = pages.sparkSession
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word").between(1, LONGEST))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
-    segmenter = spark.sparkContext.broadcast(Segmenter(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))))
+    vocabulary = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "title_words")
+    word_kinds, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    segmenter = spark.sparkContext.broadcast(Segmenter(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist())), total))
 
     host, path = host_of(F.col("url").cast("string")), path_of(F.col("url").cast("string"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "verdict": verdict})
 
+    def stretches(batches):
+        split = segmenter.value
+        for batch in batches:
+            found = [(h, x) for h in batch.column("host").to_pylist() for x in split.pieces(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["host", "word"])
+
+    more = F.lit(None).cast("array<struct<word: string, n: bigint>>")
+    if word_kinds > VOCABULARY:
+        pieces = urls.select("host").distinct().mapInArrow(stretches, "host string, word string").join(vocabulary, "word")
+        rare = pieces.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("more"))  # a host's own stretches only
+        urls = materialize(urls.join(rare, "host", "left").select("page_id", "host", "path", "rule", "verdict", "more"), "urls")
+    else:
+        urls = urls.withColumn("more", more)
+
     def count(batches):
         split = segmenter.value
         for batch in batches:
             found: dict[tuple[str, str], int] = {}
-            for h, p, v in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict"))):
-                for t in split.tokens(h, p):
+            for h, p, v, m in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict", "more"))):
+                for t in split.tokens(h, p, m):
                     found[t, v] = found.get((t, v), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([v for _, v in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "verdict", "n"])
 
@@ -141,15 +169,30 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     prior = log(shares["block"] / shares["allow"]) if both else 0.0
     model = spark.sparkContext.broadcast((weight if both else {}, prior))
 
+    beyond = both and kinds > TOKENS
+
     def decide(batches):
         split, (odds, start) = segmenter.value, model.value
+        key = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
-            columns = {c: batch.column(c) for c in ("page_id", "host", "path", "rule")}
-            scores, verdicts = [], []
-            for h, p, v in zip(columns["host"].to_pylist(), columns["path"].to_pylist(), batch.column("verdict").to_pylist()):
-                score = None if v else sum([odds.get(t, 0.0) for t in split.tokens(h, p)], start)
-                scores.append(score)
-                verdicts.append(v or ("block" if score > 0 else "allow"))
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], [*columns, "verdict", "score"])
-
-    return urls.mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string, score double")
+            columns = {c: batch.column(c) for c in ("page_id", "host", "path", "rule", "verdict")}
+            keys, scores, tails = [], [], []
+            for h, p, v, m in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict", "more"))):
+                tokens = [] if v else split.tokens(h, p, m)
+                key += 1
+                keys.append(key)
+                scores.append(None if v else sum([odds.get(t, 0.0) for t in tokens], start))
+                tails.append([{"token": t, "k": k} for t, k in Counter(t for t in tokens if t not in odds).items()] if beyond else None)
+            tail = pa.array(tails, pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(scores, pa.float64()), pa.array(keys, pa.int64()), tail], [*columns, "score", "key", "tail"])
+
+    schema = "page_id long, host string, path string, rule string, verdict string, score double, key long, tail array<struct<token: string, k: bigint>>"
+    scored = urls.mapInArrow(decide, schema)
+    score = F.col("score")
+    if beyond:
+        scored = materialize(scored, "scores")
+        odds = F.log((F.col("block") + 1) / F.lit(float(blocks + kinds))) - F.log((F.col("allow") + 1) / F.lit(float(allows + kinds)))
+        rest = scored.select("key", F.explode("tail").alias("t")).select("key", "t.token", "t.k").join(table, "token")
+        scored = scored.join(rest.groupBy("key").agg(F.sum(F.col("k") * odds).alias("rest")), "key", "left")
+        score = score + F.coalesce("rest", F.lit(0.0))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
