@@ -11,6 +11,19 @@ from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import documents
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution."
+)
+_ADVERTISING = " All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_ENDORSE = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+
 #: Wordings by which texts state their licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -31,29 +44,39 @@ TEMPLATES = (
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     ("BSD-3-Clause", "Released under the BSD License."),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
-        "in the documentation and/or other materials provided with the distribution.",
-    ),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + _ENDORSE),
+    ("BSD-4-Clause", _BSD + _ADVERTISING + _ENDORSE),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3")),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General Public License", "3")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1")),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.0", _GNU.format("library", "Library General Public License", "2")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
@@ -61,7 +84,37 @@ TEMPLATES = (
 #: The least Dice coefficient that counts as a match.
 LEAST = 0.8
 
+#: Words, or two in a row, that tell licences of like wording apart: a stretch must have the same ones as the template.
+MARKS = {
+    ("lesser",): "lesser", ("library", "general"): "library", ("affero",): "affero",
+    ("noncommercial",): "nc", ("nc",): "nc", ("non", "commercial"): "nc", ("sharealike",): "sa", ("sa",): "sa", ("share", "alike"): "sa",
+    ("noderivatives",): "nd", ("noderivs",): "nd", ("nd",): "nd", ("no", "derivatives"): "nd", ("no", "derivs"): "nd", ("endorse",): "endorse", ("advertising",): "advertising",
+}
+#: Words that a version follows.
+VERSIONED = {"version", "v", "license", "by", "cc0", "attribution", "nc", "sa", "nd", "noncommercial", "commercial", "sharealike", "alike", "noderivatives", "noderivs", "derivatives", "derivs"}
+#: Licences whose wording starts longer ones, which win where both match.
+LONGER = {"BSD-2-Clause": {"BSD-3-Clause", "BSD-4-Clause"}, "BSD-3-Clause": {"BSD-4-Clause"}}
+
 _WORD = re.compile("[a-z0-9]+")
+_NUMBER = re.compile("v?([0-9]+)")
+
+
+def marks_of(words: list[str]) -> set[str]:
+    return {m for k in (1, 2) for x in zip(*(words[n:] for n in range(k))) if (m := MARKS.get(x))}
+
+
+def version_of(words: list[str]) -> tuple[str, ...]:
+    """The first version, without zeros at its end; empty without one."""
+    for at, word in enumerate(words):
+        number = _NUMBER.fullmatch(word)
+        if number and (word[0] == "v" or at and words[at - 1] in VERSIONED):
+            out = [number[1]]
+            while at + len(out) < len(words) and words[at + len(out)].isdigit():
+                out.append(words[at + len(out)])
+            while out and out[-1] == "0":
+                out.pop()
+            return tuple(out)
+    return ()
 
 
 class Scanner:
@@ -78,16 +131,30 @@ class Scanner:
                 self.having.setdefault(g, []).append(len(self.templates))
             # Dice is at most 2 * min / (a + b), so only stretches of these sizes can reach ``least``
             size = grams.total()
-            self.templates.append((name, grams, size, -int(-size * least / (2 - least) // 1), int(size * (2 - least) / least)))
+            self.templates.append((name, grams, size, -int(-size * least / (2 - least) // 1), int(size * (2 - least) / least), marks_of(words), version_of(words)))
         self.known = set(self.having)
 
+    @staticmethod
+    def _agrees(words: list[str], first: int, own: int, marks: set[str], version: tuple[str, ...]) -> bool:
+        """If a stretch has the template's distinguishing words and version; a version that goes on behind it counts too."""
+        end = first + own + 1
+        stretch = words[first:end]
+        if marks_of(stretch) != marks:
+            return False
+        return not version or version_of(stretch + words[end : end + 1] if stretch[-1][-1].isdigit() and words[end : end + 1] and words[end].isdigit() else stretch) == version
+
+    def _extends(self, a: tuple, b: tuple) -> bool:
+        """If match a overlaps b and is of a licence that b's wording starts."""
+        return self.templates[a[3]][0] in LONGER.get(self.templates[b[3]][0], ()) and a[2] <= b[2] - b[1] and b[2] <= a[2] - a[1]
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """Matches as (first word, number of words, licence, Dice), not overlapping, in order.
 
         Of all stretches between two shared bigrams, of a size that the bounds
         leave, the one of the highest coefficient is a match, then the next that
         doesn't overlap it; ties go to the longer, then the earlier, then the
-        first template.
+        first template. A stretch whose distinguishing words or version aren't the
+        template's is none of it.
         """
         words = _WORD.findall(text.lower())
         pairs = list(zip(words, words[1:]))
@@ -99,7 +166,7 @@ class Scanner:
                 places.setdefault(t, []).append(at)
         found = []
         for t, at in places.items():
-            _, grams, size, low, high = self.templates[t]
+            _, grams, size, low, high, marks, version = self.templates[t]
             for a, first in enumerate(at):
                 shared, got = 0, Counter()
                 for last in at[a:]:
@@ -108,8 +175,9 @@ class Scanner:
                     got[pairs[last]] += 1
                     shared += got[pairs[last]] <= grams[pairs[last]]
                     own = last - first + 1
-                    if own >= low and 2 * shared >= self.least * (own + size):
+                    if own >= low and 2 * shared >= self.least * (own + size) and self._agrees(words, first, own, marks, version):
                         found.append((-2 * shared / (own + size), -own, first, t))
+        found = [x for x in found if not any(self._extends(y, x) for y in found)] if any(self.templates[x[3]][0] in LONGER for x in found) else found
         chosen: list[tuple[int, int, str, float]] = []
         taken: set[int] = set()
         for dice, own, first, t in sorted(found):
