@@ -19,7 +19,7 @@ def bucket(column: str, of: int) -> Column:
 
 
 def documents(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id and text of docs, and further columns; whatever else docs has stays behind."""
+    """doc_id and text of docs, then the further columns; whatever else docs has stays behind."""
     short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 

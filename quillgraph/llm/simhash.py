@@ -20,19 +20,28 @@ TILE = 2048
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def fingerprint(text: bytes, width: int = 5) -> int:
-    """64 bits: each is 1 if set in over half of the hashes of a text's word shingles. 0 for no words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; a text of fewer words is one shingle, one of none has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter(map(_hash, shingles), np.uint64)
+    return np.fromiter(map(_hash, shingles), np.uint64)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits: each is 1 if set in over half of the hashes. 0 for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, width: int = 5) -> int:
+    """The SimHash of a text's word shingles."""
+    return print_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id and fp, a signed 64-bit number, for each row of docs(doc_id, text)."""
 
@@ -83,8 +92,8 @@ class BkTree:
         return new
 
 
-def _links(fps: list[int], reps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join each value of a shard to the smallest rep of its class there: one a value at most."""
+def _links(fps: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that join each of a shard's unsigned fingerprints to the smallest of its class there: one a value at most."""
     tree, root = BkTree(radius), list(range(len(fps)))
 
     def find(n):
@@ -97,11 +106,11 @@ def _links(fps: list[int], reps: list[int], radius: int) -> list[tuple[int, int]
         for m in tree.near(value):
             a, b = find(m), find(n)
             if a != b:
-                if reps[a] > reps[b]:
+                if fps[a] > fps[b]:
                     a, b = b, a
                 root[b] = a
         tree.add(value)
-    return [(reps[n], reps[r]) for n in range(len(fps)) if (r := find(n)) != n]
+    return [(value, fps[r]) for n, value in enumerate(fps) if (r := find(n)) != n]
 
 
 def _masks(radius: int, agree: int) -> list[int]:
@@ -113,29 +122,29 @@ def _masks(radius: int, agree: int) -> list[int]:
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """u, v: links between the reps of distinct(fp, rep), rep unique, that join all values within the radius.
+    """u, v: links between the values of distinct(fp) that join all values within the radius.
 
     Every two values within the radius differ in at most ``radius`` of radius + 2
     blocks of bits, so they share a shard: the values that agree in two blocks. A
-    shard is a BK-tree; it gives one link a value, to the smallest rep of its
+    shard is a BK-tree; it gives one link a value, to the smallest value of its
     class, not all pairs. A shard of more than TILE values (many near copies) is
     cut by a hash into tiles, and each two tiles get a tree, so no task holds it
     whole and no pair is lost.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in _masks(radius, 2)]
-    shards = distinct.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "bits"))
+    shards = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "bits"))
     large = shards.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("mask", "bits", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     dealt = shards.join(large, ["mask", "bits"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("mask", "bits", "fp", "rep", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "own")
-    dealt = dealt.select("mask", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "rep")
-
-    def run(batches):
-        key, fps, reps = None, [], []
+    dealt = dealt.select("mask", "bits", "fp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "own")
+    dealt = dealt.select("mask", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
 
-        def close():
-            return _links(fps, reps, radius) if len(fps) > 1 else []
+    def rows(pairs):
+        found = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
+    def run(batches):
+        key, fps = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -144,37 +153,38 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
             starts = np.concatenate(([0], np.flatnonzero(change), [batch.num_rows]))
-            fp, rep = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
+            fp = batch.column("fp").to_numpy().view(np.uint64)
             out = []
             for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 this = tuple(c[low] for c in columns)
                 if this != key:
-                    out += close()
-                    key, fps, reps = this, [], []
+                    out += _links(fps, radius) if len(fps) > 1 else []
+                    key, fps = this, []
                 fps += fp[low:high].tolist()
-                reps += rep[low:high].tolist()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
-        if out := close():
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+                yield rows(out)
+        if len(fps) > 1 and (out := _links(fps, radius)):
+            yield rows(out)
 
     keys = ["mask", "bits", "a", "b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for each row of docs(doc_id, text).
 
     Fingerprints link if at most ``radius`` bits differ; component_id is the
-    smallest doc_id that links reach. A null or empty text has fingerprint 0 and
-    links like any other. Rows with the same doc_id each get a row; a null
-    doc_id is in its fingerprint's component but never names one, unless all of
-    the component are null. Equal fingerprints are one node of the graph, so a
+    smallest doc_id that links reach, null if all ids there are null. A null or
+    empty text has fingerprint 0 and links like any other. Each row gives one
+    row: rows of one doc_id and unlike texts are in their own texts' components.
+    The graph's nodes are the distinct fingerprints, with or without ids, so a
     group of copies costs one row after partial aggregation.
     """
     rows = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "distinct")
-    found = connected_components(links(distinct, radius))
-    labels = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = connected_components(links(distinct.select("fp"), radius))
+    nodes = materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes")
+    names = materialize(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "names")
+    labels = materialize(nodes.join(names, "component").select("fp", "component_id"), "labels")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(labels, "fp", "left").select("doc_id", hexed, "component_id")
+    return rows.join(labels, "fp").select("doc_id", hexed, "component_id")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from quillgraph.llm import exact_dedup, simhash
@@ -14,8 +15,8 @@ def brute_exact(rows):
         groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), i is None, i or 0, i))
     out = []
     for bare, members in groups.items():
-        keep = min(members)[3]
-        out += [(m[3], keep, len(members), m[3] == keep, hashlib.sha256(bare.encode()).hexdigest()) for m in members]
+        members.sort(key=lambda m: m[:3])
+        out += [(m[3], members[0][3], len(members), n == 0, hashlib.sha256(bare.encode()).hexdigest()) for n, m in enumerate(members)]
     return sorted(out, key=str)
 
 
@@ -25,6 +26,15 @@ def test_exact_groups(odd_docs, sf_docs, no_docs):
         assert sorted(map(tuple, exact_dedup.exact_groups(frame).collect()), key=str) == brute_exact(rows)
 
 
+def test_one_row_stays_of_repeated_ones(spark):
+    """Rows that share ids: of each text one row is kept, and no other text goes with it."""
+    rows = [(9, "same words"), (9, "same words"), (4, "r unique"), (1, "x  y"), (4, "x y"), (None, "x y"), (None, "alone"), (None, "alone"), (None, None), (2, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = exact_dedup.exact_groups(frame).collect()
+    assert sorted(map(tuple, found), key=str) == brute_exact(rows)
+    assert sum(r.kept for r in found) == 5
+
+
 def test_exact_groups_has_no_python(sf_docs):
     plan = exact_dedup.exact_groups(sf_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow(?!ow)", plan)
@@ -77,16 +87,40 @@ def planted(seed, n):
     return list(dict.fromkeys(values))
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
 def test_links_find_every_class(spark, monkeypatch):
     values = planted(1, 120)
-    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, n) for n, v in enumerate(values)], "fp long, rep long")
+    frame = spark.createDataFrame([(signed(v),) for v in values], "fp long")
     want = brute_components([(n, v) for n, v in enumerate(values)], 4)
     for tile in (simhash.TILE, 3):
         monkeypatch.setattr(simhash, "TILE", tile)
         from quillgraph.operators.components import connected_components
 
         found = {r.node: r.component for r in connected_components(simhash.links(frame, 4)).collect()}
-        assert [found.get(n, n) for n in range(len(values))] == want
+        classes = {}
+        for n, v in enumerate(values):
+            classes.setdefault(found.get(signed(v), signed(v)), []).append(n)
+        assert sorted(map(tuple, classes.values())) == sorted(tuple(n for n in range(len(values)) if want[n] == c) for c in set(want))
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, 0), (None, 0x0F), (3, 0xFF)],  # only a row without an id joins the two
+        [(1, 0), (2, 0x0F), (3, 0xFF)],
+        [(5, 0), (5, 0xFFFFFFFF), (3, 0xFFFFFFFE)],  # one id on unlike texts
+        [(None, 0), (None, 1), (7, 1 << 40), (None, 0xFFFF << 30), (2, 0xFFFF << 30 | 1), (None, 0xFFFF << 44), (None, 0xFFFF << 44)],
+    ],
+)
+def test_components_without_ids_and_with_shared_ones(rows, spark, monkeypatch):
+    frame = spark.createDataFrame([(i, signed(v)) for i, v in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs)
+    found = simhash.near_duplicates(frame, radius=4).collect()
+    want = [(i, f"{v:016x}", c) for (i, v), c in zip(rows, brute_components(rows, 4))]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
 def test_bk_tree():
