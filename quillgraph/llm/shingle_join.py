@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles, found exactly by prefix filtering."""
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash and BK-trees link the nearest, a prefix filter finds all others."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm import simhash
 from quillgraph.llm.common import documents, raw
-from quillgraph.llm.simhash import _hash
 from quillgraph.operators.components import connected_components
 from quillgraph.runtime import materialize, short_batches
 
@@ -16,19 +16,19 @@ from quillgraph.runtime import materialize, short_batches
 OVER, UNDER = 4, 5
 #: Common shingles are told by about SAMPLE texts, at most COMMON of them; they only order shingles, which decides the cost but no result.
 SAMPLE, COMMON = 20_000, 200_000
-#: Candidate pairs that a task holds before it passes them on.
+#: Pairs whose sketches a task compares at once.
 HOLD = 1 << 18
 #: Bits of a sketch.
 BITS = 1024
+#: Bits in which fingerprints may differ that BK-trees look for.
+RADIUS = 4
+#: Texts of one shingle that a task holds; of more, each two tiles of this size are compared.
+TILE = 4096
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending; a text of fewer words is one shingle, one of none has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter(map(_hash, shingles), np.uint64))
+    """The distinct hashes of a text's word shingles, ascending."""
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -71,23 +71,41 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _firsts(texts: DataFrame, width: int) -> DataFrame:
-    """node, size, sketch, firsts (the prefix, 8 bytes a shingle) of each text's set."""
+    """node, size, sketch, fp (the SimHash), firsts (the prefix, 8 bytes a shingle) of each text's set."""
     model = texts.sparkSession.sparkContext.broadcast(_common(texts, width))
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in raw(batch.column("text"))]
+            hashes = [simhash.shingle_hashes(t, width) for t in raw(batch.column("text"))]
+            sets = [np.unique(x) for x in hashes]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node"),
                     pa.array([len(x) for x in sets], pa.int32()),
                     pa.array([sketch(x) for x in sets], pa.binary()),
+                    pa.array(np.array([simhash.print_of(x) for x in hashes], np.uint64).view(np.int64)),
                     pa.array([prefix(x, *model.value).tobytes() for x in sets], pa.binary()),
                 ],
-                ["node", "size", "sketch", "firsts"],
+                ["node", "size", "sketch", "fp", "firsts"],
             )
 
-    return materialize(texts.mapInArrow(run, "node long, size int, sketch binary, firsts binary"), "firsts")
+    return materialize(texts.mapInArrow(run, "node long, size int, sketch binary, fp long, firsts binary"), "firsts")
+
+
+def _close(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs of nodes(node, fp) of equal or close fingerprints that join all such nodes."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    twins = nodes.join(prints, "fp").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    first, second = (prints.select(F.col("fp").alias(c), F.col("lead").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    linked = simhash.links(prints.select("fp"), RADIUS).join(first, "u").join(second, "v")
+    return twins.unionByName(linked.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs(u, v) that joined(node, component) doesn't join."""
+    first, second = (joined.select(F.col("node").alias(c), F.col("component").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    found = pairs.join(first, "u", "left").join(second, "v", "left")
+    return found.filter(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
 
 
 def _members(firsts: DataFrame) -> DataFrame:
@@ -136,16 +154,27 @@ def _members(firsts: DataFrame) -> DataFrame:
     return materialize(dealt.mapInArrow(shared, "shingle long, node long, size int, leader long"), "members")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs(u, v) of similar sets. Sizes and sketches leave few others, whose sets are made again from the texts."""
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs(u, v) whose sizes and sketches allow the similarity."""
 
-    def near(batches):
+    def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("a", "b"))
             least, most = batch.column("least").to_numpy(), batch.column("most").to_numpy()
-            bits = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-            good = (UNDER * least >= OVER * most) & ((UNDER + OVER) * bits <= (UNDER - OVER) * (least + most))
-            yield batch.select(["u", "v"]).filter(pa.array(good))
+            yield batch.select(["u", "v"]).filter(pa.array((UNDER * least >= OVER * most) & _alike(a, b, least + most)))
+
+    first, second = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    both = pairs.join(first, "u").join(second, "v").select("u", "v", F.least("size_u", "size_v").alias("least"), F.greatest("size_u", "size_v").alias("most"), "a", "b")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """If sketches of sets of so many shingles together allow the similarity."""
+    return (UNDER + OVER) * np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= (UNDER - OVER) * sizes.astype(np.int64)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs(u, v) of similar sets, which are made again from the texts."""
 
     def sets_of(batches):
         for batch in batches:
@@ -158,9 +187,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: in
             good = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    first, second = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(s)) for c, s in (("u", "a"), ("v", "b")))
-    both = pairs.join(first, "u").join(second, "v").select("u", "v", F.least("size_u", "size_v").alias("least"), F.greatest("size_u", "size_v").alias("most"), "a", "b")
-    left = materialize(both.mapInArrow(near, "u long, v long"), "near")
+    left = materialize(pairs, "near")
     wanted = materialize(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "wanted")
     made = texts.join(wanted, "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(made, "sets")
@@ -168,85 +195,113 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: in
     return materialize(left.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """u, v: pairs of members(shingle, class, node, size) of one shingle, of unlike classes and sizes that allow the similarity."""
+def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: pairs of members(shingle, class, node, size) of one shingle, of unlike classes, whose sizes and sketches allow the similarity.
+
+    Sketches are compared where a shingle's members meet, so few pairs leave the
+    task. The members of a shingle that more than TILE have are cut by a hash into
+    tiles, and each two tiles are compared, so no task holds all.
+    """
 
-    def pairs(nodes, classes, sizes):
-        nodes, classes, sizes = np.array(nodes), np.array(classes), np.array(sizes)
+    def pairs(a, b, own, nodes, classes, sizes, sketches):
+        own, nodes, classes, sizes = (np.array(x) for x in (own, nodes, classes, sizes))
         if classes[0] == classes[-1]:
             return
-        us, vs, n = [], [], 0
+        bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, BITS // 64)
         for at in range(len(nodes)):
             # rows come by class, so the later ones of another class are a range
             low = int(np.searchsorted(classes, classes[at], "right"))
-            fit = (UNDER * sizes[low:] >= OVER * sizes[at]) & (UNDER * sizes[at] >= OVER * sizes[low:])
-            v = nodes[low:][fit]
-            us.append(np.full(len(v), nodes[at]))
-            vs.append(v)
+            for start in range(low, len(nodes), HOLD):
+                stop = min(start + HOLD, len(nodes))
+                fit = (UNDER * sizes[start:stop] >= OVER * sizes[at]) & (UNDER * sizes[at] >= OVER * sizes[start:stop])
+                if a != b:
+                    fit &= own[start:stop] != own[at]
+                others = start + np.flatnonzero(fit)
+                others = others[_alike(bits[at], bits[others], sizes[others] + sizes[at])]
+                if len(others):
+                    yield nodes[at], nodes[others]
+
+    def rows(found):
+        out, n = [], 0
+        for u, v in found:
+            out.append((np.minimum(u, v), np.maximum(u, v)))
             n += len(v)
             if n > HOLD:
-                yield both(us, vs)
-                us, vs, n = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
+                out, n = [], 0
         if n:
-            yield both(us, vs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
 
-    def both(us, vs):
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    def run(batches):
-        key, held = None, ([], [], [])
+    def groups(batches):
+        key, held = None, [[] for _ in range(5)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shingle = batch.column("shingle").to_numpy()
-            columns = [batch.column(c).to_numpy() for c in ("node", "class", "size")]
-            edges = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "a", "b")])
+            columns = [batch.column(c).to_pylist() for c in ("own", "node", "class", "size", "sketch")]
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [keys.shape[1]]))
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if shingle[low] != key:
+                if (this := tuple(keys[:, low].tolist())) != key:
                     if held[0]:
-                        yield from pairs(*held)
-                    key, held = shingle[low], ([], [], [])
+                        yield from pairs(*key[1:], *held)
+                    key, held = this, [[] for _ in range(5)]
                 for h, c in zip(held, columns):
-                    h.extend(c[low:high].tolist())
+                    h.extend(c[low:high])
         if held[0]:
-            yield from pairs(*held)
+            yield from pairs(*key[1:], *held)
 
-    mixed = members.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("shingle")
-    dealt = members.join(mixed, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "class", "node")
-    return dealt.select("shingle", "class", "node", "size").mapInArrow(run, "u long, v long").distinct()
+    mixed = members.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least < most")
+    dealt = members.join(mixed.select("shingle", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "shingle")
+    dealt = materialize(dealt.join(nodes.select("node", "sketch"), "node"), "mixed").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    keys = ["shingle", "a", "b"]
+    dealt = dealt.select(*keys, "own", "node", "class", "size", "sketch").repartition(*keys).sortWithinPartitions(*keys, "class", "node")
+    return dealt.mapInArrow(lambda batches: rows(groups(batches)), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, component_id for each row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) -> DataFrame:
+    """doc_id, component_id, kept, and key if it is named, for each row of docs(doc_id, text).
 
     Texts whose sets of word shingles have a Jaccard similarity of OVER/UNDER or
     more link; component_id is the smallest doc_id that links reach, null if all
     ids there are null. A null text is empty; texts without words link to each
-    other only.
-
-    No similar pair is missed: in any order of all shingles, one of the first
-    n - ceil(0.8 n) + 1 of a set of n is among those of the other set too. So
-    that few dissimilar texts meet, common shingles come last. Texts that share
-    such a shingle are first compared with the smallest of them, which joins
-    large groups of copies by one pair a text and shingle; then pairs that are
-    not joined yet are compared one by one. Each comparison is of the whole sets,
-    unless sizes or sketches rule the similarity out.
+    other only. One row of a component is kept: that of the smallest doc_id, a
+    null one after all others, then the first by key. key: a column that tells
+    rows apart; without one, rows are numbered here.
+
+    First, texts of equal or close SimHashes, found by BK-trees, are compared.
+    Edited texts are mostly farther apart than any radius that is cheap to
+    search, so a prefix filter finds the others: in any order of all shingles,
+    one of the first n - ceil(0.8 n) + 1 of a set of n is among those of the
+    other set too, and no similar pair is missed. So that few dissimilar texts
+    meet, common shingles come last. Texts that share such a shingle are first
+    compared with the smallest of them, which joins large groups of copies by one
+    pair a text and shingle; then those that are not joined yet are compared by
+    their sketches. Sizes and sketches only rule out what can't be similar; the
+    whole sets decide the rest.
     """
-    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    row = F.monotonically_increasing_id() if key is None else F.col(key)
+    rows = documents(docs, row.alias("row")).select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.when(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64("text")))
     texts = rows.select("node", "text")
     firsts = _firsts(texts, width)
     members = _members(firsts)
-    sketches = materialize(firsts.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
-    star = materialize(members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "star")
-    links = _verified(star, sketches, texts, width)
-    joined = materialize(connected_components(links), "joined")
-    classes = members.select("shingle", "node", "size").join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
-    rest = materialize(_across(classes).join(star, ["u", "v"], "left_anti"), "rest")
-    links = links.unionByName(_verified(rest, sketches, texts, width))
+    nodes = materialize(firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "fp"))), "nodes")
+
+    def joined_by(links):
+        return materialize(connected_components(links), "joined")
+
+    links = _similar(_near(_close(nodes), nodes), texts, width)
+    star = members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    star = materialize(_apart(star, joined_by(links)), "star")
+    links = links.unionByName(_similar(_near(star, nodes), texts, width))
+    classes = members.select("shingle", "node", "size").join(joined_by(links), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
+    links = links.unionByName(_similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), texts, width))
     found = connected_components(links)
-    ids = rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    ids = rows.select("doc_id", "row", "node").join(found, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
     ids = materialize(ids, "ids")
-    names = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(names, "component").select("doc_id", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))
+    names = materialize(ids.groupBy("component").agg(first.alias("first")), "names")
+    return ids.join(names, "component").select(
+        "doc_id", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), *([F.col("row").alias(key)] if key else [])
+    )
