@@ -6,7 +6,7 @@ is the nearest one. A gram is a byte and its context: byte + 256 * context.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -24,16 +24,32 @@ def lay_out(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return buffer, starts, starts + sizes + 1
 
 
+def codes_of(buffer: np.ndarray, low: int, high: int, depth: int) -> np.ndarray:
+    """The grams of context depth ``depth`` at the places low to high of a buffer."""
+    code = buffer[low:high].astype(np.uint64)
+    for d in range(1, depth + 1):
+        code |= buffer[low - d : high - d].astype(np.uint64) << np.uint64(8 * d)
+    return code
+
+
+def inside(starts: np.ndarray, ends: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Which of the places low to high of a buffer belong to a text, its end included."""
+    step = np.zeros(high - low + 1, np.int32)
+    np.add.at(step, np.clip(starts - low, 0, high - low), 1)
+    np.add.at(step, np.clip(ends - low, 0, high - low), -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of context depth ``depth`` in texts, their end included, and how often each occurs."""
     buffer, starts, ends = lay_out(texts, depth)
-    inside = np.zeros(len(buffer) + 1, np.int32)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    code = np.zeros(len(buffer) - depth, np.uint64)
-    for d in range(depth + 1):
-        code |= buffer[depth - d : len(buffer) - d].astype(np.uint64) << np.uint64(8 * d)
-    return np.unique(code[np.cumsum(inside[:-1])[depth:] > 0], return_counts=True)
+    parts = []
+    for low in range(depth, len(buffer), 4 * BLOCK):
+        high = min(len(buffer), low + 4 * BLOCK)
+        parts.append(np.unique(codes_of(buffer, low, high, depth)[inside(starts, ends, low, high)], return_counts=True))
+        if len(parts) > 4:
+            parts = [merge_counts(parts)]
+    return merge_counts(parts) if len(parts) > 1 else parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +114,12 @@ class ContextTree:
                 alive, now = alive[go], now[go]
         return node
 
-    def totals(self, texts: list[bytes], table: np.ndarray) -> np.ndarray:
-        """Sum over each text's bytes and its end of table[node * 256 + byte], as float64; table: one row or more columns."""
-        depth = max(2, self.depth)
+    def totals(self, texts: list[bytes], table: np.ndarray, deepen: Callable | None = None, gap: int = 2) -> np.ndarray:
+        """Sum over each text's bytes and its end of table[node * 256 + byte], as float64; table: one row or more columns.
+
+        deepen: a function from (nodes, bytes with ``gap`` or more before the first, values) to values of longer contexts.
+        """
+        depth = max(2, self.depth, gap)
         buffer, starts, ends = lay_out(texts, depth)
         out = np.zeros((len(texts), *table.shape[1:]), np.float64)
         for low in range(depth, len(buffer), BLOCK):
@@ -110,6 +129,8 @@ class ContextTree:
                 continue
             node = self.deepest(buffer[low - depth : high], depth)
             value = table[node.astype(np.int64) * 256 + buffer[low:high]]
+            if deepen is not None:
+                value = deepen(node, buffer[low - depth : high], value)
             edges = np.clip(np.stack((starts[a:b], ends[a:b]), 1) - low, 0, high - low).ravel()
             value = np.concatenate((value, np.zeros((1, *value.shape[1:]), value.dtype)))
             out[a:b] += np.add.reduceat(value, edges, axis=0, dtype=np.float64)[::2]
