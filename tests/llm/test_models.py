@@ -1,4 +1,6 @@
+import functools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -75,8 +77,11 @@ def brute_ppm(texts, depth):
     return p
 
 
-def test_ppm_table_is_exact(monkeypatch):
-    monkeypatch.setattr(language_id, "FEWEST", 1)
+@pytest.mark.parametrize("fewest,dense", [(1, 48 << 20), (2, 48 << 20), (3, 48 << 20), (1, 2048 * 9), (100, 48 << 20), (1, 0)])
+def test_ppm_table_is_exact(fewest, dense, monkeypatch):
+    """Whatever part of the contexts is dense, the code lengths are those of all contexts."""
+    monkeypatch.setattr(language_id, "FEWEST", fewest)
+    monkeypatch.setattr(language_id, "DENSE", dense)
     texts = {"a": [b"abracadabra abra", b"cad bra"], "b": [b"zig zag zigzag", b"bra zag"]}
     models = language_id.Models(["a", "b"], [0.5, 0.5], texts)
     for k, lang in enumerate("ab"):
@@ -87,6 +92,24 @@ def test_ppm_table_is_exact(monkeypatch):
             assert abs(models.score([text])[0][0, k] * (len(text) + 1) - bits) < 1e-3 * bits
 
 
+def test_language_query_is_the_brute_force(spark):
+    """The query's predictions and code lengths, from the learning rows alone; a language with long texts only has a model too."""
+    texts = ["abracadabra abra cad", "zig zag zigzag zog", "bra cad dabra", "zog zig zag", "kla klo klu " * 3000, "kla klu klo"]
+    rows = [(n, texts[n % 6], "abzbzkk"[n % 6] if n % 6 < 5 else None) for n in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn = [(t, lang) for i, t, lang in rows if part(i, 4) != 2 and lang]
+    found = {r.doc_id: r for r in language_id.identify(frame).collect()}
+    langs = sorted({lang for _, lang in learn})
+    p = {x: brute_ppm([t.encode() for t, lang in learn if lang == x and len(t) <= 20000] or [min((t for t, lang in learn if lang == x), key=len).encode()], 4) for x in langs}
+    for i, t, _ in rows:
+        if len(t) < 100:
+            data = b"\n" * 4 + t.encode() + b"\n"
+            bits = {x: -sum(math.log2(p[x](data[k - 4 : k])[data[k]]) for k in range(4, len(data))) for x in langs}
+            prior = Counter(lang for _, lang in learn)
+            best = min(langs, key=lambda x: bits[x] - math.log2(prior[x]))
+            assert found[i].lang_pred == best and abs(found[i].bits_per_byte * (len(t) + 1) - bits[best]) < 1e-3 * bits[best]
+
+
 def test_walk_matches_lookup():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.choice(list(b"abc "), n).tolist()) for n in (0, 1, 5, 200, 3000)]
@@ -109,57 +132,128 @@ def test_walk_matches_lookup():
     assert np.allclose(tree.totals(texts, table), want)
 
 
-def brute_ctw(history, contexts, depth):
-    """Sequential context-tree weighting of one bit position: the probability of a 1 after the history; contexts: allowed suffix set."""
+def log_kt(a, b):
+    return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+
+def brute_ctw(texts, depth):
+    """A function from (context of depth bytes, byte) to the log10 of its probability, by recursion over the bits that followed each context."""
+    seen = {}  # (context, bit prefix) -> [zeros, ones]
+    for t in texts:
+        data = b"\n" * depth + t + b"\n"
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                for length in range(8):
+                    seen.setdefault((data[i - d : i], (1 << length) | data[i] >> (8 - length)), [0, 0])[data[i] >> (7 - length) & 1] += 1
+    children = {}
+    for context, prefix in seen:
+        if context:
+            children.setdefault((context[1:], prefix), []).append((context, prefix))
+
+    @functools.cache
+    def weighted(node):
+        own = log_kt(*seen[node])
+        return own if len(node[0]) == depth else math.log(0.5) + np.logaddexp(own, sum(weighted(c) for c in children[node]))
+
+    def estimate(context, prefix):
+        """The mixture over the contexts that the prefix followed; what is left goes to the longest."""
+        p, left = 0.5, 1.0
+        given = 0.0
+        for d in range(depth + 1):
+            node = (context[depth - d :], prefix)
+            if node not in seen:
+                break
+            zeros, ones = seen[node]
+            kt = (ones + 0.5) / (zeros + ones + 1)
+            p = given + left * kt
+            own = 1.0 if d == depth else math.exp(log_kt(zeros, ones) + math.log(0.5) - weighted(node))
+            given, left = given + left * own * kt, left * (1 - own)
+        return p
+
+    def log_p(context, byte):
+        out = 0.0
+        for length in range(8):
+            one = estimate(context, (1 << length) | byte >> (8 - length))
+            out += math.log10(one if byte >> (7 - length) & 1 else 1 - one)
+        return out
+
+    return log_p
+
 
-    def log_kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+def test_brute_ctw_is_the_sequential_one():
+    """Where a context was followed by the same bits before, the frozen estimate is the ratio of the weighted probabilities with and without one more bit."""
+    texts, depth = [b"abab", b"abcab", b"ba"], 2
+    log_p = brute_ctw(texts, depth)
+    data = [(b"\n" * depth + t + b"\n") for t in texts]
+    rows = [(x[i - depth : i], x[i]) for x in data for i in range(depth, len(x))]
 
-    def weighted(context, rows):
-        a = sum(1 for _, bit in rows if not bit)
-        own = log_kt(a, len(rows) - a)
-        children = [c for c in contexts if len(c) == len(context) + 1 and c.endswith(context)] if len(context) < depth else []
-        if not children:
+    def weighted(context, bits):
+        own = log_kt(bits_of(bits).count(0), bits_of(bits).count(1))
+        if len(context) == depth:
             return own
-        rest = [r for r in rows if not any(r[0].endswith(c) for c in children)]
-        a = sum(1 for _, bit in rest if not bit)
-        split = log_kt(a, len(rest) - a) + sum(weighted(c, [r for r in rows if r[0].endswith(c)]) for c in children)
-        return math.log(0.5 * math.exp(own) + 0.5 * math.exp(split))
-
-    return weighted(b"", history)
-
-
-def test_weights_are_sequential_ones():
-    """A byte's frozen probability is the ratio of the weighted probabilities with and without it, bit by bit."""
-    texts = [b"abab", b"abcab", b"ba"]
-    depth = 2
-    codes, n = context_tree.grams(texts, depth)
-    contexts = [np.unique((codes >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)) for d in range(depth + 1)]
-    contexts[2] = contexts[2][::2]
-    tree = ContextTree(contexts)
-    node, byte, count = [], [], []
-    for d in range(depth + 1):
-        number = tree.number((codes >> np.uint64(8)) & tree._mask(d), d)
-        node += number[number >= 0].tolist()
-        byte += (codes[number >= 0] & np.uint64(255)).astype(int).tolist()
-        count += n[number >= 0].tolist()
-    total = Counter()
-    for key in zip(node, byte, count):
-        total[key[:2]] += key[2]
-    keys = sorted(total)
-    table = lm_score.weigh(tree, np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([float(total[k]) for k in keys])).reshape(-1, 256)
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
-    data = [(b"\n\n" + t + b"\n")[max(0, i - 2) : i + 1] for t in texts for i in range(2, len(t) + 3)]
-    known = [bytes([c >> 8 * k & 255 for k in range(d)][::-1]) for d in (1, 2) for c in map(int, contexts[d])]
-    at = int(tree.deepest(np.frombuffer(b"\na" + b"x", np.uint8), 2)[0])
-    for sym in (ord("b"), ord("c"), ord("z")):
-        log_p = 0.0
-        for bit in range(8):
-            prefix = sym >> (8 - bit)
-            rows = [(d[:-1], d[-1] >> (7 - bit) & 1) for d in data if d[-1] >> (8 - bit) == prefix]
-            more = [*rows, (b"\na", sym >> (7 - bit) & 1)]
-            log_p += brute_ctw(more, known, depth) - brute_ctw(rows, known, depth)
-        assert abs(table[at, sym] - log_p / math.log(10)) < 1e-3
+        nexts = {c[depth - len(context) - 1 :] for c, _ in bits}
+        return math.log(0.5) + np.logaddexp(own, sum(weighted(c, [r for r in bits if r[0].endswith(c)]) for c in nexts))
+
+    def bits_of(bits):
+        return [b for _, b in bits]
+
+    for context, byte in ((b"ab", ord("a")), (b"ab", ord("c")), (b"ca", ord("b"))):
+        want = 0.0
+        for length in range(8):
+            same = [(c, x >> (7 - length) & 1) for c, x in rows if (1 << length | x >> (8 - length)) == (1 << length | byte >> (8 - length))]
+            if any(c == context for c, _ in same):
+                want += weighted(b"", [*same, (context, byte >> (7 - length) & 1)]) - weighted(b"", same)
+            else:
+                break
+        else:
+            assert abs(log_p(context, byte) - want / math.log(10)) < 1e-9
+
+
+def test_grams_table():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64))
+    table = lm_score.Table(keys[::2], np.arange(len(keys[::2])).astype(np.float32))
+    found = table.get(keys)
+    assert np.isnan(found[1::2]).all() and (found[::2] == np.arange(len(keys[::2]))).all()
+    assert np.isnan(lm_score.Table(keys[:0], np.zeros(0, np.float32)).get(keys)).all()
+
+
+@pytest.mark.parametrize("head,hold", [(1_000_000, 200_000), (0, 50), (300, 1)])
+def test_scores_are_those_of_all_contexts(spark, head, hold, monkeypatch):
+    """The query against context-tree weighting by recursion, over contexts of all lengths; broadcast or joined, in one batch of trees or many."""
+    monkeypatch.setattr(lm_score, "GRAMS", head)
+    monkeypatch.setattr(lm_score, "HOLD", hold)
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "zebra", "the zebra sat", "", None, "the the the the", "The cat SAT  on\nthe mat", "q", "日本 the"]
+    rows = [(n, texts[n % len(texts)]) for n in range(33)] + [(40, "dog"), (40, "dog"), (None, "log")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = [" ".join(words(low(t))).encode() for _, t in rows]
+    log_p = brute_ctw([t for (i, _), t in zip(rows, clean) if part(i, 10)], lm_score.DEPTH)
+    want = []
+    for (i, _), t in zip(rows, clean):
+        data = b"\n" * lm_score.DEPTH + t + b"\n"
+        want.append((str(i), sum(log_p(data[k - lm_score.DEPTH : k], data[k]) for k in range(lm_score.DEPTH, len(data)))))
+    found = lm_score.score(frame).collect()
+    for a, b in zip(sorted((str(r.doc_id), r.score) for r in found), sorted(want)):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 * abs(b[1])
+    assert len(found) == len(want)
+
+
+def test_a_text_seen_twice_is_told_apart(spark):
+    """Texts that the learning rows hold twice score better than like ones that they hold once, and those better than ones they lack."""
+    rng = random.Random(4)
+
+    def fresh():
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(40))
+
+    learn, held = [i for i in range(2000) if part(i, 10)], [i for i in range(2000) if not part(i, 10)]
+    rows = [(learn.pop(), fresh()) for _ in range(60)]
+    for _ in range(30):
+        text = fresh()
+        rows += [(learn.pop(), text), (learn.pop(), text)]
+    unseen = [(held.pop(), fresh()) for _ in range(30)]
+    found = {r.doc_id: r.bits_per_byte for r in lm_score.score(spark.createDataFrame(rows + unseen, "doc_id long, text string")).collect()}
+    once, twice, never = ([found[i] for i, _ in x] for x in (rows[:60], rows[60:], unseen))
+    assert max(twice) < min(once) and max(once) < min(never)
 
 
 def check_lm(frame):
@@ -273,3 +367,18 @@ def test_license_templates(name, text):
     if len(changed) > 20:
         changed[10] = "otherword"
         assert licenses.scanner().scan(" ".join(changed))[0][2] == name
+
+
+def test_shards_are_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    gram = rng.integers(0, 1 << 48, 400).astype(np.int64) & ~0xFFFC00 | 0
+    gram = gram[np.argsort(gram >> 8 & 0xFFFF, kind="stable")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(gram[a : a + 7]), pa.array(np.arange(a, min(a + 7, 400)))], ["gram", "n"]) for a in range(0, 400, 7)]
+    for hold in (1, 20, 10_000):
+        monkeypatch.setattr(lm_score, "HOLD", hold)
+        out = list(lm_score._shards(iter(batches), 2))
+        assert np.concatenate([n for _, n in out]).tolist() == list(range(400))
+        suffixes = [set((g >> np.uint64(8) & np.uint64(0xFFFF)).tolist()) for g, _ in out]
+        assert sum(map(len, suffixes)) == len(set().union(*suffixes))
