@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from fractions import Fraction
 from functools import lru_cache
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -52,6 +56,23 @@ TEMPLATES = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    (
+        "Zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, "
+        "all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, "
+        "must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+        "machine-executable object code generated by a source language processor.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", _GNU.format("program", "General Public License", "3")),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -78,11 +99,21 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     ("proprietary", "All rights reserved."),
 )
 #: The least Dice coefficient that counts as a match.
 LEAST = 0.8
+#: Wordings of fewer bigrams count only where they are a whole sentence or line.
+ALONE = 4
+#: Starts of stretches that are looked at together.
+BLOCK = 1 << 16
 
 #: Words, or two in a row, that tell licences of like wording apart: a stretch must have the same ones as the template.
 MARKS = {
@@ -93,10 +124,11 @@ MARKS = {
 #: Words that a version follows.
 VERSIONED = {"version", "v", "license", "by", "cc0", "attribution", "nc", "sa", "nd", "noncommercial", "commercial", "sharealike", "alike", "noderivatives", "noderivs", "derivatives", "derivs"}
 #: Licences whose wording starts longer ones, which win where both match.
-LONGER = {"BSD-2-Clause": {"BSD-3-Clause", "BSD-4-Clause"}, "BSD-3-Clause": {"BSD-4-Clause"}}
+LONGER = {"0BSD": {"ISC"}, "BSD-2-Clause": {"BSD-3-Clause", "BSD-4-Clause"}, "BSD-3-Clause": {"BSD-4-Clause"}}
 
 _WORD = re.compile("[a-z0-9]+")
 _NUMBER = re.compile("v?([0-9]+)")
+_STOP = re.compile("[.!?\\n]")
 
 
 def marks_of(words: list[str]) -> set[str]:
@@ -117,74 +149,147 @@ def version_of(words: list[str]) -> tuple[str, ...]:
     return ()
 
 
+class Template:
+    """A wording of a licence: its bigrams, the sizes of stretches that can match it, its distinguishing words and version."""
+
+    def __init__(self, name: str, text: str, least: float):
+        self.name = name
+        words = _WORD.findall(text.lower())
+        self.grams = Counter(zip(words, words[1:]))
+        self.size = self.grams.total()
+        # Dice is at most 2 * min / (a + b), so only stretches of these sizes can reach ``least``
+        least = Fraction(least).limit_denominator(1000)
+        self.low, self.high = ceil(self.size * least / (2 - least)), int(self.size * (2 - least) / least)
+        # and a stretch that does shares this many bigrams
+        self.need = max(1, ceil(least * (self.low + self.size) / 2))
+        # so short a wording also occurs within sentences that state no licence: it must be one by itself
+        self.alone = self.size < ALONE
+        self.marks, self.version = marks_of(words), version_of(words)
+
+    def agrees(self, words: list[str], first: int, own: int) -> bool:
+        """If a stretch has the template's distinguishing words and version; a version that goes on behind it counts too."""
+        end = first + own + 1
+        stretch = words[first:end]
+        if marks_of(stretch) != self.marks:
+            return False
+        return not self.version or version_of(stretch + words[end : end + 1] if stretch[-1][-1].isdigit() and words[end : end + 1] and words[end].isdigit() else stretch) == self.version
+
+    def best(self, at: np.ndarray, before: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, lengths, shared bigrams) of the best stretch from each start that reaches ``least``.
+
+        at: places of the template's bigrams; before: for each, the place in at
+        of the same bigram as many occurrences back as the template has it, or
+        -1. Within a stretch from i, at[j] counts as shared if before[j] < i. All
+        starts are taken one bigram further at a time, a block of them at once.
+        """
+        out = []
+        if len(at) < self.need or (at[self.need - 1 :] - at[: len(at) - self.need + 1]).min() >= self.high:
+            return (np.zeros(0, np.int64),) * 3
+        for low in range(0, len(at), BLOCK):
+            i = np.arange(low, min(low + BLOCK, len(at)))
+            # a start whose next ``need`` places reach beyond the longest stretch has no match
+            last = i + self.need - 1
+            i = i[(last < len(at)) & (at[np.minimum(last, len(at) - 1)] - at[i] < self.high)]
+            shared = np.zeros(len(i), np.int64)
+            top, top_own, top_shared = np.zeros(len(i)), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+            live, step = np.arange(len(i)), 0
+            while len(live):
+                j = i[live] + step
+                live = live[j < len(at)]
+                j = i[live] + step
+                own = at[j] - at[i[live]] + 1
+                live, j, own = live[own <= self.high], j[own <= self.high], own[own <= self.high]
+                shared[live] += before[j] < i[live]
+                dice = 2 * shared[live] / (own + self.size)
+                better = (own >= self.low) & (dice >= least) & (dice >= top[live])  # of equal ones the longer
+                hit = live[better]
+                top[hit], top_own[hit], top_shared[hit] = dice[better], own[better], shared[hit]
+                step += 1
+            good = top_own > 0
+            out.append((at[i[good]], top_own[good], top_shared[good]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Scanner:
     """Templates by their bigrams."""
 
     def __init__(self, templates=TEMPLATES, least: float = LEAST):
         self.least = least
-        self.templates = []
+        self.templates = [Template(name, text, least) for name, text in templates]
         self.having: dict[tuple[str, str], list[int]] = {}
-        for name, text in templates:
-            words = _WORD.findall(text.lower())
-            grams = Counter(zip(words, words[1:]))
-            for g in grams:
-                self.having.setdefault(g, []).append(len(self.templates))
-            # Dice is at most 2 * min / (a + b), so only stretches of these sizes can reach ``least``
-            size = grams.total()
-            self.templates.append((name, grams, size, -int(-size * least / (2 - least) // 1), int(size * (2 - least) / least), marks_of(words), version_of(words)))
+        for n, template in enumerate(self.templates):
+            for g in template.grams:
+                self.having.setdefault(g, []).append(n)
         self.known = set(self.having)
 
-    @staticmethod
-    def _agrees(words: list[str], first: int, own: int, marks: set[str], version: tuple[str, ...]) -> bool:
-        """If a stretch has the template's distinguishing words and version; a version that goes on behind it counts too."""
-        end = first + own + 1
-        stretch = words[first:end]
-        if marks_of(stretch) != marks:
+    def _extended(self, x: tuple, longer: list[tuple], agrees) -> bool:
+        """If a match of a longer licence, whose wording starts as x's does, overlaps x."""
+        names = LONGER.get(self.templates[x[3]].name)
+        if not names or not longer:
             return False
-        return not version or version_of(stretch + words[end : end + 1] if stretch[-1][-1].isdigit() and words[end : end + 1] and words[end].isdigit() else stretch) == version
-
-    def _extends(self, a: tuple, b: tuple) -> bool:
-        """If match a overlaps b and is of a licence that b's wording starts."""
-        return self.templates[a[3]][0] in LONGER.get(self.templates[b[3]][0], ()) and a[2] <= b[2] - b[1] and b[2] <= a[2] - a[1]
+        most = max(t.high for t in self.templates if t.name in names)
+        near = longer[bisect_left(longer, (x[2] - most,)) : bisect_right(longer, (x[2] - x[1] + 1,))]
+        return any(self.templates[y[3]].name in names and x[2] <= y[2] - y[1] and agrees(y) for _, y in near)
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """Matches as (first word, number of words, licence, Dice), not overlapping, in order.
 
-        Of all stretches between two shared bigrams, of a size that the bounds
-        leave, the one of the highest coefficient is a match, then the next that
-        doesn't overlap it; ties go to the longer, then the earlier, then the
-        first template. A stretch whose distinguishing words or version aren't the
-        template's is none of it.
+        For each template, stretches begin and end with a bigram that it has. Of
+        those from one start, of a size that the bounds leave, the one of the
+        highest coefficient counts, of equals the longest, if its distinguishing
+        words and version are the template's. Of all these the best is a match,
+        then the next that doesn't overlap it; ties go to the longer, then the
+        earlier, then the first template. Memory is in proportion to the text,
+        time to that and a template's length.
         """
-        words = _WORD.findall(text.lower())
-        pairs = list(zip(words, words[1:]))
-        if self.known.isdisjoint(pairs):
+        low = text.lower()
+        words = _WORD.findall(low)
+        if self.known.isdisjoint(zip(words, words[1:])):
             return []
         places: dict[int, list[int]] = {}
-        for at, pair in enumerate(pairs):
+        for at, pair in enumerate(zip(words, words[1:])):
             for t in self.having.get(pair, ()):
                 places.setdefault(t, []).append(at)
         found = []
-        for t, at in places.items():
-            _, grams, size, low, high, marks, version = self.templates[t]
-            for a, first in enumerate(at):
-                shared, got = 0, Counter()
-                for last in at[a:]:
-                    if last - first + 1 > high:
-                        break
-                    got[pairs[last]] += 1
-                    shared += got[pairs[last]] <= grams[pairs[last]]
-                    own = last - first + 1
-                    if own >= low and 2 * shared >= self.least * (own + size) and self._agrees(words, first, own, marks, version):
-                        found.append((-2 * shared / (own + size), -own, first, t))
-        found = [x for x in found if not any(self._extends(y, x) for y in found)] if any(self.templates[x[3]][0] in LONGER for x in found) else found
+        for t, spots in places.items():
+            template = self.templates[t]
+            if len(spots) < template.need:
+                continue
+            seen: dict[tuple[str, str], list[int]] = {}
+            before = np.full(len(spots), -1)
+            for n, at in enumerate(spots):
+                same = seen.setdefault((words[at], words[at + 1]), [])
+                if len(same) >= (k := template.grams[words[at], words[at + 1]]):
+                    before[n] = same[-k]
+                same.append(n)
+            for first, own, shared in zip(*(x.tolist() for x in template.best(np.array(spots), before, self.least))):
+                found.append((-2 * shared / (own + template.size), -own, first, t))
+        agreed: dict[tuple, bool] = {}
+        spans: list[tuple[int, int]] = []
+
+        def agrees(x: tuple) -> bool:
+            if x not in agreed:
+                template = self.templates[x[3]]
+                agreed[x] = template.agrees(words, x[2], -x[1]) and (not template.alone or whole(x[2], x[2] - x[1]))
+            return agreed[x]
+
+        def whole(first: int, last: int) -> bool:
+            if not spans:
+                spans.extend(m.span() for m in _WORD.finditer(low))
+            before = low[spans[first - 1][1] if first else 0 : spans[first][0]]
+            behind = low[spans[last][1] : spans[last + 1][0] if last + 1 < len(spans) else len(low)]
+            return (not first or _STOP.search(before) is not None) and (last + 1 == len(spans) or _STOP.search(behind) is not None)
+
+        after = {name for names in LONGER.values() for name in names}
+        longer = sorted((x[2], x) for x in found if self.templates[x[3]].name in after)
         chosen: list[tuple[int, int, str, float]] = []
-        taken: set[int] = set()
+        taken = bytearray(len(words))
         for dice, own, first, t in sorted(found):
-            spot = range(first, first - own + 1)  # words, one more than bigrams
-            if taken.isdisjoint(spot):
-                taken.update(spot)
-                chosen.append((first, 1 - own, self.templates[t][0], -dice))
+            end = first - own + 1  # words, one more than bigrams
+            x = (dice, own, first, t)
+            if taken.find(1, first, end) < 0 and agrees(x) and not self._extended(x, longer, agrees):
+                taken[first:end] = b"\1" * (end - first)
+                chosen.append((first, 1 - own, self.templates[t].name, -dice))
         return sorted(chosen)
 
 

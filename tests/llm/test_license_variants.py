@@ -1,3 +1,7 @@
+import random
+import time
+from collections import Counter
+
 import pytest
 
 from quillgraph.llm import licenses
@@ -25,3 +29,57 @@ CASES = [
 def test_variants_against_their_neighbours(name, text):
     for around in ("{}", "Some words. {} And more of them."):
         assert [m[2] for m in licenses.scanner().scan(around.format(text))] == ([name] if name else [])
+
+
+def brute_scan(text, templates, least):
+    """The rule of ``scan`` with every stretch counted anew; no distinguishing words or versions."""
+    words = licenses._WORD.findall(text.lower())
+    pairs = list(zip(words, words[1:]))
+    found = []
+    for t, (_, wording) in enumerate(templates):
+        w = licenses._WORD.findall(wording.lower())
+        own = Counter(zip(w, w[1:]))
+        for a in range(len(pairs)):
+            best = None
+            for b in range(a, len(pairs)):
+                if pairs[a] in own and pairs[b] in own:
+                    dice = 2 * (Counter(pairs[a : b + 1]) & own).total() / (b - a + 1 + own.total())
+                    if dice >= least and (best is None or (dice, b - a + 1) > best):
+                        best = (dice, b - a + 1)
+            if best:
+                found.append((-best[0], -best[1], a, t))
+    out, taken = [], set()
+    for dice, size, a, t in sorted(found):
+        spot = range(a, a - size + 1)
+        if taken.isdisjoint(spot):
+            taken.update(spot)
+            out.append((a, 1 - size, templates[t][0], -dice))
+    return sorted(out)
+
+
+def test_scan_is_the_brute_force(monkeypatch):
+    rng = random.Random(3)
+    templates = [("A", "red green blue red green red blue blue"), ("B", "green blue green red pink grey"), ("C", "pink pink pink red blue grey green pink")]
+    for block in (licenses.BLOCK, 3):
+        monkeypatch.setattr(licenses, "BLOCK", block)
+        for least in (0.6, 0.8):
+            scan = licenses.Scanner(templates, least).scan
+            for _ in range(150):
+                parts = [rng.choice([*(t for _, t in templates), "red", "green", "blue", "pink", "grey", "other words"]) for _ in range(rng.randrange(12))]
+                text = " ".join(parts)
+                assert scan(text) == brute_scan(text, templates, least), text
+
+
+def test_short_wordings_stand_alone():
+    scan = licenses.scanner().scan
+    assert scan("In this story all rights reserved for the king are lost.") == []
+    for text in ("All rights reserved.", "All rights reserved", "A line\nAll rights reserved\nand more", "Copyright 2020. All Rights Reserved!"):
+        assert [m[2] for m in scan(text)] == ["proprietary"]
+
+
+def test_repeated_licence_in_a_long_text():
+    """Megabytes of one licence take memory and time in proportion."""
+    name, text = licenses.TEMPLATES[1]
+    began = time.perf_counter()
+    assert [m[2] for m in licenses.scanner().scan(f"{text} " * 4000)] == [name] * 4000  # 2 MB
+    assert time.perf_counter() - began < 60
