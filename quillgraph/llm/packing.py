@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections import deque
@@ -15,14 +16,16 @@ from pyspark.sql import DataFrame
 from quillgraph.llm.bpe import from_json
 from quillgraph.llm.common import documents
 
-#: What a cut costs, in tokens of padding: after a document, after a sentence, within one.
-CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0.0, 0.5, 2.0
-#: Tokens that are planned at once, and the longest stretch without a place to cut.
-BLOCK, STRIDE = 1 << 18, 8
+#: What a cut costs, in tokens of padding: after a document, after a sentence; and, as a share of the window, inside a sentence.
+CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0.0, 0.5, 1 / 20
+#: Sentences of over this share of the window have places to cut, one every STRIDE tokens; shorter ones have none.
+LONGEST, STRIDE = 1 / 32, 8
+#: Tokens that are planned at once.
+BLOCK = 1 << 18
 #: Sequence ids of a task begin at its number times this.
 TASK = 1 << 40
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ends string"
 
 
 def plan(places: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
@@ -59,14 +62,14 @@ def plan(places: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
     return ends[::-1]
 
 
-def _places(lengths: np.ndarray, sentence: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows may end, and what it costs: sentence ends, document ends, and fill where both are far apart."""
+def _places(lengths: np.ndarray, sentence: np.ndarray, width: int, inside: float = CUT_INSIDE, longest: float = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows may end, and what it costs: sentence ends, document ends, and places within sentences that are too long to be moved whole."""
     ends = np.cumsum(lengths)
     sure = np.unique(np.concatenate(([0], sentence, ends)))
-    gaps = np.diff(sure)
-    extra = [np.arange(a + stride, b, stride) for a, b in zip(sure[:-1][gaps > stride], sure[1:][gaps > stride])]
+    gaps, most, stride = np.diff(sure), max(longest * width, 1), max(1, min(STRIDE, int(longest * width)))
+    extra = [np.arange(a + stride, b, stride) for a, b in zip(sure[:-1][gaps > most], sure[1:][gaps > most])]
     places = np.unique(np.concatenate([sure, *extra]))
-    penalty = np.full(len(places), CUT_INSIDE)
+    penalty = np.full(len(places), inside * width)
     penalty[np.searchsorted(places, sentence)] = CUT_SENTENCE
     penalty[np.searchsorted(places, ends)] = CUT_DOCUMENT
     return places, penalty
@@ -92,12 +95,13 @@ def library(path: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={}).encode_ordinary
 
 
-def pack(docs: DataFrame, path: str, pattern: str, width: int = 2048, end_id: int = 1, end_marks: bytes = b".!?\n") -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, width: int = 2048, end_id: int = 1, end_marks: bytes = b".!?\n", inside: float = CUT_INSIDE, longest: float = LONGEST) -> DataFrame:
     """Pieces of docs(doc_id, text) in sequences of at most width tokens.
 
     Each text's ids, by the tokenizer file at path, and end_id follow one
     another in the order of the input's partitions; cuts fall where `plan` says.
-    Every id lies in one piece. A null or empty text is end_id alone. Each
+    Every id lies in one piece; ends says if that stops at its document's or a
+    sentence's end or inside one. A null or empty text is end_id alone. Each
     partition packs its own rows, block by block, with what is left of a block
     carried into the next: no shuffle, memory of one block, and a few short
     sequences a partition at most, of powers of two of tokens. The input's order in a partition fixes the
@@ -109,18 +113,16 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = 2048, end_id: in
         coder, added = from_json(path, pattern)
         encode = library(path, pattern)
         ends_sentence = np.array([t.rstrip(b" ")[-1:] in [end_marks[i : i + 1] for i in range(len(end_marks))] for t in coder.token] + [False] * 4096)
-        special = next(iter(added), None)
+        special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         first = TaskContext.get().partitionId() * TASK
 
         def ids_of(text):
-            if special is not None and special in text:
-                parts = []
-                for n, x in enumerate(text.split(special)):
-                    if n:
-                        parts.append(np.array([added[special]], np.uint32))
-                    parts.append(np.array(encode(x), np.uint32))
-                parts.append(np.array([end_id], np.uint32))
-                return np.concatenate(parts)
+            if special is not None and special.search(text):
+                ids, at = [], 0
+                for m in special.finditer(text):
+                    ids += [*encode(text[at : m.start()]), added[m[0]]]
+                    at = m.end()
+                return np.array([*ids, *encode(text[at:]), end_id], np.uint32)
             ids = encode(text)
             ids.append(end_id)
             return np.array(ids, np.uint32)
@@ -136,7 +138,7 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = 2048, end_id: in
             lengths = np.array([len(x[1]) for x in held])
             doc_at = np.concatenate(([0], np.cumsum(lengths)))
             sentence = np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1
-            places, penalty = _places(lengths, sentence, min(STRIDE, width))
+            places, penalty = _places(lengths, sentence, width, inside, longest)
             windows = places[[0, *plan(places, penalty, width)]]
             if last:
                 windows = np.concatenate((windows[:-1], _halved(int(windows[-2]), int(windows[-1]), width)))
@@ -159,8 +161,9 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = 2048, end_id: in
                     pa.array([held[d][3] for d in doc], pa.int64()),
                     pa.array(seq.astype(np.int64) + first),
                     pa.array((begin - windows[seq]).astype(np.int64)),
+                    pa.array(np.where(np.isin(cuts[1:], doc_at), "document", np.where(np.isin(cuts[1:], sentence), "sentence", "inside")), pa.string()),
                 ],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ends"],
             )
             first += len(windows) - 1
             rest, d = [], int(np.searchsorted(doc_at, stop, "right")) - 1
