@@ -6,9 +6,7 @@ import base64
 import hashlib
 import heapq
 import json
-import re
 from array import array
-from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -25,18 +23,13 @@ MEMO = 500_000
 
 
 class _Memo(dict):
-    """Packed 32-bit ids of pieces that begin and end at pre-token boundaries."""
+    """Packed 32-bit ids of pre-tokens."""
 
     def __init__(self, coder: Bpe):
         self.coder = coder
 
     def __missing__(self, piece: str) -> bytes:
-        words = self.coder.pattern.findall(piece)
-        if len(words) > 1:
-            found = b"".join(map(self.__getitem__, words))
-        else:
-            found = array("I", self.coder.merge(piece.encode())).tobytes()
-        self[piece] = found
+        found = self[piece] = array("I", self.coder.merge(piece.encode())).tobytes()
         return found
 
 
@@ -97,55 +90,53 @@ class Bpe:
         return [ranks[p] for p in part if p]
 
     def pre_tokens(self, text: str) -> list[str]:
-        """The pattern's matches in a text of any length.
+        """The pattern's matches, which cover a text without gaps, in a text of any length.
 
         Chunks that overlap are matched each by itself, from its own start, so
         they could be matched anywhere and in any order. A chunk's first matches
         may be wrong, as it can begin within a word; from the first place in the
         overlap at which the chunk before also ends a match, both agree, and the
         later chunk takes over. Where two have no such place (a pre-token longer
-        than the overlap) they are matched anew as one.
+        than the overlap) what follows the earlier one's last sure match is
+        matched anew.
         """
         size = len(text)
-        spans = [(max(0, s - OVERLAP), min(size, s + CHUNK + OVERLAP)) for s in range(0, size, CHUNK)]
-        cuts: list[int] = []
-        for low, high in spans:
-            own = [low + m.end() for m in self.pattern.finditer(text[low:high])]
-            known = set(cuts[bisect_left(cuts, low) :])
-            meet = next((e for e in own if e in known), None) if cuts else low
-            if meet is None:
-                low = cuts[-1]
-                own = [low + m.end() for m in self.pattern.finditer(text[low:high])]
-            else:
-                del cuts[bisect_right(cuts, meet) :]
-                own = own[bisect_right(own, meet) :]
-            cuts += own
-            if high < size:  # the last match may go on beyond the chunk, and one just before it may hang on what follows
-                del cuts[bisect_left(cuts, high - 2) :]
-        return [text[a:b] for a, b in zip([0, *cuts], cuts)]
+        found: list[str] = []
+        end = 0  # of what is found
+        for start in range(0, max(size, 1), CHUNK):
+            high = min(size, start + CHUNK + OVERLAP)
+            low = max(0, start - OVERLAP)
+            own = self.pattern.findall(text[low:high])
+            if start:
+                # ends of the last matches found and of the first ones here, within the overlap
+                known, n = {end: len(found)}, len(found)
+                at = end
+                while n and at > low:
+                    n -= 1
+                    at -= len(found[n])
+                    known[at] = n
+                at, skip = low, 0
+                while at not in known and skip < len(own):
+                    at += len(own[skip])
+                    skip += 1
+                if at in known and at > low:
+                    del found[known[at] :]
+                    own = own[skip:]
+                else:
+                    own = self.pattern.findall(text[end:high])
+                    at = end
+                low = at
+            found += own
+            end = high
+            while found and high < size and end >= high - 2:  # the last match may go on beyond the chunk, and one just before it may hang on what follows
+                end -= len(found.pop())
+        return found
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, as unsigned 32-bit integers.
-
-        In a text of one chunk, a space before a character that is no white
-        space always begins a pre-token; what lies between two such places is
-        encoded by itself and memoised.
-        """
-        pieces = self.pieces(text)
+        """Ids of a text, as unsigned 32-bit integers; pre-tokens are memoised."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.uint32)
-
-    def pieces(self, text: str) -> list[str]:
-        """Stretches of a text that begin and end where pre-tokens do."""
-        if len(text) > CHUNK:
-            return self.pre_tokens(text)
-        if _RUN.search(text):
-            first, *rest = _EDGE.split(text)
-        else:
-            first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        return [first, *rest] if first else rest
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pre_tokens(text))), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, joined; they need not be whole characters."""
@@ -156,10 +147,6 @@ class Bpe:
         return " ".join(map(self.text_of.__getitem__, ids.tolist()))
 
 
-_RUN = re.compile(r" \s")
-_EDGE = regex.compile(r" (?=\S)")
-
-
 @lru_cache(maxsize=4)
 def from_ranks(path: str, pattern: str) -> Bpe:
     """An encoder from a file of base64 byte strings and ranks."""
