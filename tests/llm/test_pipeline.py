@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_dedup import brute_components, brute_exact, brute_print
+from tests.llm.test_dedup import brute_exact
 from tests.llm.test_models import brute_quality
+from tests.llm.test_models import words as brute_words
+from tests.llm.test_shingle_join import brute_jaccard
 from tests.llm.test_tokens import check_packing
 
 
@@ -42,13 +44,35 @@ def test_language_keeps_prose(stages):
 
 def test_exact_takes_effect(stages):
     before, after, _ = stages["exact_dedup"]
-    assert {r.doc_id for r in after} == {x[0] for x in brute_exact([(r.doc_id, r.text) for r in before]) if x[3]}
+    assert sorted(r.doc_id for r in after) == sorted(x[0] for x in brute_exact([(r.doc_id, r.text) for r in before]) if x[3])
 
 
 def test_near_takes_effect(stages):
+    """Similarity 0.8 or more over shingles of five words, against all pairs."""
     before, after, _ = stages["simhash_near_dedup"]
-    items = [(r.doc_id, brute_print(r.text, 5)) for r in before]
-    assert {r.doc_id for r in after} == {i for (i, _), c in zip(items, brute_components(items, 4)) if i == c}
+    items = [(r.doc_id, r.text) for r in before]
+    assert sorted(r.doc_id for r in after) == sorted(i for (i, _), c in zip(items, brute_jaccard(items)) if i == c)
+
+
+SHARED = [
+    (4, "r unique words that no other row of this table has in it at all, not one"), (1, "x  y and some more words that follow so that it is long enough to be kept"),
+    (4, "x y and some more words that follow so that it is long enough to be kept"), (None, "x y and some more words that follow so that it is long enough to be kept"),
+    (None, "another unique text whose row has no id and which must stay, as it is clean"), (None, "another unique text whose row has no id and which must stay, as it is clean"),
+    (8, "short"), (None, "short"), (8, "a clean text that shares its id with a short one, which must go alone then"), (None, None),
+]
+
+
+def test_rows_are_told_apart_without_ids(spark, sf_dir):
+    """Rows that share an id or have none: each stage decides on each row."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in SHARED], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = sf_dir
+    docs = corpus_pipeline.materialize(corpus_pipeline.quality_stage(spark, docs, labels))
+    assert sorted(str((r.doc_id, r.text)) for r in docs.collect()) == sorted(str(x) for x in SHARED if len(brute_words(x[1])) >= 10)
+    docs = corpus_pipeline.materialize(corpus_pipeline.language_stage(spark, docs, labels))
+    assert docs.count() == 7
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        left = stage(spark, docs, labels).collect()
+        assert sorted(str((r.doc_id, " ".join(r.text.split()))[:2]) for r in left) == sorted(str((i, " ".join(t.split()))) for i, t in (SHARED[0], SHARED[1], SHARED[4], SHARED[8]))
 
 
 def test_packing_holds_all(stages, spark, sf_dir):
