@@ -14,31 +14,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MOST_BITS = 6.5
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; rows of a null doc_id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a column ``row`` that tells rows apart, whatever their ids are; written, so that it stays the same."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed")
+
+
+def _kept(keyed: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of keyed that judged(row, kept) keeps."""
+    return keyed.join(judged.filter("kept").select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trusted-against-raw threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.judge(docs, labels).filter("not kept"))
+    return quality.judge(docs, labels, carry=COLUMNS).filter("kept").select("carried.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that some language's model explains."""
-    found = language_id.identify(docs)
-    return _without(docs, found.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("bits_per_byte") > MOST_BITS)))
+    """Documents with letters that some language's model explains; all with letters, if no language could be learned."""
+    explained = F.col("bits_per_byte").isNull() | (F.col("bits_per_byte") <= MOST_BITS)
+    return language_id.identify(docs, carry=COLUMNS).filter(explained & F.col("carried.text").rlike(r"\p{L}")).select("carried.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal documents."""
-    return _without(docs, exact_dedup.exact_groups(docs).filter("not kept"))
+    """One row of each group of equal texts."""
+    keyed = _keyed(docs)
+    return _kept(keyed, exact_dedup.exact_groups(keyed, key="row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts that links of Jaccard similarity 0.8 or more over shingles of five words join."""
-    return _without(docs, shingle_join.near_duplicates(docs, width=5).filter("doc_id <> component_id"))
+    """One row of each group of texts that links of Jaccard similarity 0.8 or more over shingles of five words join."""
+    keyed = _keyed(docs)
+    return _kept(keyed, shingle_join.near_duplicates(keyed, width=5, key="row"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
