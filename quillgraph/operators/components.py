@@ -7,37 +7,30 @@ from pyspark.sql import functions as F
 
 from quillgraph.runtime import materialize
 
-
-#: A node with over this share of all rows is met by a broadcast join, not by the one task that its key would be dealt to.
-HOT = 1 / 2000
-
-
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _to_least(pairs: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
-    """u, v: each of wanted(u, v), rows of pairs, with u's least neighbour m (or u itself, if that is less) in place of u.
+def _to_least(pairs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v: wanted(u, v), rows of pairs, with u's least neighbour m, or u itself if that is less, in place of u; u, m).
 
-    Nodes with many neighbours are at most 1 / HOT by counting, so they can be
-    broadcast; a join for the rest has no large key.
+    The least neighbours are written first: so the join reads its inputs from
+    shuffles alone, and adaptive execution may broadcast the one or split the
+    other where a node has very many links.
     """
-    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-    hot = F.broadcast(low.filter(F.col("n") > max(1000.0, HOT * total)).select("u", "m"))
-    near = wanted.join(hot, "u", "left")
-    rest = near.filter("m is null").drop("m").join(low.select("u", "m"), "u")
-    return near.filter("m is not null").unionByName(rest).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    low = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", light=True)
+    return wanted.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), low
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     pairs = _both(edges)
-    return _to_least(pairs, pairs.filter("v > u"), 2 * total).distinct()
+    return _to_least(pairs, pairs.filter("v > u"))[0].distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("v"))
-    return _to_least(down, down, total).unionByName(low.filter("u <> v")).distinct()
+    moved, low = _to_least(down, down)
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -46,17 +39,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     u and v share any ordered type. Nulls and loops are ignored. Each round is
     two aggregations and their joins, written to the shared folder; the number of
     rounds grows with the logarithm of the longest chain. Nothing but a
-    checksum reaches the driver; nodes with very many links, of which there are
-    few, are met by broadcast. Raises if rounds do not suffice.
+    checksum reaches the driver. Raises if rounds do not suffice.
     """
-    now = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    now = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges", light=True)
     before = None
     for _ in range(rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
             break
         before = mark
-        now = materialize(_small_star(_large_star(now, mark[0]), mark[0]), "edges")
+        now = materialize(_large_star(now), "edges", light=True)
+        now = materialize(_small_star(now), "edges", light=True)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -7,12 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Documents can be long, so batches stay short.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch. Documents can be long, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 512, 2 << 20
 
 
 def session(cpus: str = "8", **conf: str) -> SparkSession:
@@ -34,8 +35,9 @@ def session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once: few rows a batch, as rows are whole documents."""
+    """Bound what a Python worker and its task's buffers hold at once: few rows a batch, as rows are whole documents, and few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,15 +82,32 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path.toString())
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str = "step", light: bool = False) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again.
 
     Cuts the lineage in a way that outlives lost executors, and gives later
-    joins true sizes.
+    joins true sizes. light: rows cost little to make, so adaptive execution
+    merges small partitions up to its advised size, instead of keeping every
+    core busy with a small file each.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false") if light else nullcontext():
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
