@@ -34,12 +34,12 @@ def exact_groups(docs: DataFrame, prefix: int = 64, key: str | None = None) -> D
     )
     # length and prefix: what stands alone here has no equal
     # (both small tables are written, so that the joins read shuffles directly and Spark may split a hot key)
-    coarse = materialize(rows.groupBy("n", "head").agg(F.count("*").alias("rows")).filter("rows > 1").select("n", "head"), "coarse")
+    coarse = materialize(rows.groupBy("n", "head").agg(F.count("*").alias("rows")).filter("rows > 1").select("n", "head"), "coarse", light=True)
     shared = rows.join(coarse, ["n", "head"], "left_semi")
     order = F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "row")
     # by the full hash alone: the join's partitions don't fit it, so each task sums first and the join may be split
     groups = shared.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min_by(F.struct("doc_id", "row"), order).alias("keep")).filter("group_size > 1")
-    joined = rows.join(materialize(groups, "groups"), "text_sha256", "left")
+    joined = rows.join(materialize(groups, "groups", light=True), "text_sha256", "left")
     alone = F.col("keep").isNull()
     return joined.select(
         "doc_id",

@@ -94,20 +94,13 @@ def _firsts(texts: DataFrame, width: int) -> DataFrame:
 
 def _close(nodes: DataFrame) -> DataFrame:
     """u, v: pairs of nodes(node, fp) of equal or close fingerprints that join all such nodes."""
-    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints", light=True)
     twins = nodes.join(prints, "fp").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
     first, second = (prints.select(F.col("fp").alias(c), F.col("lead").alias(n)) for c, n in (("u", "a"), ("v", "b")))
     linked = simhash.links(prints.select("fp"), RADIUS).join(first, "u").join(second, "v")
     return twins.unionByName(linked.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs(u, v) that joined(node, component) doesn't join."""
-    first, second = (joined.select(F.col("node").alias(c), F.col("component").alias(n)) for c, n in (("u", "a"), ("v", "b")))
-    found = pairs.join(first, "u", "left").join(second, "v", "left")
-    return found.filter(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
-
-
 def _members(firsts: DataFrame) -> DataFrame:
     """shingle, node, size, leader for the prefixes' shingles that several nodes have; leader is the smallest of them."""
 
@@ -188,7 +181,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(good)
 
     left = materialize(pairs, "near")
-    wanted = materialize(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "wanted")
+    wanted = materialize(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "wanted", light=True)
     made = texts.join(wanted, "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(made, "sets")
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "a"), ("v", "b")))
@@ -252,7 +245,7 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
     mixed = members.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least < most")
     dealt = members.join(mixed.select("shingle", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "shingle")
-    dealt = materialize(dealt.join(nodes.select("node", "sketch"), "node"), "mixed").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = materialize(dealt.join(nodes.select("node", "sketch"), "node"), "mixed", light=True).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
     keys = ["shingle", "a", "b"]
     dealt = dealt.select(*keys, "own", "node", "class", "size", "sketch").repartition(*keys).sortWithinPartitions(*keys, "class", "node")
@@ -269,13 +262,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) ->
     null one after all others, then the first by key. key: a column that tells
     rows apart; without one, rows are numbered here.
 
-    First, texts of equal or close SimHashes, found by BK-trees, are compared.
-    Edited texts are mostly farther apart than any radius that is cheap to
-    search, so a prefix filter finds the others: in any order of all shingles,
+    Texts of equal or close SimHashes, found by BK-trees, are compared. Edited
+    texts are mostly farther apart than any radius that is cheap to search, so a
+    prefix filter finds the others: in any order of all shingles,
     one of the first n - ceil(0.8 n) + 1 of a set of n is among those of the
     other set too, and no similar pair is missed. So that few dissimilar texts
-    meet, common shingles come last. Texts that share such a shingle are first
-    compared with the smallest of them, which joins large groups of copies by one
+    meet, common shingles come last. Texts that share such a shingle are at first
+    compared with the smallest of them only, which joins large groups of copies by one
     pair a text and shingle; then those that are not joined yet are compared by
     their sketches. Sizes and sketches only rule out what can't be similar; the
     whole sets decide the rest.
@@ -286,22 +279,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) ->
     texts = rows.select("node", "text")
     firsts = _firsts(texts, width)
     members = _members(firsts)
-    nodes = materialize(firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "fp"))), "nodes")
-
-    def joined_by(links):
-        return materialize(connected_components(links), "joined")
-
-    links = _similar(_near(_close(nodes), nodes), texts, width)
-    star = members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    star = materialize(_apart(star, joined_by(links)), "star")
-    links = links.unionByName(_similar(_near(star, nodes), texts, width))
-    classes = members.select("shingle", "node", "size").join(joined_by(links), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
+    nodes = materialize(firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "fp"))), "nodes", light=True)
+    star = members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    star = materialize(star.unionByName(_close(nodes)).distinct(), "star", light=True)
+    links = _similar(_near(star, nodes), texts, width)
+    joined = materialize(connected_components(links), "joined", light=True)
+    classes = members.select("shingle", "node", "size").join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
     links = links.unionByName(_similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), texts, width))
     found = connected_components(links)
     ids = rows.select("doc_id", "row", "node").join(found, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
     ids = materialize(ids, "ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))
-    names = materialize(ids.groupBy("component").agg(first.alias("first")), "names")
+    names = materialize(ids.groupBy("component").agg(first.alias("first")), "names", light=True)
     return ids.join(names, "component").select(
         "doc_id", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), *([F.col("row").alias(key)] if key else [])
     )

@@ -181,10 +181,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     group of copies costs one row after partial aggregation.
     """
     rows = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", light=True)
     found = connected_components(links(distinct.select("fp"), radius))
-    nodes = materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes")
-    names = materialize(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "names")
-    labels = materialize(nodes.join(names, "component").select("fp", "component_id"), "labels")
+    nodes = materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes", light=True)
+    names = materialize(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "names", light=True)
+    labels = materialize(nodes.join(names, "component").select("fp", "component_id"), "labels", light=True)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.join(labels, "fp").select("doc_id", hexed, "component_id")
