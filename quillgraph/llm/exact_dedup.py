@@ -15,8 +15,8 @@ def exact_groups(docs: DataFrame, prefix: int = 64, key: str | None = None) -> D
     Texts are equal if they are so without white space. Of equals the row with
     the most code points stays, then the smallest doc_id (a null id after all
     others). A null text counts as empty. One row of a group is kept, also of
-    rows that share doc_id and text. key: a column that tells rows apart; without
-    one, rows are numbered here.
+    rows that share doc_id and text. key: a column that tells rows apart (rows
+    that share it share the verdict); without one, rows are numbered here.
 
     Groups by the length without white space, then by a hash of the first
     ``prefix`` characters, then, for groups of two rows or more alone, by the
