@@ -15,13 +15,13 @@ MOST_BITS = 6.5
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column ``row`` that tells rows apart, whatever their ids are; written, so that it stays the same."""
-    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed")
+    """docs with a column ``row`` of 128 bits of hashes of id and text; rows that share it are equal texts of one id."""
+    return docs.select(*COLUMNS, F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text")).alias("row"))
 
 
 def _kept(keyed: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of keyed that judged(row, kept) keeps."""
-    return keyed.join(judged.filter("kept").select("row"), "row", "left_semi").select(*COLUMNS)
+    """The rows of keyed that judged(row, kept) keeps, one of those that share ``row``."""
+    return keyed.join(judged.filter("kept").select("row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
