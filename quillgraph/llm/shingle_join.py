@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ BITS = 1024
 RADIUS = 4
 #: Texts of one shingle that a task holds; of more, each two tiles of this size are compared.
 TILE = 4096
+#: Shared shingles of a text that go with it, so that a pair of texts that share several is found at the first of them alone.
+LOWEST = 64
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -191,16 +195,19 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """u, v: pairs of members(shingle, class, node, size) of one shingle, of unlike classes, whose sizes and sketches allow the similarity.
 
-    Sketches are compared where a shingle's members meet, so few pairs leave the
-    task. The members of a shingle that more than TILE have are cut by a hash into
-    tiles, and each two tiles are compared, so no task holds all.
+    Sketches are compared where a shingle's members meet, and a pair leaves the
+    task of the least shingle that both have, if that is among the LOWEST least of
+    both (else, which is rare, of several). The members of a shingle that more
+    than TILE have are cut by a hash into tiles, and each two tiles are compared,
+    so no task holds all.
     """
 
-    def pairs(a, b, own, nodes, classes, sizes, sketches):
+    def pairs(shingle, a, b, own, nodes, classes, sizes, sketches, lowest):
         own, nodes, classes, sizes = (np.array(x) for x in (own, nodes, classes, sizes))
         if classes[0] == classes[-1]:
             return
         bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, BITS // 64)
+        before = [frozenset(x[: bisect_left(x, shingle)]) for x in lowest]
         for at in range(len(nodes)):
             # rows come by class, so the later ones of another class are a range
             low = int(np.searchsorted(classes, classes[at], "right"))
@@ -211,7 +218,8 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
                     fit &= own[start:stop] != own[at]
                 others = start + np.flatnonzero(fit)
                 others = others[_alike(bits[at], bits[others], sizes[others] + sizes[at])]
-                if len(others):
+                others = [n for n in others.tolist() if before[at].isdisjoint(before[n])]
+                if others:
                     yield nodes[at], nodes[others]
 
     def rows(found):
@@ -226,29 +234,30 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
 
     def groups(batches):
-        key, held = None, [[] for _ in range(5)]
+        key, held = None, [[] for _ in range(6)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "a", "b")])
-            columns = [batch.column(c).to_pylist() for c in ("own", "node", "class", "size", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("own", "node", "class", "size", "sketch", "lowest")]
             edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [keys.shape[1]]))
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if (this := tuple(keys[:, low].tolist())) != key:
                     if held[0]:
-                        yield from pairs(*key[1:], *held)
-                    key, held = this, [[] for _ in range(5)]
+                        yield from pairs(*key, *held)
+                    key, held = this, [[] for _ in range(6)]
                 for h, c in zip(held, columns):
                     h.extend(c[low:high])
         if held[0]:
-            yield from pairs(*key[1:], *held)
+            yield from pairs(*key, *held)
 
     mixed = members.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least < most")
-    dealt = members.join(mixed.select("shingle", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "shingle")
-    dealt = materialize(dealt.join(nodes.select("node", "sketch"), "node"), "mixed", light=True).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = materialize(members.join(mixed.select("shingle", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "shingle"), "mixed", light=True)
+    lowest = dealt.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("shingle")), 1, LOWEST).alias("lowest"))  # of a node's prefix
+    dealt = dealt.join(lowest, "node").join(nodes.select("node", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
     keys = ["shingle", "a", "b"]
-    dealt = dealt.select(*keys, "own", "node", "class", "size", "sketch").repartition(*keys).sortWithinPartitions(*keys, "class", "node")
+    dealt = dealt.select(*keys, "own", "node", "class", "size", "sketch", "lowest").repartition(*keys).sortWithinPartitions(*keys, "class", "node")
     return dealt.mapInArrow(lambda batches: rows(groups(batches)), "u long, v long").distinct()
 
 

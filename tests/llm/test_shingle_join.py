@@ -60,7 +60,8 @@ def edited():
 def test_jaccard_components(edited, spark, monkeypatch):
     frame = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
     want = sorted(map(str, zip((i for i, _ in edited), brute_jaccard(edited))))
-    for common, tile in ((200_000, 4096), (10, 4096), (0, 4)):
+    for common, tile, lowest in ((200_000, 4096, 64), (10, 4096, 2), (0, 4, 64)):
+        monkeypatch.setattr(shingle_join, "LOWEST", lowest)
         monkeypatch.setattr(shingle_join, "COMMON", common)
         monkeypatch.setattr(shingle_join, "TILE", tile)
         found = shingle_join.near_duplicates(frame).collect()
