@@ -21,7 +21,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _kept(keyed: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of keyed that judged(row, kept) keeps, one of those that share ``row``."""
-    return keyed.join(judged.filter("kept").select("row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
+    kept = materialize(judged.filter("kept").select("row"), "kept", light=True)
+    left = keyed.join(kept, "row", "left_semi")
+    if kept.distinct().count() < kept.count():
+        left = left.dropDuplicates(["row"])
+    return left.select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
