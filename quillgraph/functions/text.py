@@ -9,21 +9,35 @@ from pyspark.sql import functions as F
 
 # Legal forms that a name loses, foreign forms and place words that mark an entity of its own.
 LEGAL = r"(?iU)\b(?:inc|incorporated|corp|corporation|co|company|llc|l\.l\.c|ltd|limited|plc|nv|n\.v|sa|s\.a|ag|gmbh|holdings?|the)\b"
-FOREIGN_FORMS = "oy oyj ab as aps sas spa srl sarl pte sdn bhd kk gk kft doo bv ug kg cv lda ltda pty pt zoo sro sl unipersonal".split()
-PLACE_STOPWORDS = "the of and new north south east west central".split()
-PLACES = (
-    "america american argentina asia australia austria belgium bermuda brasil brazil britain canada cayman chengdu chile china colombia czech denmark deutschland dublin egypt "
-    "emea england europe european finland france french german germany greece holland hongkong hungary iberia india indonesia ireland israel italia italy japan kong korea "
-    "luxembourg malaysia malta mexico nederland netherlands nordic norway pacific philippines poland portugal prc romania russia scotland shanghai shenzhen singapore slovakia "
-    "slovenia spain suisse sweden swiss switzerland taiwan thailand turkey uk ukraine vietnam wales"
-).split()
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+FOREIGN_FORMS = [
+    "oy", "oyj", "ab", "as", "aps", "sas", "spa", "srl", "sarl", "pte", "sdn", "bhd", "kk", "gk", "kft", "doo", "bv", "ug", "kg", "cv", "lda", "ltda", "pty",
+    "pt", "zoo", "sro", "sl", "unipersonal",
+]
+PLACE_STOPWORDS = [
+    "the", "of", "and", "new", "north", "south", "east", "west", "central",
+]
+PLACES = [
+    "america", "american", "argentina", "asia", "australia", "austria", "belgium", "bermuda", "brasil", "brazil", "britain", "canada", "cayman", "chengdu",
+    "chile", "china", "colombia", "czech", "denmark", "deutschland", "dublin", "egypt", "emea", "england", "europe", "european", "finland", "france", "french",
+    "german", "germany", "greece", "holland", "hongkong", "hungary", "iberia", "india", "indonesia", "ireland", "israel", "italia", "italy", "japan", "kong",
+    "korea", "luxembourg", "malaysia", "malta", "mexico", "nederland", "netherlands", "nordic", "norway", "pacific", "philippines", "poland", "portugal",
+    "prc", "romania", "russia", "scotland", "shanghai", "shenzhen", "singapore", "slovakia", "slovenia", "spain", "suisse", "sweden", "swiss", "switzerland",
+    "taiwan", "thailand", "turkey", "uk", "ukraine", "vietnam", "wales",
+]
+# Numbers in words, what states board service, and the page furniture that is taken out.
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty",
+]
 BOARD = (
     r"(?i)(?:serve[sd]?|has served|currently serves)[^.]{0,60}(?:on the board|as a director|as director|board of directors)"
     r"|\bdirector of\b|\bboard member of\b|\bboards? of\b|director nominee|election of directors|continuing directors"
 )
-#: A long form in quotes' company: two to seven capitalised words, then the short one in brackets and quotes.
-ALIAS = r"((?:[A-Z][\w&.,'-]*\s+){1,6}[A-Z][\w&.,'-]*)\s*\(\s*(?:the\s+)?[\"“]([A-Z][A-Za-z]{1,14})[\"”]\s*\)"
+# Fixed value: two to seven capitalised words, then the short form in brackets, with or without quotes.
+ALIAS = r"(?U)([A-Z][\w&.,'\-]*(?:\s+[A-Z][\w&.,'\-]*){1,6})\s*\(\s*[“\"]?([A-Z][A-Za-z]{1,14})[”\"]?\s*\)"
+
+
+FURNITURE, BLANKS, GAPS = "\n?Table of Contents\n?", "[ \t]+", "\n{3,}"
 
 
 def _col(x: Column | str) -> Column:
@@ -41,8 +55,8 @@ def fold(x: Column | str) -> Column:
 
 def clean(x: Column | str) -> Column:
     """Page furniture out, runs of blanks and of empty lines squeezed, ends stripped; null as empty."""
-    x = F.regexp_replace(F.coalesce(_col(x), F.lit("")), "\n?Table of Contents\n?", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    x = F.regexp_replace(F.coalesce(_col(x), F.lit("")), FURNITURE, "\n")
+    return strip(F.regexp_replace(F.regexp_replace(x, BLANKS, " "), GAPS, "\n\n"))
 
 
 def squash(x: Column | str) -> Column:
@@ -149,5 +163,5 @@ def alias_pairs(x: Column | str) -> Column:
 
 def declares(long: Column | str, short: Column | str) -> Column:
     """Whether a short form belongs to the long one: one of its words, or its initials."""
-    low, norm = fold(short), normalize(long)
-    return F.array_contains(tokens(norm), low) | (low == raw_acronym(long)) | (low == acronym(norm))
+    low, norm = normalize(short), normalize(long)
+    return (low != "") & (F.array_contains(tokens(norm), low) | (low == raw_acronym(long)) | (low == acronym(norm)))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,39 +17,42 @@ from quillgraph.runtime import short_batches
 TARGET, OVERLAP, MIN_CHARS, MAX_DIGITS = 4000, 800, 300, 0.25
 
 
+def _runs(text: str, target: int, step: int) -> Iterator[tuple[list[str], list[str]]]:
+    """(heads, pieces): full-length heads of a paragraph over target, then the pieces up to the next such paragraph, its own rest first."""
+    heads: list[str] = []
+    pieces: list[str] = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        if not paragraph or paragraph.isspace():
+            continue
+        cuts = max(0, -((target - len(paragraph)) // step))
+        if cuts:
+            yield heads, pieces
+            heads, pieces = [paragraph[k * step : k * step + target] for k in range(cuts)], []
+        pieces.append(paragraph[cuts * step :])
+    yield heads, pieces
+
+
 def split(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
     """Chunks of about target characters that share the last ``overlap`` of the one before.
 
-    Paragraphs are kept whole where they fit. One longer than target is cut into
-    heads of target characters, each beginning overlap before the last one's
-    end; what was open before it is closed and not carried over.
+    Paragraphs, as they are between blank lines, are kept whole where they fit.
+    One longer than target is cut into heads of target characters, each
+    beginning overlap before the last one's end; nothing is carried over to them.
+    Of the pieces between, each chunk takes as many as the sums of their lengths
+    allow (a gap counts two), after the end of the chunk before, and one at least.
     """
     chunks: list[str] = []
-    parts: list[str] = []
-    size = 0
-
-    def close() -> str:
-        joined = "\n\n".join(parts)
-        chunks.append(joined)
-        return joined
-
-    for paragraph in re.split(r"\n\s*\n", text):
-        paragraph = paragraph.strip()
-        if not paragraph:
-            continue
-        if len(paragraph) > target and parts:
-            close()
-            parts, size = [], 0
-        while len(paragraph) > target:
-            chunks.append(paragraph[:target])
-            paragraph = paragraph[target - overlap :]
-        if parts and size + len(paragraph) > target:
-            tail = close()[-overlap:]
-            parts, size = [tail], len(tail)
-        parts.append(paragraph)
-        size += len(paragraph) + 2
-    if parts:
-        close()
+    for heads, pieces in _runs(text, target, target - overlap):
+        chunks += heads
+        # reach[k]: the length of pieces 0 to k with their gaps, but for the last one's
+        reach = [total - 2 for total in accumulate(len(x) + 2 for x in pieces)]
+        first, tail = 0, ""
+        while first < len(pieces):
+            room = target - len(tail) + (reach[first - 1] + 2 if first else 0)
+            after = max(first + 1, bisect_right(reach, room))
+            chunk = "\n\n".join(([tail] if first else []) + pieces[first:after])
+            chunks.append(chunk)
+            first, tail = after, chunk[-overlap:]
     return chunks
 
 

@@ -79,7 +79,7 @@ def bootstrap(diffs: DataFrame, slices: list[str], rounds: int = 10_000, seed: i
             if not values:
                 continue
             n = len(values)
-            means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(rounds))
+            means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(rounds))
             low, high = means[int(rounds * 0.025)], means[int(rounds * 0.975)]
             out.append((name, n, sum(values) / n, low, high, not low <= 0 <= high))
         return pd.DataFrame(out, columns=["stratum", "n", "delta", "low", "high", "significant"])

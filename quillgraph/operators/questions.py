@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.runtime import numbered
 from quillgraph.schemas import closed
 
 
-def one_hop(edges: DataFrame, names: DataFrame, templates: DataFrame, per_predicate: int = 2) -> DataFrame:
+def one_hop(edges: DataFrame, names: DataFrame, templates: DataFrame, per_predicate: int = 2, order: list[Column] | None = None) -> DataFrame:
     """question, gold_chunk_ids, expected_answers, predicate, hops from edges and templates(predicate, template, side).
 
-    A few edges of each relation, by a hash of their ends; both ends need names.
+    A few edges of each relation, by ``order`` or a hash of their ends; both ends need names.
     side is the end that answers; null for none.
     """
     s = names.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"))
     o = names.select(F.col("id").alias("object_id"), F.col("name").alias("object"))
-    w = Window.partitionBy("predicate").orderBy(F.xxhash64("subject_id", "object_id"), "subject_id", "object_id")
+    w = Window.partitionBy("predicate").orderBy(*(order or [F.xxhash64("subject_id", "object_id")]), "subject_id", "object_id")
     few = edges.join(F.broadcast(templates), "predicate").join(s, "subject_id").join(o, "object_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_predicate)
     text = F.replace(F.replace("template", F.lit("{subject}"), F.col("subject")), F.lit("{object}"), F.col("object"))
     expected = F.when(F.col("side") == "object", F.array("object")).when(F.col("side") == "subject", F.array("subject")).otherwise(F.array().cast("array<string>"))
@@ -37,6 +37,12 @@ def chains(edges: DataFrame, chain: list[str], allowed, filing_of: DataFrame, wa
     return walk.join(spread.drop("filings"), nodes, "left_semi").orderBy(F.xxhash64(*nodes), *nodes).limit(want)
 
 
+def quota(chained: DataFrame, template: str, per_template: int, order: list) -> DataFrame:
+    """The first ``per_template`` rows of each template, so that no chain crowds out the others."""
+    w = Window.partitionBy(template).orderBy(*order)
+    return chained.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_template).drop("_n")
+
+
 def merged(mined: DataFrame) -> DataFrame:
     """One row a question text: gold and expected united, the rest from the first by ``ord``."""
     rest = [c for c in mined.columns if c not in ("question", "gold_chunk_ids", "expected_answers", "ord")]

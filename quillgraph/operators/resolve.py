@@ -32,11 +32,17 @@ def candidates(records: DataFrame, most: int = BUCKET) -> DataFrame:
     return kept.select("key", F.col("id").alias("i")).join(kept.select("key", F.col("id").alias("j")), "key").filter("i < j").select("i", "j").distinct()
 
 
-def markers(locations: DataFrame) -> Column:
-    """Words that mark an entity of its own: fixed places and foreign forms, and the words of the corpus's locations (a column ``norm``)."""
-    words = [r.w for r in locations.select(F.explode(X.tokens("norm")).alias("w")).distinct().orderBy("w").limit(100_000).collect()]
-    every = sorted((set(words) - set(X.PLACE_STOPWORDS)) | set(X.FOREIGN_FORMS) | set(X.PLACES))
-    return F.split(F.lit(" ".join(every)), " ")
+def markers(locations: DataFrame) -> DataFrame:
+    """word: what marks an entity of its own: fixed places and foreign forms, and the words of the corpus's locations (a column ``norm``)."""
+    fixed = locations.sparkSession.createDataFrame([(w,) for w in sorted({*X.FOREIGN_FORMS, *X.PLACES})], "word string")
+    found = locations.select(F.explode(X.tokens("norm")).alias("word")).filter(~F.col("word").isin(*X.PLACE_STOPWORDS))
+    return found.unionByName(fixed).distinct()
+
+
+def marked(records: DataFrame, words: DataFrame) -> DataFrame:
+    """records(id, norm, …) with ``marks``: which of the words(word) each one's norm has."""
+    held = records.select("id", F.explode(X.tokens("norm")).alias("word")).join(words, "word").groupBy("id").agg(F.collect_set("word").alias("marks"))
+    return records.join(held, "id", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<string>")))
 
 
 def rule(a: str, b: str, override: Column, similarity: Column, marks: Column, tau: float | Column = TAU, floor: float = FLOOR) -> Column:
@@ -71,11 +77,11 @@ def with_overrides(pairs: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumn("same", F.coalesce("s1", "s2")).drop("a1", "b1", "a2", "b2", "s1", "s2")
 
 
-def matches(records: DataFrame, overrides: DataFrame, marks: Column, tau: float = TAU, floor: float = FLOOR, most: int = BUCKET) -> DataFrame:
-    """i, j, rule of the matching pairs of records(id, type, norm, surface, embedding)."""
-    side = records.select("id", F.struct("norm", "surface", "embedding").alias("r"))
+def matches(records: DataFrame, overrides: DataFrame, words: DataFrame, tau: float = TAU, floor: float = FLOOR, most: int = BUCKET) -> DataFrame:
+    """i, j, rule of the matching pairs of records(id, type, norm, surface, embedding); words(word) are the markers."""
+    side = marked(records, words).select("id", F.struct("norm", "surface", "embedding", "marks").alias("r"))
     pairs = candidates(records, most).join(side.select(F.col("id").alias("i"), F.col("r").alias("a")), "i").join(side.select(F.col("id").alias("j"), F.col("r").alias("b")), "j")
-    scored = with_overrides(pairs, overrides).withColumn("rule", rule("a", "b", F.col("same"), cosine("a.embedding", "b.embedding", 1e-9), marks, tau, floor))
+    scored = with_overrides(pairs, overrides).withColumn("rule", rule("a", "b", F.col("same"), cosine("a.embedding", "b.embedding", 1e-9), F.array_union("a.marks", "b.marks"), tau, floor))
     return scored.filter("rule is not null").select("i", "j", "rule")
 
 

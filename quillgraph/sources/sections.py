@@ -44,7 +44,7 @@ def flatten(filings: DataFrame) -> DataFrame:
     keep = ["ticker", "company", "cik", "form", "accession", "filing_date"]
     items = filings.select(*keep, F.explode("sections").alias("item", "raw"))
     wanted = ((F.col("form") == "10-K") & F.col("item").isin(*ANNUAL_ITEMS)) | ((F.col("form") == "8-K") & F.col("item").isin(*CURRENT_ITEMS)) | (F.col("form") == "DEF 14A")
-    items = items.filter(wanted).select(*keep, F.concat_ws("/", "form", "item").alias("section_path"), "raw")
+    items = items.filter(wanted).select(*keep, F.when(F.col("form") == "DEF 14A", F.col("form")).otherwise(F.concat_ws("/", "form", "item")).alias("section_path"), "raw")
     first = F.get(F.filter("exhibits", lambda e: e["kind"].startswith("EX-21")), F.lit(0))
     exhibit = filings.filter(F.col("form") == "10-K").select(*keep, F.lit("10-K/EX-21").alias("section_path"), first["text"].alias("raw")).filter(F.col("raw").isNotNull())
     return items.unionByName(exhibit).withColumn("text", X.clean("raw")).drop("raw").filter(F.length("text") >= MIN_CHARS)

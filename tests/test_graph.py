@@ -94,7 +94,9 @@ def test_resolution_rules(spark):
     rows = [(a, b, c) for a, b, c, _ in cases]
     df = spark.createDataFrame(rows, "x string, y string, sim double")
     df = df.select(F.struct(F.col("x").alias("surface"), *[resolve.X.normalize("x").alias("norm")]).alias("a"), F.struct(F.col("y").alias("surface"), resolve.X.normalize("y").alias("norm")).alias("b"), "sim")
-    marks = resolve.markers(spark.createDataFrame([("lyon",)], "norm string"))
+    words = {r.word for r in resolve.markers(spark.createDataFrame([("lyon",), ("the north",)], "norm string")).collect()}
+    assert {"lyon", "germany", "oy"} <= words and not {"the", "north"} & words
+    marks = F.array(*[F.lit(w) for w in sorted(words)])
     got = [r.rule for r in df.select(resolve.rule("a", "b", F.lit(None).cast("boolean"), F.col("sim"), marks).alias("rule")).collect()]
     assert got == [c[3] for c in cases]
 
@@ -247,6 +249,19 @@ def test_percentile_index(spark):
         assert evals.latency(df.withColumn("k", F.lit(1)), ["k"], "x").first().p95 == want
 
 
+def test_bootstrap_draws_as_a_serial_run_does(spark):
+    import random
+
+    diffs = {"a": [0.0, 1.0, -1.0, 1.0, 0.0, 1.0, 1.0], "b": [1.0, 0.0, -1.0]}
+    rng, want = random.Random(0), []
+    for name in ("a", "b"):
+        d, n = diffs[name], len(diffs[name])
+        boots = sorted(sum(d[rng.randrange(n)] for _ in range(n)) / n for _ in range(1000))
+        want.append((name, boots[25], boots[975]))
+    df = spark.createDataFrame([(k, i, x) for k, v in diffs.items() for i, x in enumerate(v)], "stratum string, ord long, diff double")
+    assert [(r.stratum, r.low, r.high) for r in evals.bootstrap(df, ["a", "b"], 1000).collect()] == want
+
+
 def test_bootstrap_is_fixed(spark):
     df = spark.createDataFrame([("all", i, float(i % 3 - 1 + (i % 2))) for i in range(30)], "stratum string, ord long, diff double")
     a, b = (evals.bootstrap(df, ["all", "none"], 500).collect() for _ in range(2))
@@ -288,6 +303,8 @@ def test_sections(spark):
     filings = sections.newest(spark.createDataFrame(rows, kind))
     assert filings.count() == 9
     docs = sections.flatten(filings).collect()
+    proxy = spark.createDataFrame([("T", "C", 1, "DEF 14A", "p1", day(3), {"whole": "w " * 200}, [])], kind)
+    assert [d.section_path for d in sections.flatten(proxy).collect()] == ["DEF 14A"]
     assert sorted({d.section_path for d in docs}) == ["10-K/EX-21", "10-K/Item 1", "8-K/Item 5.02"] and len(docs) == 10
     manifest = spark.createDataFrame([("T", ["k2"])], "ticker string, accessions array<string>")
     assert sections.pinned(filings, manifest).count() == 1 and sections.not_done(filings, manifest).count() == 0
@@ -306,6 +323,33 @@ def test_scanner(size):
     assert [c["text"] for c in found] == ['one } "x" \\ {', "two", "three"]
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_scanner_on_odd_replies(size):
+    replies = {
+        '{"claims": [], "after": [{"text": "no"}]}': [],
+        '{"x": [{"text": "no"}], "claims" :\n [ {"text": "a", "more": {"b": [1, {"c": "]}"}]}} , {"text": "\\\\"},{"text": "\\""}]}': ["a", "\\", '"'],
+        '{"claims": [{"text": bad}, {"text": "good"}]} {"claims": [{"text": "late"}]}': ["good"],
+        '{"claims": [{"text": "open': [],
+        "": [],
+    }
+    for reply, want in replies.items():
+        scanner, found = claims.ClaimScanner(), []
+        for i in range(0, len(reply), size):
+            found += scanner.feed(reply[i : i + size])
+        assert [c["text"] for c in found] == want
+
+
+def test_event_order(spark):
+    requests = spark.createDataFrame([("a", "graph", ["2", "1"], None, None), ("b", "refuse", [], "router_refused", None), ("c", "vector", ["9"], None, "down")], "request_id string, route string, citable array<string>, reason string, error string")
+    kept = spark.createDataFrame([("a", 0, "one", ["1"]), ("a", 2, "two", ["2"])], claims.OUTPUT)
+    log = claims.event_log(requests, kept).orderBy("request_id", "seq").collect()
+    assert [(r.request_id, r.seq, r.event.split("\n")[0].split(": ")[1]) for r in log] == [("a", 0, "retrieved"), ("a", 1, "claim"), ("a", 2, "claim"), ("a", 3, "done"), ("b", 0, "retrieved"), ("b", 1, "done"), ("c", 0, "retrieved"), ("c", 1, "error")]
+    assert json.loads(log[0].event.split("data: ")[1]) == {"route": "graph", "citable": ["1", "2"]}
+    assert json.loads(log[5].event.split("data: ")[1]) == {"answerable": False, "refusal_reason": "router_refused"}
+    lines = spark.createDataFrame([("a", 0, ": keep-alive"), ("a", 1, 'data: {"choices": [{"delta": {"content": "x\\ny"}}]}'), ("a", 2, 'data: {"choices": [{"delta": {}}]}'), ("a", 3, "data: [DONE]")], "request_id string, seq long, line string")
+    assert [(r.seq, r.delta) for r in claims.deltas(lines).collect()] == [(1, "x\ny")]
+
+
 def test_only_checked_claims_are_published(spark):
     found = spark.createDataFrame([("r", 0, "one", ["[1]"]), ("r", 1, "two", ["zz"]), ("r", 2, "three", [])], claims.OUTPUT)
     valid = spark.createDataFrame([("r", ["1", "2"])], "request_id string, valid_ids array<string>")

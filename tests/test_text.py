@@ -59,6 +59,10 @@ def test_clean_and_squash(spark):
 def test_alias_declaration(spark):
     pairs = one(spark, 'We, Blue River Mining, Inc. ("Blue") and others.', X.alias_pairs)
     assert [p.short for p in pairs] == ["Blue"]
+    pairs = one(spark, "At Blue River Mining (Blue) and Île Zürich Énergie Works (Works), not lower case (Case).", X.alias_pairs)
+    assert [(p.long, p.short) for p in pairs] == [("At Blue River Mining", "Blue")]
+    pairs = one(spark, "by Alpha Zürich Énergie (“Alpha”) and Alpha Zür&Co. Works ( Works )", X.alias_pairs)
+    assert [(p.long, p.short) for p in pairs] == [("Alpha Zür&Co. Works", "Works")]
     df = spark.createDataFrame([("Blue River Mining", "Blue"), ("Blue River Mining", "BRM"), ("Blue River Mining", "Green")], "l string, s string")
     assert [r.y for r in df.select(X.declares("l", "s").alias("y")).collect()] == [True, True, False]
 
@@ -81,6 +85,20 @@ def test_split_covers_and_overlaps():
     assert parts[1].startswith(parts[0][-800:])
 
 
+@pytest.mark.parametrize(
+    "text,chunks",
+    [
+        ("Alpha \n\n  Beta", ["Alpha \n\n  Beta"]),  # paragraphs stay as they are
+        ("a" * 10 + "\n\n" + "b" * 8 + "\n \n\ncc", ["a" * 10 + "\n\n" + "b" * 8, "bbbbb\n\ncc"]),  # 12 + 8 fit into 20, 22 + 2 don't
+        ("a" * 10 + "\n\n" + "b" * 9 + "\n\n\n", ["a" * 10, "aaaaa\n\n" + "b" * 9]),
+        ("q\n\n" + "x" * 18 + "y" * 12 + "\n\nzzz\n\nw", ["q", "x" * 18 + "yy", "xxx" + "y" * 12 + "\n\nzzz", "\n\nzzz\n\nw"]),
+        ("x" * 20 + "\n\n" + "y" * 20, ["x" * 20, "xxxxx\n\n" + "y" * 20]),
+    ],
+)
+def test_split_by_hand(text, chunks):
+    assert chunking.split(text, 20, 5) == chunks
+
+
 def test_split_long_paragraph():
     text = "".join(chr(97 + i % 26) for i in range(10_000))
     parts = chunking.split("short one\n\n" + text)
