@@ -151,6 +151,16 @@ def bare_citation(x: Column | str) -> Column:
     return strip(F.regexp_replace(strip(x), r"^[\[\]]+|[\[\]]+$", ""))
 
 
+def iso_utc(ts: Column | str) -> Column:
+    """A time as ISO 8601 in UTC, to the second; sessions run in UTC."""
+    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def as_date(x: Column | str) -> Column:
+    """The date that a text begins with; null for none."""
+    return F.try_to_date(F.substring(_col(x), 1, 10), "yyyy-MM-dd")
+
+
 def query_words(x: Column | str) -> Column:
     """Characters with a meaning in a search syntax as spaces."""
     return F.regexp_replace(_col(x), r'[+\-&|!(){}\[\]^"~*?:\\/]', " ")

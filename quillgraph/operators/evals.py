@@ -100,6 +100,18 @@ def key_score(hops: Column, category: Column, refused: Column, expected: Column,
     )
 
 
+def answer_text(claims: Column | str) -> Column:
+    """An answer's claims as one text."""
+    return F.array_join(F.transform(claims, lambda c: c["text"]), " ")
+
+
+def exact_counts(rows: DataFrame) -> DataFrame:
+    """One row over rows(qid, category, expected_count, claims): how many counting questions there are, how many state their count, and which don't."""
+    asked = rows.filter("category = 'aggregation'")
+    hit = F.coalesce(F.array_contains(X.stated_numbers(answer_text("claims")), F.col("expected_count").cast("long")), F.lit(False))
+    return asked.agg(F.count("*").alias("asked"), F.count_if(hit).alias("exact"), F.sort_array(F.collect_list(F.when(~hit, F.col("qid")))).alias("missed"))
+
+
 def verdict(hops: Column, refused: Column, judged: Column) -> Column:
     """The verdict where the kind of question settles it, else the judge's."""
     return F.when(refused & (hops == 0), "correct").when(refused, "refused").when(hops == 0, "incorrect").otherwise(judged)

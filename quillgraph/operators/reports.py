@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.context import budget_prefix
-from quillgraph.schemas import ENTITY_TYPES, RELATIONS, RISK_TOPICS
+from quillgraph.schemas import DEFINITIONS, ENTITY_TYPES, RELATIONS, RISK_TOPICS
 
 
 def vocabulary_block(relations=RELATIONS, types=ENTITY_TYPES, topics=RISK_TOPICS) -> str:
     """The vocabulary as text for a prompt."""
     lines = ["Entity types: " + ", ".join(types), "Relations:"]
-    lines += [f"- {name}: {subject} -> {object_}" for name, subject, object_, *_ in relations]
+    lines += [f"- {name} ({subject} -> {object_})" + (f": {DEFINITIONS[name]}" if name in DEFINITIONS else "") for name, subject, object_, *_ in relations]
     return "\n".join([*lines, "Risk topics: " + "; ".join(topics)])
 
 

@@ -119,6 +119,13 @@ def declared_pairs(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return found.join(known, X.normalize(F.col("a")) == known["norm"], "left_semi").join(known, X.normalize(F.col("b")) == known["norm"], "left_semi")
 
 
+def chunk_mentions(chunks: DataFrame, extractions: DataFrame) -> DataFrame:
+    """chunks with the mentions that extractions(chunk_id, mentions) have of them; none is an empty array."""
+    kind = extractions.schema["mentions"].dataType
+    found = chunks.join(extractions.select("chunk_id", "mentions"), "chunk_id", "left")
+    return found.withColumn("mentions", F.coalesce("mentions", F.array().cast(kind)))
+
+
 def listed_pairs(exhibits: DataFrame) -> DataFrame:
     """a, b, source from exhibits(chunk_id, filer, names array): filer and each name, and all two names of one list (a theta join within a chunk)."""
     rows = exhibits.select("chunk_id", "filer", F.posexplode("names").alias("pos", "name"))

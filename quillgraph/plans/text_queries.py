@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
@@ -22,15 +23,35 @@ def chunk_hard_split(spark, sf_dir):
     return rows.select("doc_id", "ordinal", "chunk_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, source, text, regexp_replace(text, '[ \t\n]', '', 'g') AS solid FROM documents)
-SELECT doc_id, length(text) >= 300 AND (source NOT IN ('src1', 'src2') OR (regexp_matches(text, '(?i)\b(?:the|und|des|de)\b') AND length(regexp_replace(solid, '[^0-9]', '', 'g')) / greatest(length(solid), 1) < 0.25)) AS keep FROM d""")
+KEEP_SQL = r"""WITH d AS (SELECT doc_id, source IN ('src1', 'src2') AS proxy, CASE WHEN doc_id % 3 = 0 THEN text || ' She has served since 2019 as a Director of the firm.' WHEN doc_id % 7 = 0 THEN text || ' Boards of 12345678901234567890' ELSE text END AS text FROM documents),
+e AS (SELECT *, length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(regexp_replace(text, '\s', '', 'g')), 1) AS density FROM d)
+SELECT doc_id, length(text) >= 300 AND (NOT proxy OR (regexp_matches(text, '(?i)(?:serve[sd]?|has served|currently serves)[^.]{0,60}(?:on the board|as a director|as director|board of directors)|\bdirector of\b|\bboard member of\b|\bboards? of\b|director nominee|election of directors|continuing directors') AND density < 0.25)) AS keep FROM e"""
+
+
+@query(KEEP_SQL)
 def chunk_keep_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    solid = F.regexp_replace("text", "[ \t\n]", "")
-    density = F.length(F.regexp_replace(solid, "[^0-9]", "")) / F.greatest(F.length(solid), F.lit(1))
-    proxy = F.col("source").isin("src1", "src2")
-    said = F.col("text").rlike(r"(?i)\b(?:the|und|des|de)\b")
-    return d.select("doc_id", ((F.length("text") >= chunking.MIN_CHARS) & (~proxy | (said & (density < chunking.MAX_DIGITS)))).alias("keep"))
+    """Documents as chunks; those of two sources as proxies, some with a sentence on a board."""
+    i = F.col("doc_id")
+    said = F.when(i % 3 == 0, F.concat("text", F.lit(" She has served since 2019 as a Director of the firm."))).when(i % 7 == 0, F.concat("text", F.lit(" Boards of 12345678901234567890"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.keep(said, F.col("source").isin("src1", "src2")).alias("keep"))
+
+
+PARAGRAPHS_SQL = r"""WITH p AS (SELECT doc_id, i, repeat(chr((97 + (doc_id + i) % 26)::INT) || ' ', 300 + (doc_id * 7 + i * 131) % 900) AS piece FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0), (SELECT unnest(range(0, 9)) AS i)),
+l AS (SELECT doc_id, list(piece ORDER BY i) AS pieces FROM p GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(list_prepend({'done': []::VARCHAR[], 'open': '', 'size': 0::BIGINT}, list_transform(pieces, lambda x: {'done': []::VARCHAR[], 'open': x, 'size': length(x)::BIGINT + 2})), lambda a, x:
+    CASE WHEN a.size > 0 AND a.size + x.size - 2 > 4000 THEN {'done': list_append(a.done, a.open), 'open': right(a.open, 800) || chr(10) || chr(10) || x.open, 'size': 800 + x.size}
+    WHEN a.size > 0 THEN {'done': a.done, 'open': a.open || chr(10) || chr(10) || x.open, 'size': a.size + x.size} ELSE x END) AS s FROM l),
+c AS (SELECT doc_id, list_append(s.done, s.open) AS chunks FROM f)
+SELECT doc_id, (i - 1)::BIGINT AS ordinal, substr(sha256(doc_id || '|' || (i - 1)), 1, 16) AS chunk_id, sha256(chunks[i]) AS digest FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM c)"""
+
+
+@query(PARAGRAPHS_SQL)
+def chunk_paragraphs(spark, sf_dir):
+    """Texts of nine paragraphs, with blanks at their ends, as chunks."""
+    i = F.col("doc_id")
+    piece = lambda k: F.repeat(F.concat(F.char((97 + (i + k) % 26).cast("int")), F.lit(" ")), (300 + (i * 7 + k * 131) % 900).cast("int"))
+    texts = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8)), piece), "\n \n").alias("text"))
+    return chunking.chunk(texts, ["doc_id"]).select("doc_id", "ordinal", "chunk_id", F.sha2("text", 256).alias("digest"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '\n?Table of Contents\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g').trim(chr(10) || ' ') AS cleaned FROM pages")
@@ -115,18 +136,26 @@ def _similar(i, j):
     return ((i * 31 + j * 17) % 100) / 100.0
 
 
+def _overrides(spark, sf_dir):
+    """Each norm and the next one in order: the same where the first has an even length."""
+    norms = _records(spark, sf_dir).select("norm").distinct()
+    following = F.lead("norm").over(Window.orderBy("norm"))
+    return norms.select(F.col("norm").alias("a"), following.alias("b"), (F.length("norm") % 2 == 0).alias("same")).filter("b is not null")
+
+
 def _rules(spark, sf_dir):
-    r = _records(spark, sf_dir).select("id", F.struct("norm", "surface").alias("r"))
+    r = resolve.marked(_records(spark, sf_dir), resolve.markers(spark.createDataFrame([], "norm string"))).select("id", F.struct("norm", "surface", "marks").alias("r"))
     pairs = resolve.candidates(_records(spark, sf_dir)).join(r.select(F.col("id").alias("i"), F.col("r").alias("a")), "i").join(r.select(F.col("id").alias("j"), F.col("r").alias("b")), "j")
-    marks = F.split(F.lit(" ".join(sorted({*X.PLACES, *X.FOREIGN_FORMS}))), " ")
-    return pairs.withColumn("rule", resolve.rule("a", "b", F.lit(None).cast("boolean"), _similar(F.col("i"), F.col("j")), marks)).filter("rule is not null").select("i", "j", "rule")
+    pairs = resolve.with_overrides(pairs, _overrides(spark, sf_dir))
+    return pairs.withColumn("rule", resolve.rule("a", "b", F.col("same"), _similar(F.col("i"), F.col("j")), F.array_union("a.marks", "b.marks"))).filter("rule is not null").select("i", "j", "rule")
 
 
 RULES = RECORDS + """, two AS (SELECT i, j, a.norm AS an, b.norm AS bn, a.acr AS aa, b.acr AS ba, a.racr AS ar, b.racr AS br, list_distinct(string_split(a.norm, ' ')) AS ta, list_distinct(string_split(b.norm, ' ')) AS tb FROM pairs JOIN r3 a ON a.id = i JOIN r3 b ON b.id = j),
-ruled AS (SELECT i, j, CASE WHEN an = bn THEN 'exact'
+ov AS (SELECT norm AS a, lead(norm) OVER (ORDER BY norm) AS b, length(norm) % 2 = 0 AS same FROM (SELECT DISTINCT norm FROM r)),
+ruled AS (SELECT i, j, CASE WHEN coalesce(o1.same, o2.same) THEN 'override' WHEN coalesce(o1.same, o2.same) IS NOT NULL THEN NULL WHEN an = bn THEN 'exact'
     WHEN (length(an) >= 2 AND an NOT LIKE '% %' AND (ba = an OR br = an)) OR (length(bn) >= 2 AND bn NOT LIKE '% %' AND (aa = bn OR ar = bn)) THEN 'acronym'
     WHEN list_contains(ta, 'germany') <> list_contains(tb, 'germany') THEN NULL
-    WHEN (i * 31 + j * 17) % 100 / 100.0 >= 0.88 AND len(list_intersect(ta, tb)) / len(list_distinct(ta || tb)) >= 0.67 THEN 'embedding' END AS rule FROM two)
+    WHEN (i * 31 + j * 17) % 100 / 100.0 >= 0.88 AND len(list_intersect(ta, tb)) / len(list_distinct(ta || tb)) >= 0.67 THEN 'embedding' END AS rule FROM two LEFT JOIN ov o1 ON o1.a = an AND o1.b = bn LEFT JOIN ov o2 ON o2.a = bn AND o2.b = an)
 """
 
 
@@ -145,13 +174,13 @@ def resolve_components(spark, sf_dir):
     return connected_components(edges)
 
 
-@query("WITH RECURSIVE " + RULES + """, m AS (SELECT i AS u, j AS v FROM ruled WHERE rule = 'exact'), s AS (SELECT u, v FROM m UNION SELECT v, u FROM m), reach(node, other) AS (SELECT u, u FROM s UNION SELECT node, v FROM reach JOIN s ON other = u),
+@query("WITH RECURSIVE " + RULES + """, m AS (SELECT i AS u, j AS v FROM ruled WHERE rule IN ('exact', 'override')), s AS (SELECT u, v FROM m UNION SELECT v, u FROM m), reach(node, other) AS (SELECT u, u FROM s UNION SELECT node, v FROM reach JOIN s ON other = u),
 comp AS (SELECT r.id, r.norm, r.surface, coalesce(min(other), r.id) AS class, (1 + r.id % 4) AS n FROM r LEFT JOIN reach ON node = id GROUP BY r.id, r.norm, r.surface),
 g AS (SELECT class, min(norm) AS low, arg_max(surface, struct_pack(a := n, b := -length(surface), c := -id)) AS name, list_sort(list_distinct(list(surface))) AS every, sum(n)::BIGINT AS mention_count FROM comp GROUP BY class)
 SELECT substr(sha256('Company|' || low), 1, 16) AS canonical_id, name, array_to_string(list_filter(every, lambda x: x <> name), ';') AS aliases, mention_count FROM g""")
 def entity_build(spark, sf_dir):
     records = _records(spark, sf_dir).withColumns({"n": 1 + F.col("id") % 4, "chunks": F.array(F.col("id").cast("string")), "ord": F.col("id")})
-    built = resolve.entities(records, _rules(spark, sf_dir).filter("rule = 'exact'"))
+    built = resolve.entities(records, _rules(spark, sf_dir).filter("rule in ('exact', 'override')"))
     return built.select("canonical_id", "name", F.array_join("aliases", ";").alias("aliases"), "mention_count")
 
 

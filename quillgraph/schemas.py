@@ -34,6 +34,23 @@ RELATIONS = (
     ("EXPOSED_TO", "Company", "RiskTopic", "is exposed to the risk of", "companies disclosing it as a material risk"),
     ("PARTY_TO", "Company", "LegalProceeding", "is a party to", "named parties"),
 )
+#: What each relation states, for whoever extracts it.
+DEFINITIONS = {
+    "SUBSIDIARY_OF": "the object owns or controls the subject",
+    "ACQUIRED": "the subject bought the object or merged with it",
+    "COMPETES_WITH": "the text names the object among the subject's competitors",
+    "SUPPLIES": "the subject sells parts, materials, rights or services to the object, which uses them",
+    "PARTNERS_WITH": "the two have an alliance, licence or venture that the text names",
+    "AUDITED_BY": "the object's accountants audit the subject",
+    "OFFICER_OF": "the person holds an executive office there",
+    "DIRECTOR_OF": "the person has a seat on that board, of the filer or of any other company",
+    "OFFERS": "the object is a product or service that the subject sells under its name",
+    "INCORPORATED_IN": "the state or country under whose law the subject exists",
+    "OPERATES_IN": "the subject has sites, staff or much of its sales there",
+    "REGULATED_BY": "a public body with power over the subject",
+    "EXPOSED_TO": "the text states the topic as a material risk of the subject",
+    "PARTY_TO": "the subject is a named party of the suit or investigation",
+}
 RISK_TOPICS = (
     "supply chain concentration",
     "customer concentration",
