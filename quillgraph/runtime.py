@@ -110,6 +110,15 @@ def materialize(df: DataFrame, name: str = "step", light: bool = False) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that may be broadcast: some bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most so many rows; beyond, joins with it shuffle."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """df with each row's number from 0 in the given order, without gathering all rows in one task.
 
