@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import simhash
 from quillgraph.llm.common import documents, raw
 from quillgraph.operators.components import connected_components
-from quillgraph.runtime import materialize, short_batches
+from quillgraph.runtime import if_small, materialize
 
 #: The least similarity, as a fraction of whole numbers: 4/5.
 OVER, UNDER = 4, 5
@@ -27,7 +27,7 @@ RADIUS = 4
 #: Texts of one shingle that a task holds; of more, each two tiles of this size are compared.
 TILE = 4096
 #: Shared shingles of a text that go with it, so that a pair of texts that share several is found at the first of them alone.
-LOWEST = 64
+LOWEST = 16
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     left = materialize(pairs, "near")
     wanted = materialize(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "wanted", light=True)
-    made = texts.join(wanted, "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    made = texts.join(if_small(wanted), "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(made, "sets")
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "a"), ("v", "b")))
     return materialize(left.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar")
