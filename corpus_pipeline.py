@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import exact_dedup, language_id, packing, quality, shingle_join
-from quillgraph.runtime import materialize
+from quillgraph.runtime import if_small, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text that needs more bits a byte than this under every language's model resembles none of them.
@@ -20,10 +20,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _kept(keyed: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of keyed that judged(row, kept) keeps, one of those that share ``row``."""
-    kept = materialize(judged.filter("kept").select("row"), "kept", light=True)
-    left = keyed.join(kept, "row", "left_semi")
-    if kept.distinct().count() < kept.count():
+    """The rows of keyed that judged(row, kept) keeps, one of those that share ``row``, which share the verdict too."""
+    verdicts = materialize(judged.select("row", "kept"), "verdicts", light=True)
+    dropped = materialize(verdicts.filter("not kept").select("row").distinct(), "dropped", light=True)
+    left = keyed.join(if_small(dropped), "row", "left_anti")
+    if not verdicts.filter("kept").groupBy("row").count().filter("count > 1").isEmpty():
         left = left.dropDuplicates(["row"])
     return left.select(*COLUMNS)
 
