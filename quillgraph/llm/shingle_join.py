@@ -174,7 +174,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs(u, v) of similar sets, which are made again from the texts."""
 
     def sets_of(batches):
+        seen: set[int] = set()  # of wanted nodes: a task passes each on once
         for batch in batches:
+            fresh = [n for n, node in enumerate(batch.column("node").to_pylist()) if not (node in seen or seen.add(node))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             found = [shingle_set(t, width).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
@@ -185,10 +188,12 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(good)
 
     left = materialize(pairs, "near")
-    wanted = materialize(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "wanted", light=True)
-    made = texts.join(if_small(wanted), "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(made, "sets")
-    first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    ends = {c: materialize(left.select(F.col(c).alias("node")).distinct(), "ends", light=True) for c in ("u", "v")}
+    wanted = materialize(ends["u"].union(ends["v"]).distinct(), "wanted", light=True)
+    sets = materialize(texts.join(if_small(wanted), "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary"), "sets")
+    if sets.count() > wanted.count():  # equal texts in several tasks
+        sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    first, second = (sets.join(if_small(ends[c]), "node", "left_semi").select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "a"), ("v", "b")))
     return materialize(left.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar")
 
 
@@ -293,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) ->
     star = materialize(star.unionByName(_close(nodes)).distinct(), "star", light=True)
     links = _similar(_near(star, nodes), texts, width)
     joined = materialize(connected_components(links), "joined", light=True)
-    classes = members.select("shingle", "node", "size").join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
+    classes = members.select("shingle", "node", "size").join(if_small(joined), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
     links = links.unionByName(_similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), texts, width))
     found = connected_components(links)
     ids = rows.select("doc_id", "row", "node").join(found, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
