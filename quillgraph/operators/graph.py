@@ -106,29 +106,94 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def neighbourhood_counts(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, examples: int = 8) -> DataFrame:
-    """anchor, predicate, outbound, n, examples, chunk_ids: exact counts of distinct neighbour names, the first names in order."""
-    named = neighbourhood(edges, anchors).join(nodes.select(F.col("id").alias("neighbour"), "name"), "neighbour")
-    ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list("chunk_ids"))))
-    grouped = named.groupBy("anchor", "predicate", "outbound").agg(F.sort_array(F.collect_set("name")).alias("names"), ids.alias("chunk_ids"))
-    return grouped.select("anchor", "predicate", "outbound", F.size("names").cast("long").alias("n"), F.slice("names", 1, examples).alias("examples"), "chunk_ids")
-
-
-def shared_neighbour(edges: DataFrame, predicate: str, allowed, most: int, examples: int = 3) -> DataFrame:
-    """a, b, n, examples: pairs of objects of one relation by the subjects that they share, the most shared first.
+def neighbourhood_counts(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, examples: int = 8, cites: int | None = None) -> DataFrame:
+    """anchor, predicate, outbound, n, examples, chunk_ids: exact counts of distinct neighbour names, the first names in order, all evidence, or the first ``cites`` ids of it.
 
-    An equi-join on the subject with a < b; counts are summed in tasks first.
+    Names are made distinct by a group-by of their own, so a hub's names are dealt
+    over tasks, then counted; the first ones are ranked with a limit in each
+    task. Evidence is gathered whole only where no ``cites`` is given.
     """
-    e = edges.filter(F.col("predicate") == closed(predicate, allowed)).select("subject_id", "object_id").distinct()
+    group = ["anchor", "predicate", "outbound"]
+    touching = neighbourhood(edges, anchors).select(*group, "neighbour", "chunk_ids")
+    named = materialize(touching.join(nodes.select(F.col("id").alias("neighbour"), "name"), "neighbour").select(*group, "name", "chunk_ids"), "named", light=True)
+    names = named.filter("name is not null").select(*group, "name").distinct()
+    n = names.groupBy(*group).agg(F.count("*").alias("n"))
+    first = names.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("name"))).filter(F.col("place") <= examples)
+    shown = first.groupBy(*group).agg(F.sort_array(F.collect_list("name")).alias("examples"))
+    cited = named.select(*group, F.explode("chunk_ids").alias("chunk_id")).distinct()
+    if cites is not None:
+        cited = cited.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("chunk_id"))).filter(F.col("place") <= cites)
+    cited = cited.groupBy(*group).agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    found = named.select(*group).distinct().join(n, group, "left").join(shown, group, "left").join(cited, group, "left")
+    kinds = dict(named.dtypes)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return found.select(*group, F.coalesce("n", F.lit(0)).alias("n"), none("examples", f"array<{kinds['name']}>"), none("chunk_ids", kinds["chunk_ids"]))
+
+
+#: Objects of a subject that meet in one task; longer lists are cut into blocks that meet two by two.
+BLOCK = 512
+#: Objects, those with most subjects, whose pairs are counted first, as a multiple of the pairs wanted.
+LEAD = 4
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """subject_id, a, b with a < b from left(subject_id, a) and right(subject_id, b).
+
+    Both lists of a subject fall into blocks of about BLOCK by a hash; each block
+    of one goes to each of the other, so a hub is as many tasks' work as it has pairs of blocks.
+    """
+    n = left.groupBy("subject_id").agg(F.count("*").alias("left_n")).join(right.groupBy("subject_id").agg(F.count("*").alias("right_n")), "subject_id")
+    cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    blocks = materialize(n.select("subject_id", cut("left_n").alias("rows"), cut("right_n").alias("columns")), "blocks", light=True)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    l = left.join(blocks, "subject_id").select("subject_id", "a", F.pmod(F.xxhash64("a"), "rows").cast("int").alias("row"), every("columns").alias("column"))
+    r = right.join(blocks, "subject_id").select("subject_id", "b", F.pmod(F.xxhash64(F.lit(1), "b"), "columns").cast("int").alias("column"), every("rows").alias("row"))
+    return l.join(r, ["subject_id", "row", "column"]).filter("a < b").select("subject_id", "a", "b")
 
-    def pairs(of: DataFrame) -> DataFrame:
-        return of.select("subject_id", F.col("object_id").alias("a")).join(of.select("subject_id", F.col("object_id").alias("b")), "subject_id").filter("a < b")
 
-    top = materialize(pairs(e).groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(most), "top")
+def shared_neighbour(edges: DataFrame, predicate: str, allowed, most: int, examples: int = 3) -> DataFrame:
+    """a, b, n, examples: pairs of objects of one relation by the subjects that they share, the most shared first, then by a and b.
+
+    Exact, without counting all pairs. Two objects share no more subjects than
+    either has. So pairs among those that have most are counted first; the last
+    of the best ``most`` of them bounds what can still come before it: objects
+    with as many subjects at least, and of objects with just as many only pairs
+    that come before it in order. Long lists of a subject are cut into blocks
+    (`_met`); counts are summed in tasks first. examples are a pair's first
+    subjects, of which no task holds more than it shows.
+    """
+    e = materialize(edges.filter(F.col("predicate") == closed(predicate, allowed)).select("subject_id", "object_id").distinct(), "links", light=True)
+    # an object without company in any subject is in no pair
+    company = e.groupBy("subject_id").agg(F.count("*").alias("n")).filter("n > 1").select("subject_id")
+    e = e.join(company, "subject_id", "left_semi")
+    degree = materialize(e.groupBy("object_id").agg(F.count("*").alias("degree")), "degrees", light=True)
+    head = degree.orderBy(F.desc("degree"), "object_id").limit(LEAD * most + 2).select("object_id")
+    few = e.join(F.broadcast(head), "object_id", "left_semi")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(most), "top", light=True)
+
+    def sides(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return of.withColumnRenamed("object_id", "a"), of.withColumnRenamed("object_id", "b")
+
+    lead = ranked(_met(*sides(few)))
+    last = lead.orderBy("n", F.desc("a"), F.desc("b")).first() if lead.count() == most else None
+    if last is None:
+        top = ranked(_met(*sides(e)))
+    else:
+        known = e.join(degree.filter(F.col("degree") >= last.n), "object_id")
+        kind = known.schema["object_id"].dataType
+        bound = lambda v: F.lit(v).cast(kind)
+        left = known.filter((F.col("degree") > last.n) | (F.col("object_id") <= bound(last.a))).select("subject_id", F.col("object_id").alias("a"))
+        pairs = _met(left, known.select("subject_id", F.col("object_id").alias("b")))
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+        before = (F.col("n") > last.n) | (F.col("n") == last.n) & ((F.col("a") < bound(last.a)) | (F.col("a") == bound(last.a)) & (F.col("b") <= bound(last.b)))
+        top = materialize(counted.filter(before).orderBy(F.desc("n"), "a", "b").limit(most), "top", light=True)
     ends = top.select(F.explode(F.array("a", "b")).alias("object_id")).distinct()  # twice ``most`` at most
-    few = e.join(F.broadcast(ends), "object_id", "left_semi")
-    shown = pairs(few).join(F.broadcast(top.select("a", "b")), ["a", "b"]).groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_list("subject_id")), 1, examples).alias("examples"))
-    return top.join(shown, ["a", "b"])
+    shown = _met(*sides(e.join(F.broadcast(ends), "object_id", "left_semi"))).join(F.broadcast(top.select("a", "b")), ["a", "b"])
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("subject_id"))
+    first = shown.withColumn("place", place).filter(F.col("place") <= examples)
+    return top.join(first.groupBy("a", "b").agg(F.sort_array(F.collect_list("subject_id")).alias("examples")), ["a", "b"])
 
 
 def pattern_three_hop(edges: DataFrame, first: str, second: list[str], third: list[str], allowed, most: int) -> DataFrame:

@@ -51,14 +51,14 @@ class Meter:
         return spent
 
 
-def retried(call: Callable, attempts: int = 5, first: float = 1.0, most: float = 60.0, sleep=time.sleep, passes=(OverBudget,)):
-    """A call's result, after doubling waits with jitter between failures."""
+def retried(call: Callable, attempts: int = 5, first: float = 1.0, most: float = 60.0, sleep=time.sleep, passes=(OverBudget,), only=Exception):
+    """A call's result, after doubling waits with jitter between failures; those that aren't ``only`` end it at once."""
     for n in range(attempts):
         try:
             return call()
         except passes:
             raise
-        except Exception:
+        except only:
             if n == attempts - 1:
                 raise
             sleep(min(most, first * 2**n) * (0.5 + random.random() / 2))

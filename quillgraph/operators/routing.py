@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.operators.fulltext import Inverted
+from quillgraph.runtime import shared_dir
 
 ROUTES = ("graph", "vector", "both", "refuse")
 #: Hops of each shape of question.
@@ -60,18 +63,24 @@ def alias_index(entities: DataFrame) -> DataFrame:
     return norms.withColumn("rank", F.row_number().over(w).cast("long")).select("norm", "canonical_id", "rank")
 
 
-def resolve_names(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """asked(surface) with canonical_id: the first of an equal norm, else the one that shares most words, else null.
+def name_texts(index: DataFrame) -> DataFrame:
+    """id, words of each entity of an alias index: those of all its names, for `Inverted.build`."""
+    words = F.flatten(F.transform(F.sort_array(F.collect_set("norm")), lambda n: F.filter(F.split(n, " "), lambda w: w != "")))  # an entity's own names
+    return index.groupBy(F.col("canonical_id").alias("id")).agg(words.alias("words"))
 
-    Of names that share as many words the one with fewer words wins, then the
-    smaller id. Words join words, so only names that share one are compared.
+
+def resolve_names(asked: DataFrame, index: DataFrame, names: Inverted | None = None) -> DataFrame:
+    """asked(surface) with canonical_id: the first of an equal norm, else the best of a full-text search, else null.
+
+    names is an inverted index of `name_texts`; one is made where none is given.
+    The search scores by BM25; of equal scores the entity with fewer words
+    wins, then the smaller id.
     """
     q = asked.select("surface").distinct().withColumn("norm", X.normalize("surface"))
     exact = q.join(index.filter("rank = 1").select("norm", F.col("canonical_id").alias("exact_id")), "norm", "left")
-    missing = exact.filter("exact_id is null").select("surface", F.explode(X.tokens(X.normalize(X.query_words("surface")))).alias("word"))
-    words = index.filter("rank = 1").select("canonical_id", "norm", F.size(X.tokens("norm")).alias("size"), F.explode(X.tokens("norm")).alias("word"))
-    shared = missing.join(words, "word").groupBy("surface", "canonical_id", "norm", "size").agg(F.count("*").alias("n"))
-    best = shared.groupBy("surface").agg(F.min_by("canonical_id", F.struct(-F.col("n"), F.col("size"), F.col("canonical_id"))).alias("near_id"))
+    missing = exact.filter("exact_id is null").select(F.col("surface").alias("q"), X.tokens(X.normalize(X.query_words("surface"))).alias("words"))
+    names = names or Inverted.build(name_texts(index), f"{shared_dir(asked.sparkSession)}/names-{uuid.uuid4().hex}")
+    best = names.best(missing).select(F.col("q").alias("surface"), F.col("id").alias("near_id"))
     return asked.join(exact.join(best, "surface", "left").select("surface", F.coalesce("exact_id", "near_id").alias("canonical_id")), "surface", "left")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +13,19 @@ QUERIES = 8192
 CELLS, PROBES, SAMPLE = 64, 40, 20_000
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    rows = np.stack([np.asarray(x, np.float64)[:width] if x is not None else np.zeros(width) for x in column.to_pylist()]) if len(column) else np.zeros((0, width))
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The first dimensions of a list column's vectors, a row each; what a null or short one lacks is 0."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(sizes) and sizes.min() == sizes.max() >= width:
+        return values.reshape(len(sizes), -1)[:, :width]
+    held = np.arange(width) < sizes[:, None]
+    rows = np.zeros((len(sizes), width))
+    rows[held] = values[((np.cumsum(sizes) - sizes)[:, None] + np.arange(width))[held]]
     return rows
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
@@ -32,7 +40,7 @@ def _top(spark, corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int,
         worst = np.full(len(qid), np.inf)
         for batch in batches:
             own = batch.column("id").to_numpy()
-            far = -np.round(q @ _unit(_matrix(batch.column("embedding"), width)).T, 6)
+            far = -np.round(q @ unit(matrix(batch.column("embedding"), width)).T, 6)
             if not_self:
                 far[qid[:, None] == own[None, :]] = 3
             row, column = np.nonzero((far <= worst[:, None]) & (far < 3))
@@ -63,7 +71,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, width: int, not_self: bo
     found = None
     for n in range(passes):
         block = queries.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == n).select("id", "embedding").orderBy("id").toArrow()
-        ids, vectors = block.column("id").to_numpy(), _unit(_matrix(block.column("embedding").combine_chunks(), width))
+        ids, vectors = block.column("id").to_numpy(), unit(matrix(block.column("embedding").combine_chunks(), width))
         part = _top(spark, corpus, ids, vectors, k, width, not_self)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -77,23 +85,23 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, cells: int = CELLS, rounds: int = 12):
         rng = np.random.default_rng(0)
-        rows = _unit(sample)
+        rows = unit(sample)
         self.centres = rows[rng.permutation(len(rows))[: min(cells, len(rows))]]
         for _ in range(rounds):
             near = (rows @ self.centres.T).argmax(1)
             sums = np.zeros_like(self.centres)
             np.add.at(sums, near, rows)
-            self.centres = np.where(np.abs(sums).sum(1, keepdims=True) > 0, _unit(sums), self.centres)
+            self.centres = np.where(np.abs(sums).sum(1, keepdims=True) > 0, unit(sums), self.centres)
 
     def nearest(self, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(_unit(rows) @ self.centres.T), axis=1, kind="stable")[:, :n]
+        return np.argsort(-(unit(rows) @ self.centres.T), axis=1, kind="stable")[:, :n]
 
 
 def fit_cells(corpus: DataFrame, width: int, cells: int = CELLS) -> Cells:
     """Centres from about SAMPLE rows, chosen by a hash of their id; every row is indexed later."""
     rate = min(1.0, SAMPLE / max(1, corpus.count()))
     rows = corpus.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("embedding").toArrow()
-    return Cells(_matrix(rows.column("embedding").combine_chunks(), width), cells)
+    return Cells(matrix(rows.column("embedding").combine_chunks(), width), cells)
 
 
 def ann(corpus: DataFrame, queries: DataFrame, k: int, width: int, probes: int = PROBES, cells: Cells | None = None) -> DataFrame:
@@ -110,7 +118,7 @@ def ann(corpus: DataFrame, queries: DataFrame, k: int, width: int, probes: int =
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    near = model.value.nearest(_matrix(batch.column("embedding"), width), n)
+                    near = model.value.nearest(matrix(batch.column("embedding"), width), n)
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "embedding", "cells"])
 
         return run

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import eval_queries, graph_queries, store_queries, text_queries
+from quillgraph.plans import eval_queries, feed_queries, graph_queries, store_queries, text_queries
 
-PARTS = (graph_queries.query, text_queries.query, eval_queries.query, store_queries.query)
+PARTS = (graph_queries.query, text_queries.query, eval_queries.query, store_queries.query, feed_queries.query)
 
 
 def queries() -> dict:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.operators import chunking, context, evals, logs, resolve, routing, validate
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.registry import Registry, table
+from quillgraph.runtime import numbered
 from quillgraph.schemas import RELATIONS, RISK_TOPICS, ontology
 
 query = Registry()
@@ -138,9 +138,9 @@ def _similar(i, j):
 
 def _overrides(spark, sf_dir):
     """Each norm and the next one in order: the same where the first has an even length."""
-    norms = _records(spark, sf_dir).select("norm").distinct()
-    following = F.lead("norm").over(Window.orderBy("norm"))
-    return norms.select(F.col("norm").alias("a"), following.alias("b"), (F.length("norm") % 2 == 0).alias("same")).filter("b is not null")
+    norms = numbered(_records(spark, sf_dir).select("norm").distinct(), ["norm"])
+    following = norms.select(F.col("norm").alias("b"), (F.col("place") - 1).alias("place"))
+    return norms.join(following, "place").select(F.col("norm").alias("a"), "b", (F.length("norm") % 2 == 0).alias("same"))
 
 
 def _rules(spark, sf_dir):
@@ -174,13 +174,13 @@ def resolve_components(spark, sf_dir):
     return connected_components(edges)
 
 
-@query("WITH RECURSIVE " + RULES + """, m AS (SELECT i AS u, j AS v FROM ruled WHERE rule IN ('exact', 'override')), s AS (SELECT u, v FROM m UNION SELECT v, u FROM m), reach(node, other) AS (SELECT u, u FROM s UNION SELECT node, v FROM reach JOIN s ON other = u),
+@query("WITH RECURSIVE " + RULES + """, m AS (SELECT i AS u, j AS v FROM ruled WHERE rule IS NOT NULL), s AS (SELECT u, v FROM m UNION SELECT v, u FROM m), reach(node, other) AS (SELECT u, u FROM s UNION SELECT node, v FROM reach JOIN s ON other = u),
 comp AS (SELECT r.id, r.norm, r.surface, coalesce(min(other), r.id) AS class, (1 + r.id % 4) AS n FROM r LEFT JOIN reach ON node = id GROUP BY r.id, r.norm, r.surface),
 g AS (SELECT class, min(norm) AS low, arg_max(surface, struct_pack(a := n, b := -length(surface), c := -id)) AS name, list_sort(list_distinct(list(surface))) AS every, sum(n)::BIGINT AS mention_count FROM comp GROUP BY class)
 SELECT substr(sha256('Company|' || low), 1, 16) AS canonical_id, name, array_to_string(list_filter(every, lambda x: x <> name), ';') AS aliases, mention_count FROM g""")
 def entity_build(spark, sf_dir):
     records = _records(spark, sf_dir).withColumns({"n": 1 + F.col("id") % 4, "chunks": F.array(F.col("id").cast("string")), "ord": F.col("id")})
-    built = resolve.entities(records, _rules(spark, sf_dir).filter("rule in ('exact', 'override')"))
+    built = resolve.entities(records, _rules(spark, sf_dir))
     return built.select("canonical_id", "name", F.array_join("aliases", ";").alias("aliases"), "mention_count")
 
 

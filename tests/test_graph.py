@@ -359,7 +359,7 @@ def test_only_checked_claims_are_published(spark):
 
 def test_upsert_stream(spark, tmp_path, edges, nodes):
     edges.coalesce(1).write.parquet(str(tmp_path / "in"))
-    table = merge.Versioned(spark, str(tmp_path / "table"), EDGE)
+    table = merge.Bucketed(spark, str(tmp_path / "table"), EDGE, ["subject_id", "predicate", "object_id"], 4)
     for _ in range(2):
         stream = spark.readStream.schema(EDGE).parquet(str(tmp_path / "in"))
         merge.upsert_stream(stream, table, lambda old, new: graph.merge_edges(old, new, nodes).select("subject_id", "predicate", "object_id", "chunk_ids", "support", "confidence"), str(tmp_path / "log")).awaitTermination()

@@ -2,11 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import reports
+from quillgraph.schemas import DEFINITIONS, ENTITY_TYPES, RELATIONS
 
 
 def test_vocabulary_block():
-    text = reports.vocabulary_block()
-    assert "- DIRECTOR_OF: Person -> Company" in text and text.count("\n- ") == 14
+    lines = reports.vocabulary_block().split("\n")
+    assert [x for x in lines if x.startswith("- ")] == [f"- {name} ({subject} -> {object_}): {DEFINITIONS[name]}" for name, subject, object_, *_ in RELATIONS]
+    assert len(RELATIONS) == len(DEFINITIONS) == 14 and all(DEFINITIONS.values())
+    assert lines[1] == "Relations:" and lines[0].count(",") == len(ENTITY_TYPES) - 1 and lines[-1].startswith("Risk topics: ")
 
 
 def test_evidence_keeps_whole_passages(spark):

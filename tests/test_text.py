@@ -152,9 +152,12 @@ def test_vocabulary_is_closed(value):
         closed(value, [r[0] for r in RELATIONS])
 
 
-def test_quoted(spark):
+@pytest.mark.parametrize("letters", [2_000_000, 12, 0])
+def test_quoted(spark, monkeypatch, letters):
+    """By one automaton, by several and runs, by as many as there can be."""
+    monkeypatch.setattr(validate, "PATTERNS", max(letters, 1))
     texts = ["One  two three\nfour five six seven eight nine ten eleven.", "xone twoy", "ONE TWO", "", None, "nine", "three four", "a three four fi b"]
-    quotes = ["e two three four five six seven eight nine t", "one two", "hree four f", "nine", "", None, "five four", "three four five six", "ne two three fou"]
+    quotes = ["e two three four five six seven eight nine t", "one two", "hree four f", "nine", "", None, "five four", "three four five six", "ne two three fou", "nine", "e two three four five six seven nine eight nine t"]
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, "nine"), (5, "nine")]
     items = [(100 + i, t) for i, t in enumerate(quotes)] + [(None, "nine")]
 
