@@ -1,10 +1,11 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import context, evals, graph, logs, models, questions, resolve, routing, vector
+from quillgraph.operators import components, context, evals, graph, logs, models, questions, resolve, routing, vector
 from quillgraph.operators.ask import ask
 from quillgraph.operators.components import connected_components
 from quillgraph.schemas import ontology
@@ -187,6 +188,30 @@ def test_alias_index(spark):
     assert {r.surface: r.canonical_id for r in routing.resolve_names(asked, index).collect()} == {"blue river": "2", "BRM": "1", "the green works": "3", "nothing": None}
 
 
+@pytest.mark.parametrize("held,small", [(200_000, 200_000), (3, 200_000), (3, 0)])
+@pytest.mark.parametrize("kind", ["long", "string", "struct<a: long, b: string>"])
+def test_components_are_the_brute_force(spark, monkeypatch, kind, held, small):
+    """Whatever a task contracts, and for nodes of any ordered type."""
+    monkeypatch.setattr(components, "HELD", held)
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = random.Random(len(kind) + held)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(n, n + 1) for n in range(200, 240)] + [(300, n) for n in range(301, 360)] + [(5, 5), (6, 6)]
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    named = {"long": lambda n: n, "string": lambda n: f"é{n:05d}"}.get(kind, lambda n: (n, "x"))
+    edges = spark.createDataFrame([(named(a), named(b)) for a, b in pairs] + [(None, named(1))], f"u {kind}, v {kind}").repartition(4)
+    found = {(tuple(r.node) if kind[0:6] == "struct" else r.node): (tuple(r.component) if kind[0:6] == "struct" else r.component) for r in connected_components(edges).collect()}
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    assert found == {named(n): named(find(n)) for n in linked}
+
+
 STEP = "path long, hop long, subject string, predicate string, object string, chunk_ids array<string>, support long"
 
 
