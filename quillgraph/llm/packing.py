@@ -19,7 +19,7 @@ from quillgraph.llm.common import documents
 #: What a cut costs, in tokens of padding: after a document, after a sentence; and, as a share of the window, inside a sentence.
 CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0.0, 0.5, 1 / 20
 #: Sentences of over this share of the window have places to cut, one every STRIDE tokens; shorter ones have none.
-LONGEST, STRIDE = 1 / 32, 8
+LONGEST, STRIDE = 1 / 18, 8
 #: Tokens that are planned at once.
 BLOCK = 1 << 18
 #: Sequence ids of a task begin at its number times this.
@@ -86,13 +86,27 @@ def _halved(low: int, high: int, width: int) -> list[int]:
     return ends
 
 
+#: Texts of so many characters are looked through for runs of RUN characters that are all or none white space.
+LONG, RUN = 1 << 15, re.compile(r"\s{4096}|\S{4096}")
+
+
 @lru_cache(maxsize=2)
 def library(path: str, pattern: str):
-    """A function from a text to its ids, by the byte-level BPE library that is fastest here, from the tokenizer file's vocabulary."""
+    """A function from a text to its ids, by the byte-level BPE library that is fastest here, from the tokenizer file's vocabulary.
+
+    That library gives up on white space of half a million characters in a row,
+    and may be slow on very long words; texts with such runs are cut into
+    pre-tokens by overlapping chunks and merged by `Bpe`, which gives the same ids.
+    """
     import tiktoken
 
     coder, _ = from_json(path, pattern)
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        return coder.encode(text).tolist() if len(text) >= LONG and RUN.search(text) else fast(text)
+
+    return encode
 
 
 def pack(docs: DataFrame, path: str, pattern: str, width: int = 2048, end_id: int = 1, end_marks: bytes = b".!?\n", inside: float = CUT_INSIDE, longest: float = LONGEST) -> DataFrame:

@@ -167,3 +167,17 @@ def test_empty_tables(no_docs):
     assert token_counts.count_tokens(no_docs, P.path("piece_bpe_32k.model")).count() == 0
     assert bpe.encode_documents(no_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     assert packing.pack(no_docs, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("n", [1_000_000, 5_000_000])
+def test_long_runs_are_packed_as_the_library_has_them(spark, n):
+    """Runs of one character that the fast library gives up on."""
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [f"x{c * n}a" for c in (" ", "\n", "\t")] + (["\u3000" * n + "b"] if n == 1_000_000 else [])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, 2048).collect()
+    for k, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r.start, r.length, r.ids_crc32) for r in pieces if r.doc_id == k)
+        assert own[0][0] == 0 and all(a + b == c for (a, b, _), (c, _, _) in zip(own, own[1:])) and own[-1][0] + own[-1][1] == len(ids)
+        assert all(zlib.crc32(ids[a : a + b].tobytes()) == crc for a, b, crc in own)
