@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,8 @@ DEPTH = 4
 #: Contexts that occur this often, the most frequent ones that fit into DENSE bytes, have a row for all bytes; all others are kept sparse.
 FEWEST, DENSE = 6, 48 << 20
 UNKNOWN = "und"
+#: What isn't part of a word, in any number: one space to the models.
+BETWEEN = r"[^\p{L}\p{M}]+"
 
 
 class Sparse:
@@ -181,6 +183,11 @@ class Models:
         return -total / sizes, weight / weight.sum(1, keepdims=True)
 
 
+def words(text: Column | str) -> Column:
+    """A text's words in lower case with one space between two: what is scored, so that no other characters outvote them."""
+    return F.lower(F.btrim(F.regexp_replace(text, BETWEEN, " ")))
+
+
 def fit(docs: DataFrame) -> Models:
     """Models from the learning rows of docs(doc_id, text, lang): crc32(doc_id) mod 4 is not 2, text and lang not null.
 
@@ -202,7 +209,7 @@ def fit(docs: DataFrame) -> Models:
         shortest = F.min_by("text", F.struct(F.char_length("text"), "doc_id"))
         chosen = chosen.unionByName(rows.filter(letters & F.col("lang").isin(long)).groupBy("lang").agg(shortest.alias("text")))
     texts: dict[str, list[bytes]] = {}
-    for row in chosen.select("lang", F.lower("text").alias("text")).toLocalIterator():
+    for row in chosen.select("lang", words("text").alias("text")).toLocalIterator():
         texts.setdefault(row.lang, []).append(row.text.encode())
     total = sum(r.n for r in shares)
     return Models([r.lang for r in shares], [r.n / total for r in shares], {k: sorted(v) for k, v in texts.items()})
@@ -211,8 +218,9 @@ def fit(docs: DataFrame) -> Models:
 def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte of every row of docs(doc_id, text, lang).
 
-    A text's code length, in lower case, is exact under each language's frozen
-    model; the shortest, with the languages' shares as priors, names the
+    The code length of a text's words (`words`) is exact under each language's
+    frozen model: white space, digits, marks and control characters between
+    them, in any number, are one space. The shortest, with the languages' shares as priors, names the
     language, and score is its posterior. ``und`` with score 0 for a null text,
     one without letters, or where nothing could be learned. Of equal languages
     the first by name wins. lang, source and doc_id take no part in a prediction.
@@ -241,7 +249,7 @@ def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             kept = {c: batch.column(c) for c in batch.schema.names if c != "low"}
             yield pa.RecordBatch.from_arrays([*kept.values(), *found.values()], [*kept, *found])
 
-    low = F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("low")
+    low = F.when(F.col("text").rlike(r"\p{L}"), words("text")).alias("low")
     carried = [F.struct(*carry).alias("carried")] if carry else []
     rows = documents(docs, low, (bucket("doc_id", 4) == 2).alias("held_out"), *carried).drop("text")
     schema = StructType([*rows.drop("low").schema, *StructType.fromDDL("lang_pred string, score double, bits_per_byte double")])
