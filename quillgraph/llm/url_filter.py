@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from quillgraph.runtime import materialize
 
 #: Words of the segmentation's unigram table and tokens of the classifier that are broadcast, the most frequent first; the others are met by joins.
-VOCABULARY, TOKENS, LONGEST = 50_000, 100_000, 20
+VOCABULARY, TOKENS = 50_000, 100_000
 #: Hosts whose words a worker remembers.
 HOSTS = 200_000
+#: What each letter of an unknown stretch costs.
+LETTER = 2.3
 _LABEL = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
 
 #: (verdict, host, path)
@@ -44,36 +46,53 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, nulls without one.
 
     A rule fits its host and all subdomains if the path starts with its own; of
-    rules of one length the first by text wins.
+    rules of one length the last by text wins.
     """
     out, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, name, start in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=False):
+    for what, name, start in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
         out, verdict = F.when(fits, name + start).otherwise(out), F.when(fits, what).otherwise(verdict)
     return out, verdict
 
 
 class Segmenter:
-    """Splits joined words by the most probable sequence of a unigram table; unknown stretches cost by length."""
+    """Splits joined words by the most probable sequence of a unigram table; unknown stretches cost by length.
 
-    def __init__(self, counts: dict[str, int], total: int | None = None):
+    lengths: those that words of the whole table have, which is no more than the
+    root of twice its letters; words of other lengths needn't be looked for.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None, lengths: list[int] | None = None):
         self.total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -log(n / self.total) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts} if lengths is None else lengths, reverse=True)
         self.unknown = log(self.total)
         self.hosts: dict[str, list[str]] = {}
 
     def split(self, label: str, more: dict[str, float] = {}) -> list[str]:
-        """Viterbi: the cheapest way to each place; of equal ways the one with the longer last word. more: costs of words beside the table."""
+        """Viterbi: the cheapest way to each place; of equal ways the one with the longer last word. more: costs of words beside the table.
+
+        An unknown stretch may have any length: the cheapest one that ends at a
+        place goes on from the one before or begins there.
+        """
         size = len(label)
-        best, back = [0.0] + [float("inf")] * size, [0] * (size + 1)
+        best, back = [0.0] * (size + 1), [0] * (size + 1)
+        stretch, began = float("inf"), 0
         for end in range(1, size + 1):
-            for start in range(max(0, end - LONGEST), end):
-                word = label[start:end]
+            fresh = best[end - 1] + self.unknown
+            if fresh < stretch:
+                stretch, began = fresh, end - 1
+            stretch += LETTER
+            low, at = stretch, began
+            for length in self.lengths:
+                if length > end:
+                    continue
+                word = label[end - length : end]
                 cost = self.cost.get(word)
                 cost = more.get(word) if cost is None and more else cost
-                cost = best[start] + (self.unknown + 2.3 * (end - start) if cost is None else cost)
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
+                if cost is not None and ((cost := cost + best[end - length]) < low or cost == low and end - length < at):
+                    low, at = cost, end - length
+            best[end], back[end] = low, at
         out, end = [], size
         while end:
             out.append(label[back[end] : end])
@@ -83,7 +102,7 @@ class Segmenter:
     def pieces(self, host: str) -> set[str]:
         """Stretches of a host's labels that may be words outside the table."""
         labels = {_shape(x) for x in _LABEL.split(host) if x}
-        return {x[a:b] for x in labels for a in range(len(x)) for b in range(a + 1, min(len(x), a + LONGEST) + 1)} - self.cost.keys()
+        return {x[a : a + n] for x in labels for n in self.lengths for a in range(len(x) - n + 1)} - self.cost.keys()
 
     def host(self, host: str, more: list[dict] | None = None) -> list[str]:
         """Features of a host: its words, and its last label as a whole. more: word and n of its words outside the table."""
@@ -123,11 +142,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     spark = pages.sparkSession
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word").between(1, LONGEST))
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     vocabulary = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "title_words")
     word_kinds, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lengths = [r[0] for r in vocabulary.select(F.char_length("word")).distinct().collect()]
     top = vocabulary.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
-    segmenter = spark.sparkContext.broadcast(Segmenter(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist())), total))
+    segmenter = spark.sparkContext.broadcast(Segmenter(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist())), total, lengths))
 
     host, path = host_of(F.col("url").cast("string")), path_of(F.col("url").cast("string"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
