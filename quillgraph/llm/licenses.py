@@ -28,6 +28,57 @@ _GNU = (
     "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 )
 
+_GNU_ONLY = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} version {} as published by the Free Software Foundation."
+_GNU_OF = "This {} is free software; you can redistribute it and/or modify it under the terms of version {} of the GNU {} as published by the Free Software Foundation."
+_GNU_BODY = (
+    "GNU {} Version {} Copyright (C) {} Free Software Foundation, Inc. "
+    "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. "
+)
+_FREE = "Preamble The GNU {} is a free, copyleft license for software and other kinds of works"
+_TAKE_AWAY = "Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public {} intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."
+_CC_KINDS = {"BY": "", "BY-SA": "-ShareAlike", "BY-NC": "-NonCommercial", "BY-ND": "-NoDerivatives", "BY-NC-SA": "-NonCommercial-ShareAlike", "BY-NC-ND": "-NonCommercial-NoDerivatives"}
+_CC_PORTS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported"}
+
+#: Names by which texts give their licence after SPDX-License-Identifier.
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", *(f"CC-{kind}-{v}" for kind in _CC_KINDS for v in (*_CC_PORTS, "4.0")),
+)
+
+#: How licences' own texts begin.
+BODIES = (
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "
+        "Licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    ),
+    ("GPL-3.0", _GNU_BODY.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007") + _FREE.format("General Public License") + "."),
+    ("GPL-2.0", _GNU_BODY.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991") + _TAKE_AWAY.format("License is")),
+    ("AGPL-3.0", _GNU_BODY.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007") + _FREE.format("Affero General Public License") + ", specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("LGPL-2.1", _GNU_BODY.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999") + _TAKE_AWAY.format("Licenses are")),
+    ("LGPL-2.0", _GNU_BODY.format("LIBRARY GENERAL PUBLIC LICENSE", "2, June 1991", "1991") + _TAKE_AWAY.format("Licenses are")),
+    (
+        "LGPL-3.0",
+        _GNU_BODY.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007")
+        + "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    ),
+    (
+        "MPL-2.0",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. "
+        "1.2. Contributor Version means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.",
+    ),
+    *(
+        (
+            f"CC-{kind}-4.0",
+            f"Creative Commons Attribution{words} 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this "
+            f"Creative Commons Attribution{words} 4.0 International Public License (Public License).",
+        )
+        for kind, words in _CC_KINDS.items()
+    ),
+)
+
 #: Wordings by which texts state their licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -107,7 +158,13 @@ TEMPLATES = (
         "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
     ("proprietary", "All rights reserved."),
-)
+    *((f"{x}GPL-{v}", form.format(what, *((v.removesuffix(".0"), f"{y}General Public License") if form is _GNU_OF else (f"{y}General Public License", v.removesuffix(".0")))))
+      for form in (_GNU_ONLY, _GNU_OF) for x, y, what, v in (("", "", "program", "2.0"), ("", "", "program", "3.0"), ("L", "Lesser ", "library", "2.1"), ("L", "Lesser ", "library", "3.0"), ("A", "Affero ", "program", "3.0"))),
+    *((f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}.") for v in _CC_PORTS for kind in _CC_KINDS),
+    *((f"CC-{kind}-{v}", f"This work is licensed under a Creative Commons Attribution{words} {v} {port} License.") for v, port in _CC_PORTS.items() for kind, words in _CC_KINDS.items()),
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in SPDX),
+    *BODIES,
+)
 #: The least Dice coefficient that counts as a match.
 LEAST = 0.8
 #: Wordings of fewer bigrams count only where they are a whole sentence or line.
@@ -120,6 +177,7 @@ MARKS = {
     ("lesser",): "lesser", ("library", "general"): "library", ("affero",): "affero",
     ("noncommercial",): "nc", ("nc",): "nc", ("non", "commercial"): "nc", ("sharealike",): "sa", ("sa",): "sa", ("share", "alike"): "sa",
     ("noderivatives",): "nd", ("noderivs",): "nd", ("nd",): "nd", ("no", "derivatives"): "nd", ("no", "derivs"): "nd", ("endorse",): "endorse", ("advertising",): "advertising",
+    ("unported",): "unported", ("generic",): "generic",
 }
 #: Words that a version follows.
 VERSIONED = {"version", "v", "license", "by", "cc0", "attribution", "nc", "sa", "nd", "noncommercial", "commercial", "sharealike", "alike", "noderivatives", "noderivs", "derivatives", "derivs"}

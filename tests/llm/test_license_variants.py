@@ -31,6 +31,49 @@ def test_variants_against_their_neighbours(name, text):
         assert [m[2] for m in licenses.scanner().scan(around.format(text))] == ([name] if name else [])
 
 
+PORTS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported"}
+KINDS = (("", ""), ("-SA", "-ShareAlike"), ("-NC", "-NonCommercial"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))
+MORE = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation."),
+    (None, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 9 as published by the Free Software Foundation."),
+    *[(f"CC-BY{short}-{v}", f"This work is licensed under a Creative Commons Attribution{long} {v} {port} License.") for v, port in PORTS.items() for short, long in KINDS],
+    *[(f"CC-BY{short}-{v}", f"Licensed under CC BY{short} {v}.") for v in PORTS for short, _ in KINDS],
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\nThis version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."
+        "\n\n\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+]
+
+
+@pytest.mark.parametrize("name,text", MORE)
+def test_more_variants(name, text):
+    for around in ("{}", "Some words. {} And more of them."):
+        assert [m[2] for m in licenses.scanner().scan(around.format(text))] == ([name] if name else [])
+
+
+@pytest.mark.parametrize("name", licenses.SPDX)
+def test_identifiers(name):
+    want = [name.removesuffix("-only").removesuffix("-or-later")]
+    for text in (f"SPDX-License-Identifier: {name}", f"// SPDX-License-Identifier: {name}\nint main;", f"/* SPDX-License-Identifier: {name} */\n#include"):
+        assert [m[2] for m in licenses.scanner().scan(text)] == want
+
+
+def test_query_is_the_scanner(spark, odd_docs):
+    """One row a row, nulls and repeated rows too; the best match is the highest, then the first."""
+    texts = [t for _, t in MORE] + ["Released under the MIT License.\nSPDX-License-Identifier: ISC", "nothing here"]
+    docs = odd_docs.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(100 + n, t, "license") for n, t in enumerate([*texts, texts[0]])], "doc_id long, text string, key string"))
+    found = licenses.scan_licenses(docs).collect()
+    want = []
+    for r in docs.collect():
+        m = licenses.scanner().scan(r.text or "")
+        best = sorted(m, key=lambda x: (-x[3], x[0]))[:1]
+        want.append((str(r.doc_id), len(m), best[0][2] if best else None, [tuple(x) for x in m]))
+    assert sorted(((str(r.doc_id), r.n_matches, r.license, [tuple(x) for x in r.matches]) for r in found), key=str) == sorted(want, key=str)
+
+
 def brute_scan(text, templates, least):
     """The rule of ``scan`` with every stretch counted anew; no distinguishing words or versions."""
     words = licenses._WORD.findall(text.lower())
