@@ -6,7 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import simhash
@@ -266,6 +266,26 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda batches: rows(groups(batches)), "u long, v long").distinct()
 
 
+def _print(text: Column | str) -> Column:
+    """What names a text as a node, but for clashes."""
+    return F.xxhash64(text)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows(text, …) with ``node``: a hash of the text, 0 for one without words.
+
+    A second hash tells unlike texts of one hash apart. They are few or none;
+    such texts are named by both hashes, so no text takes another one's place.
+    """
+    bare = F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == ""
+    rows = rows.withColumns({"node": F.when(bare, F.lit(0)).otherwise(_print("text")), "other": F.when(bare, F.lit(0)).otherwise(F.xxhash64(F.lit(1), "text"))})
+    clashes = rows.groupBy("node").agg(F.min("other").alias("least"), F.max("other").alias("most")).filter("least < most").select("node")
+    clashes = materialize(clashes, "clashes", light=True)
+    if not clashes.isEmpty():
+        rows = rows.join(if_small(clashes.withColumn("clash", F.lit(True))), "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64(F.lit(2), "node", "other")).otherwise(F.col("node"))).drop("clash")
+    return rows.drop("other")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) -> DataFrame:
     """doc_id, component_id, kept, and key if it is named, for each row of docs(doc_id, text).
 
@@ -289,7 +309,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) ->
     """
     row = F.monotonically_increasing_id() if key is None else F.col(key)
     rows = documents(docs, row.alias("row")).select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("node", F.when(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64("text")))
+    rows = _named(rows)
     texts = rows.select("node", "text")
     firsts = _firsts(texts, width)
     members = _members(firsts)

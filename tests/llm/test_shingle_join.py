@@ -75,3 +75,14 @@ def test_near_stage_catches_edited_copies(edited, spark, sf_dir):
     want = brute_jaccard(edited)
     # a row without an id stays where its component has no row with one
     assert kept == {i for (i, _), c in zip(edited, want) if i == c and (i is not None or c is None)}
+
+
+@pytest.mark.parametrize("weak", ["char_length(text) % 40", "0 * char_length(text)", "char_length(text)"])
+def test_unlike_texts_of_one_hash(edited, spark, monkeypatch, weak):
+    """Texts whose first hash clashes keep nodes of their own."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(shingle_join, "_print", lambda text: F.expr(weak).cast("long"))
+    docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
+    found = sorted((str(r.doc_id), str(r.component_id)) for r in shingle_join.near_duplicates(docs).collect())
+    assert found == sorted((str(i), str(c)) for (i, _), c in zip(edited, brute_jaccard(edited)))
