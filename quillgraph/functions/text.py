@@ -33,13 +33,13 @@ BOARD = (
     r"(?i)(?:serve[sd]?|has served|currently serves)[^.]{0,60}(?:on the board|as a director|as director|board of directors)"
     r"|\bdirector of\b|\bboard member of\b|\bboards? of\b|director nominee|election of directors|continuing directors"
 )
+# Page furniture, runs of blanks, runs of empty lines.
+FURNITURE, BLANKS, GAPS = "\n?Table of Contents\n?", "[ \t]+", "\n{3,}"
+
 # Fixed value: two to seven capitalised words, then the short form in brackets, with or without quotes.
 ALIAS = r"(?U)([A-Z][\w&.,'\-]*(?:\s+[A-Z][\w&.,'\-]*){1,6})\s*\(\s*[“\"]?([A-Z][A-Za-z]{1,14})[”\"]?\s*\)"
 
 
-FURNITURE, BLANKS, GAPS = "\n?Table of Contents\n?", "[ \t]+", "\n{3,}"
-
-
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -48,9 +48,22 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
 
 
+#: Lower-case letters that case folding turns into another letter, by the rule that the interpreter has: final sigma, long s, micro and the like.
+_OTHER = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF and c.lower() == c != c.casefold() and len(c.casefold()) == 1]
+#: Letters that it turns into several: sharp s and the ligatures.
+_SEVERAL = "ßﬀﬁﬂﬃﬄﬅﬆ"
+
+
 def fold(x: Column | str) -> Column:
-    """Lower case; sharp s as two letters, as case folding has it."""
-    return F.replace(F.lower(_col(x)), F.lit("ß"), F.lit("ss"))
+    """Lower case as case folding has it, so that all spellings of a word agree.
+
+    Of letters that fold to several, sharp s and ligatures do; Greek letters with marks below, and a dozen more, stay as lower case has them.
+    """
+    low = F.lower(_col(x))
+    plain = F.translate(low, "".join(_OTHER), "".join(c.casefold() for c in _OTHER))
+    for c in _SEVERAL:
+        plain = F.replace(plain, F.lit(c), F.lit(c.casefold()))
+    return F.when(low.rlike("[" + "".join(_OTHER) + _SEVERAL + "]"), plain).otherwise(low)
 
 
 def clean(x: Column | str) -> Column:

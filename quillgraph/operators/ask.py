@@ -40,7 +40,7 @@ def ask(question: str, *, chat: models.Chat, embed: models.Embed, store: DataFra
             touching = graph.neighbourhood(edges, anchors)
             ranked = touching.orderBy(F.desc("support"), "subject_id", "predicate", "object_id").limit(200)
             steps = ranked.withColumn("hop", F.lit(0)).withColumn("path", F.row_number().over(Window.orderBy(F.desc("support"), "subject_id", "predicate", "object_id")) - 1).withColumnsRenamed({"subject_id": "s", "object_id": "o"})
-            tallies = graph.neighbourhood_counts(edges, anchors, nodes).join(names.select(F.col("id").alias("anchor"), F.col("name").alias("anchor_name")), "anchor")
+            tallies = graph.neighbourhood_counts(edges, anchors, nodes, cites=context.PER_FACT).join(names.select(F.col("id").alias("anchor"), F.col("name").alias("anchor_name")), "anchor")
             counts = [r.asDict() for r in context.verbalise_aggregates(tallies, ontology(spark, relations)).collect()]
         said = steps.join(names.select(F.col("id").alias("s"), F.col("name").alias("subject")), "s").join(names.select(F.col("id").alias("o"), F.col("name").alias("object")), "o")
         facts = [r.asDict() for r in context.verbalise(said.select("path", "hop", "subject", "predicate", "object", "chunk_ids", "support"), ontology(spark, relations), []).orderBy("path").collect()]

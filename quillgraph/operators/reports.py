@@ -42,11 +42,16 @@ def evidence(questions: DataFrame, passages: DataFrame, most: int = 12, chars: i
     return rows.select("qid", F.concat_ws("\n\n", *parts).alias("reference"))
 
 
+def absent(questions: DataFrame, log: DataFrame) -> DataFrame:
+    """qid of the questions that have no log row."""
+    return questions.join(log.select("qid"), "qid", "left_anti").select("qid").distinct()
+
+
 def complete(questions: DataFrame, log: DataFrame) -> DataFrame:
-    """questions with their log rows; raises if any question has none."""
-    absent = questions.join(log.select("qid"), "qid", "left_anti").select("qid").orderBy("qid").limit(5).collect()
-    if absent:
-        raise ValueError(f"no row for {[r.qid for r in absent]}")
+    """questions with their log rows; raises if any question has none, and names the first of them."""
+    lost = absent(questions, log).orderBy("qid").limit(5).collect()
+    if lost:
+        raise ValueError(f"no row for {[r.qid for r in lost]}")
     return questions.join(log, "qid")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
@@ -389,6 +391,20 @@ def mined_chains(spark, sf_dir):
     return questions.quota(found, "n1", 4, [F.col("n0")]).select("n0", "n1", "n2")
 
 
+@query("SELECT o_orderkey AS qid, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= 5 THEN 1 ELSE 0 END::INTEGER AS named FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 3 AND l_quantity > 30)")
+def absent_answers(spark, sf_dir):
+    """Orders that a log of large lines lacks, and which of them the refusal to go on names."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"))
+    log = table(spark, sf_dir, "lineitem").filter("l_linenumber < 3 and l_quantity > 30").select(F.col("l_orderkey").alias("qid"))
+    try:
+        reports.complete(asked, log)
+        said = ""
+    except ValueError as e:
+        said = str(e)
+    named = [int(x) for x in re.findall(r"\d+", said)]
+    return reports.absent(asked, log).select("qid", F.col("qid").isin(named).cast("int").alias("named"))
+
+
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0")
 def pending_filter(spark, sf_dir):
     """Rows with a log row, after a check that each key is known, less those that are done."""

@@ -136,17 +136,19 @@ def _similar(i, j):
     return ((i * 31 + j * 17) % 100) / 100.0
 
 
-def _overrides(spark, sf_dir):
+def _overrides(records):
     """Each norm and the next one in order: the same where the first has an even length."""
-    norms = numbered(_records(spark, sf_dir).select("norm").distinct(), ["norm"])
+    norms = numbered(records.select("norm").distinct(), ["norm"])
     following = norms.select(F.col("norm").alias("b"), (F.col("place") - 1).alias("place"))
     return norms.join(following, "place").select(F.col("norm").alias("a"), "b", (F.length("norm") % 2 == 0).alias("same"))
 
 
-def _rules(spark, sf_dir):
-    r = resolve.marked(_records(spark, sf_dir), resolve.markers(spark.createDataFrame([], "norm string"))).select("id", F.struct("norm", "surface", "marks").alias("r"))
-    pairs = resolve.candidates(_records(spark, sf_dir)).join(r.select(F.col("id").alias("i"), F.col("r").alias("a")), "i").join(r.select(F.col("id").alias("j"), F.col("r").alias("b")), "j")
-    pairs = resolve.with_overrides(pairs, _overrides(spark, sf_dir))
+def _rules(spark, sf_dir, records=None, locations=None):
+    locations = spark.createDataFrame([], "norm string") if locations is None else locations
+    records = _records(spark, sf_dir) if records is None else records
+    r = resolve.marked(records, resolve.markers(locations)).select("id", F.struct("norm", "surface", "marks").alias("r"))
+    pairs = resolve.candidates(records).join(r.select(F.col("id").alias("i"), F.col("r").alias("a")), "i").join(r.select(F.col("id").alias("j"), F.col("r").alias("b")), "j")
+    pairs = resolve.with_overrides(pairs, _overrides(records))
     return pairs.withColumn("rule", resolve.rule("a", "b", F.col("same"), _similar(F.col("i"), F.col("j")), F.array_union("a.marks", "b.marks"))).filter("rule is not null").select("i", "j", "rule")
 
 
@@ -164,6 +166,22 @@ def match_rules(spark, sf_dir):
     return _rules(spark, sf_dir)
 
 
+SURFACE = "CASE WHEN id % 11 = 0 THEN upper(p_name[1] || split_part(p_name, ' ', 2)[1] || 'w') WHEN id % 7 = 0 THEN word || ' Germany' WHEN id % 5 = 0 THEN word || ' Inc.' ELSE word END AS surface"
+PLACES = "WHEN list_contains(ta, 'germany') <> list_contains(tb, 'germany') THEN NULL"
+PLACED = "WHEN len(list_filter(list_distinct(ta || tb), lambda w: list_contains(ta, w) <> list_contains(tb, w) AND list_contains(['w0', 'w2', 'w4'], w))) > 0 THEN NULL"
+MARKED = RULES.replace(SURFACE, "p_name || ' river stone mill w' || (id % 6) AS surface").replace(PLACES, PLACED)
+
+
+@query("WITH " + MARKED + "SELECT * FROM ruled WHERE rule IS NOT NULL")
+def match_rules_markers(spark, sf_dir):
+    """Names that differ in a word: those in which it is a word of the corpus's own locations are set apart."""
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    surface = F.concat("p_name", F.lit(" river stone mill w"), (F.col("p_partkey") % 6).cast("string"))
+    records = part.select(F.col("p_partkey").alias("id"), F.lit("Company").alias("type"), surface.alias("surface")).withColumn("norm", X.normalize("surface"))
+    locations = nation.filter("n_nationkey < 3").select(F.concat(F.lit("w"), (F.col("n_nationkey") * 2).cast("string")).alias("norm"))
+    return _rules(spark, sf_dir, records, locations)
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS u, p_partkey + 1 AS v FROM part WHERE p_partkey % 7 NOT IN (0, 3) UNION SELECT p_partkey, p_partkey + 14 FROM part WHERE p_partkey % 91 = 5),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach(node, other) AS (SELECT u, u FROM s UNION SELECT node, v FROM reach JOIN s ON other = u)
 SELECT node, min(other) AS component FROM reach GROUP BY node""")
