@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 from math import ceil
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -364,3 +366,29 @@ def report(index: Index, corpus: DataFrame, queries: DataFrame, k: int) -> DataF
     share = asked.select("embedding").mapInArrow(read, "share double").agg(F.round(F.avg("share"), 6).alias("codes_read"))
     one = F.lit(1).alias("one")
     return got.select(one, "recall").join(share.select(one, "codes_read"), "one").drop("one").withColumns({"vectors_read": F.lit(round(min(index.rerank, total) / total, 6)), "cells": F.lit(index.cells), "probes": F.lit(probes)})
+
+
+def sweep(indexes: dict[int, Index], corpus: DataFrame, queries: DataFrame, k: int, probes: tuple[int | None, ...] = (1, 4, 16, None), blocks: int = 4) -> DataFrame:
+    """width, probes, recall, median_ms, p95_ms of the indexes by width, for each number of cells probed (None: the measured one).
+
+    Queries are asked in blocks, as a search is a job; a block's time is divided
+    by its queries, and the figures are over blocks.
+    """
+    spark, out = corpus.sparkSession, []
+    asked = materialize(queries.filter("embedding is not null").select("id", "embedding"), "asked", light=True)
+    parts = [asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n) for n in range(blocks)]
+    sizes = [p.count() for p in parts]
+    for width, index in sorted(indexes.items()):
+        exact = materialize(topk(corpus, asked, k, width).select("query_id", "id"), "exact", light=True)
+        for n in probes:
+            times, found = [], None
+            for part, size in zip(parts, sizes):
+                if size:
+                    began = time.perf_counter()
+                    own = materialize(index.search(part, k, n), "found", light=True)
+                    times.append(1000 * (time.perf_counter() - began) / size)
+                    found = own if found is None else found.unionByName(own)
+            if found is not None:
+                times.sort()
+                out.append((width, min(n or index.probes, index.cells), recall(found, exact).first().recall, round(median(times), 3), round(times[max(0, int(len(times) * 0.95) - 1)], 3)))
+    return spark.createDataFrame(out, "width int, probes int, recall double, median_ms double, p95_ms double")

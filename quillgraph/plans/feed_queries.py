@@ -34,6 +34,14 @@ def ann_index_recall(spark, sf_dir):
     return ann_index.report(index, corpus, corpus.filter("id % 20 = 0"), 10)
 
 
+@query()
+def ann_width_sweep(spark, sf_dir):
+    """Recall and time a query of indexes over leading dimensions, by the number of cells probed."""
+    corpus = _vectors(spark, sf_dir)
+    indexes = {w: ann_index.Index.build(corpus, _folder(spark, f"index-{w}"), w) for w in (32, 64)}
+    return ann_index.sweep(indexes, corpus, corpus.filter("id % 20 = 0"), 10, (4, None), 2)
+
+
 @query("SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, 0::BIGINT AS problems FROM embeddings WHERE embedding IS NOT NULL")
 def ann_index_catalogue(spark, sf_dir):
     """Rows and problems of an index that was built of some rows, took the others later, and is opened anew."""

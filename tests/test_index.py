@@ -72,6 +72,13 @@ def test_index_outlives_and_grows(spark, tmp_path):
     assert [tuple(r) for r in ann_index.Index(spark, folder).check().collect()] == [(part, cell, "missing")]
 
 
+def test_sweep(spark, vectors, tmp_path):
+    indexes = {w: ann_index.Index.build(vectors, str(tmp_path / str(w)), w) for w in (16, 64)}
+    rows = ann_index.sweep(indexes, vectors, vectors.filter("id % 50 = 0"), 5, (1, None), 2).collect()
+    assert [(r.width, r.probes) for r in rows] == [(16, 1), (16, indexes[16].probes), (64, 1), (64, indexes[64].probes)]
+    assert all(0 < r.median_ms and 0 < r.p95_ms for r in rows) and rows[3].recall >= 0.9 and rows[0].recall < rows[1].recall
+
+
 def test_index_of_nothing(spark, tmp_path):
     empty = frame(spark, [])
     index = ann_index.Index.build(empty, str(tmp_path / "e"), 8)
