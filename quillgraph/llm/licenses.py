@@ -220,14 +220,18 @@ class Template:
         self.low, self.high = ceil(self.size * least / (2 - least)), int(self.size * (2 - least) / least)
         # and a stretch that does shares this many bigrams
         self.need = max(1, ceil(least * (self.low + self.size) / 2))
+        # an identifier is held whole, and one that goes on behind a hyphen is another one
         # so short a wording also occurs within sentences that state no licence: it must be one by itself
-        self.alone = self.size < ALONE
+        self.words, self.named = words, words[:3] == ["spdx", "license", "identifier"]
+        self.alone = self.size < ALONE and not self.named
         self.marks, self.version = marks_of(words), version_of(words)
 
     def agrees(self, words: list[str], first: int, own: int) -> bool:
         """If a stretch has the template's distinguishing words and version; a version that goes on behind it counts too."""
         end = first + own + 1
         stretch = words[first:end]
+        if self.named:
+            return stretch == self.words
         if marks_of(stretch) != self.marks:
             return False
         return not self.version or version_of(stretch + words[end : end + 1] if stretch[-1][-1].isdigit() and words[end : end + 1] and words[end].isdigit() else stretch) == self.version
@@ -328,15 +332,18 @@ class Scanner:
         def agrees(x: tuple) -> bool:
             if x not in agreed:
                 template = self.templates[x[3]]
-                agreed[x] = template.agrees(words, x[2], -x[1]) and (not template.alone or whole(x[2], x[2] - x[1]))
+                agreed[x] = template.agrees(words, x[2], -x[1]) and (not template.alone or whole(x[2], x[2] - x[1])) and not (template.named and behind(x[2] - x[1]) == "-")
             return agreed[x]
 
-        def whole(first: int, last: int) -> bool:
+        def behind(last: int) -> str:
             if not spans:
                 spans.extend(m.span() for m in _WORD.finditer(low))
+            return low[spans[last][1] : spans[last + 1][0] if last + 1 < len(spans) else len(low)]
+
+        def whole(first: int, last: int) -> bool:
+            after = behind(last)
             before = low[spans[first - 1][1] if first else 0 : spans[first][0]]
-            behind = low[spans[last][1] : spans[last + 1][0] if last + 1 < len(spans) else len(low)]
-            return (not first or _STOP.search(before) is not None) and (last + 1 == len(spans) or _STOP.search(behind) is not None)
+            return (not first or _STOP.search(before) is not None) and (last + 1 == len(spans) or _STOP.search(after) is not None)
 
         after = {name for names in LONGER.values() for name in names}
         longer = sorted((x[2], x) for x in found if self.templates[x[3]].name in after)

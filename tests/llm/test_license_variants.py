@@ -61,6 +61,12 @@ def test_identifiers(name):
         assert [m[2] for m in licenses.scanner().scan(text)] == want
 
 
+def test_other_identifiers():
+    for text in ("SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: ISC-Veillard and more", "SPDX-License-Identifier: Foo", "the SPDX-License-Identifier: line"):
+        assert licenses.scanner().scan(text) == []
+    assert [m[2] for m in licenses.scanner().scan("code; // SPDX-License-Identifier: MIT and a remark")] == ["MIT"]
+
+
 def test_query_is_the_scanner(spark, odd_docs):
     """One row a row, nulls and repeated rows too; the best match is the highest, then the first."""
     texts = [t for _, t in MORE] + ["Released under the MIT License.\nSPDX-License-Identifier: ISC", "nothing here"]
