@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -107,9 +108,34 @@ def materialize(df: DataFrame, name: str = "step", light: bool = False) -> DataF
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false") if light else nullcontext():
         df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that `settled` will delete, one list for each of its calls that runs.
+_SCRATCH: list[list[str]] = []
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str = "settled") -> DataFrame:
+    """make()'s rows, written like those of `materialize`; all tables that it wrote on the way are deleted then.
+
+    For results that are small against what they are made of. make's result
+    must be all that goes on to be used: a table that it read while it was made is gone.
+    """
+    _SCRATCH.append([])
+    try:
+        result = materialize(make(), name, light=True)
+    finally:
+        made = _SCRATCH.pop()
+    if _SCRATCH:
+        _SCRATCH[-1].append(made[-1])
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in made[:-1]:
+        files(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files(path), True)
+    return result
+
+
 #: Rows of a narrow table that may be broadcast: some bytes each.
 BROADCAST_ROWS = 500_000
 

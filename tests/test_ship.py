@@ -29,3 +29,29 @@ def test_from_a_foreign_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", PROGRAM], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "rows 10" in done.stdout, done.stderr[-2000:]
+
+
+def test_settled_leaves_its_result_alone(spark):
+    """Tables that were written on the way are gone, those of before stay."""
+    import os
+
+    from quillgraph.runtime import materialize, settled, shared_dir
+
+    here = shared_dir(spark).removeprefix("file:")
+    before = materialize(spark.range(5), "before")
+    known = set(os.listdir(here))
+
+    def make():
+        inner = settled(lambda: materialize(before.filter("id > 1"), "deep"), spark, "inner")
+        return materialize(inner, "step").join(before, "id")
+
+    found = settled(make, spark, "found")
+    assert sorted(r.id for r in found.collect()) == [2, 3, 4] and before.count() == 5
+    assert [x.split("-")[0] for x in set(os.listdir(here)) - known] == ["found"]
+    with_error = set(os.listdir(here))
+    try:
+        settled(lambda: 1 / 0, spark)
+    except ZeroDivisionError:
+        pass
+    materialize(spark.range(1), "after")
+    assert {x.split("-")[0] for x in set(os.listdir(here)) - with_error} == {"after"}
