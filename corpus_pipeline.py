@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import exact_dedup, language_id, packing, quality, shingle_join
-from quillgraph.runtime import if_small, materialize
+from quillgraph.runtime import if_small, materialize, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text that needs more bits a byte than this under every language's model resembles none of them.
@@ -19,9 +21,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text")).alias("row"))
 
 
-def _kept(keyed: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of keyed that judged(row, kept) keeps, one of those that share ``row``, which share the verdict too."""
-    verdicts = materialize(judged.select("row", "kept"), "verdicts", light=True)
+def _kept(keyed: DataFrame, judge: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of keyed that judge()'s rows (row, kept) keep, one of those that share ``row``, which share the verdict too. What the judging wrote is deleted."""
+    verdicts = settled(lambda: judge().select("row", "kept"), keyed.sparkSession, "verdicts")
     dropped = materialize(verdicts.filter("not kept").select("row").distinct(), "dropped", light=True)
     left = keyed.join(if_small(dropped), "row", "left_anti")
     if not verdicts.filter("kept").groupBy("row").count().filter("count > 1").isEmpty():
@@ -44,13 +46,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     keyed = _keyed(docs)
-    return _kept(keyed, exact_dedup.exact_groups(keyed, key="row"))
+    return _kept(keyed, lambda: exact_dedup.exact_groups(keyed, key="row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that links of Jaccard similarity 0.8 or more over shingles of five words join."""
     keyed = _keyed(docs)
-    return _kept(keyed, shingle_join.near_duplicates(keyed, width=5, key="row"))
+    return _kept(keyed, lambda: shingle_join.near_duplicates(keyed, width=5, key="row"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
