@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import simhash
 from quillgraph.llm.common import documents, raw
 from quillgraph.operators.components import connected_components
-from quillgraph.runtime import if_small, materialize
+from quillgraph.runtime import discard, if_small, materialize, settled
 
 #: The least similarity, as a fraction of whole numbers: 4/5.
 OVER, UNDER = 4, 5
@@ -106,49 +106,105 @@ def _close(nodes: DataFrame) -> DataFrame:
 
 
 def _members(firsts: DataFrame) -> DataFrame:
-    """shingle, node, size, leader for the prefixes' shingles that several nodes have; leader is the smallest of them."""
+    """shingle, node, size, leader for the prefixes' shingles by which several nodes may be similar.
+
+    A pair's first common shingle is at a place in each set that leaves room for
+    all the others, so a node's place there bounds the other's size (``cap``).
+    Nodes of a shingle are taken by size, and a chain ends where none so far
+    reaches up to the next one; ``shingle`` names a chain, and chains of one node
+    go. leader is the node that each is compared with first: the first of those
+    in its chain of about its size, or for that one the node before it.
+    """
 
     def prefixes(batches):
         for batch in batches:
             found = batch.column("firsts").to_pylist()
-            n = [len(x) // 8 for x in found]
-            node, size = batch.column("node").to_numpy(), batch.column("size").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(found), np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(size, n))], ["shingle", "node", "size"])
-
-    def shared(batches):
-        # rows come by shingle and node; the last one waits for the next batch, as only that tells if it is alone
-        last, leader, alone = None, None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "node", "size")])
-            if last is not None:
-                rows = np.concatenate((last, rows), 1)
-            new = np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(0)))
-            rows = rows[:, new]
-            start = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
-            held = last is not None
-            first = rows[1, np.maximum.accumulate(np.where(start, np.arange(rows.shape[1]), 0))]
-            if held:
-                first[np.cumsum(start) == 1] = leader
-            end = np.concatenate((start[1:], [True]))
-            single = start & end
-            if held:
-                single[0] &= alone
-            leader, alone = first[-1], bool(single[-1])
-            last = rows[:, -1:]
-            keep = ~single
-            keep[-1] = False
-            yield out(rows[:, keep], first[keep])
-        if last is not None and not alone:
-            yield out(last, np.array([leader]))
-
-    def out(rows, first):
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(first)], ["shingle", "node", "size", "leader"])
+            n = np.array([len(x) // 8 for x in found], np.int64)
+            node, size = batch.column("node").to_numpy(), np.repeat(batch.column("size").to_numpy(), n).astype(np.int64)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [packed(np.frombuffer(b"".join(found), np.int64), size, most_size(size, place)), np.repeat(node, n), size.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "node", "size"])
 
     rows = firsts.select("node", "size", "firsts").mapInArrow(prefixes, "shingle long, node long, size int")
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "node")
-    return materialize(dealt.mapInArrow(shared, "shingle long, node long, size int, leader long"), "members")
+    shingle = F.col("shingle").bitwiseAND(~15)
+    dealt = rows.repartition(shingle).sortWithinPartitions(shingle, "size", "node")
+    return dealt.mapInArrow(_led, "shingle long, node long, size int, leader long")
+
+
+def most_size(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The size of the largest set that is similar to one of a size, if the first shingle that both have is at a place of its order."""
+    return (UNDER + OVER) * (size - place) // OVER - size
+
+
+def packed(shingle: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Shingles whose last four bits say in 32nds of its size how far a set reaches, rounded up; a column of its own would make each row a third longer to shuffle."""
+    return (shingle & ~15) | (-((size - most) * 32 // np.maximum(size, 1)) + 7)
+
+
+def unpacked(shingle: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles without those bits, and the greatest sizes."""
+    return shingle & ~15, size + ((shingle & 15) - 7) * size // 32
+
+
+def _chains(batches):
+    """(chain, node, size) arrays of `packed` rows(shingle, node, size) that come by shingle, size and node; those that reach none before or after are left out."""
+    last, top, low, name = None, -1, 0, 0  # of the row before: shingle and node, the shingle's greatest cap, its chain's least size and name
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shingle, node, size = (batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "node", "size"))
+        shingle, cap = unpacked(shingle, size)
+        rows = np.stack((shingle, node, size, cap))
+        twin = (rows[:2] == np.concatenate((rows[:2, :1] if last is None else last, rows[:2, :-1]), 1)).all(0)
+        twin[0] &= last is not None
+        rows = rows[:, ~twin]
+        if not rows.shape[1]:
+            continue
+        shingle, node, size, cap = rows
+        start = np.concatenate(([last is None or last[0, 0] != shingle[0]], shingle[1:] != shingle[:-1]))
+        if not start[0]:
+            cap[0], own = max(cap[0], top), cap[0]  # for what the shingle's rows after it see
+        reach = np.maximum.accumulate(cap + (np.cumsum(start) << 33)) - (np.cumsum(start) << 33)
+        before = np.concatenate(([top], reach[:-1]))
+        if not start[0]:
+            cap[0] = own
+        new = start | (before < size)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        least = np.where(first < 0, low, size[first])
+        chain = np.where(first < 0, name, np.where(start[first], shingle[first], shingle[first] ^ (node[first] * np.int64(0x1E3779B97F4A7C15))))
+        last, top, low, name = rows[:2, -1:], reach[-1], least[-1], chain[-1]
+        good = cap >= least
+        yield chain[good], node[good], size[good]
+
+
+def _led(batches):
+    """Batches of shingle (the chain), node, size, leader of chains of several nodes."""
+
+    def out(rows, leader):
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(leader)], ["shingle", "node", "size", "leader"])
+
+    # the last row waits for the next batch, as only that tells if it is alone
+    last, head, leader, alone = np.zeros((3, 0), np.int64), 0, 0, True
+    for found in _chains(batches):
+        held = last.shape[1] > 0
+        rows = np.concatenate((last, np.stack(found)), 1)
+        if rows.shape[1] == held:
+            continue
+        about = np.floor(np.log(rows[2]) / np.log(UNDER / OVER))
+        new = np.concatenate(([alone], rows[0, 1:] != rows[0, :-1]))
+        part = new | np.concatenate(([True], about[1:] != about[:-1]))
+        heads = rows[1, np.maximum.accumulate(np.where(part, np.arange(rows.shape[1]), 0))]
+        if held:
+            heads[np.cumsum(part) == 1] = head
+        led = np.where(part & ~new, np.concatenate((rows[1, :1], rows[1, :-1])), heads)
+        if held:
+            led[0] = leader
+        keep = ~(new & np.concatenate((new[1:], [True])))
+        keep[-1] = False
+        last, head, leader, alone = rows[:, -1:], heads[-1], led[-1], bool(new[-1])
+        yield out(rows[:, keep], led[keep])
+    if not alone:
+        yield out(last, np.array([leader]))
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,7 +250,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     if sets.count() > wanted.count():  # equal texts in several tasks
         sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     first, second = (sets.join(if_small(ends[c]), "node", "left_semi").select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "a"), ("v", "b")))
-    return materialize(left.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar")
+    return left.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -312,15 +368,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) ->
     rows = _named(rows)
     texts = rows.select("node", "text")
     firsts = _firsts(texts, width)
-    members = _members(firsts)
-    nodes = materialize(firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "fp"))), "nodes", light=True)
-    star = members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    star = materialize(star.unionByName(_close(nodes)).distinct(), "star", light=True)
-    links = _similar(_near(star, nodes), texts, width)
-    joined = materialize(connected_components(links), "joined", light=True)
+    spark = docs.sparkSession
+    members = settled(lambda: _members(firsts), spark, "members")
+    nodes = settled(lambda: firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "fp"))), spark, "nodes")
+    discard(firsts)
+    led = members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    star = settled(lambda: led.unionByName(_close(nodes)).distinct(), spark, "star")
+    links = settled(lambda: _similar(_near(star, nodes), texts, width), spark, "similar")
+    joined = settled(lambda: connected_components(links), spark, "joined")
     classes = members.select("shingle", "node", "size").join(if_small(joined), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
-    links = links.unionByName(_similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), texts, width))
-    found = connected_components(links)
+    more = settled(lambda: _similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), texts, width), spark, "similar")
+    found = settled(lambda: connected_components(links.unionByName(more)), spark, "found")
     ids = rows.select("doc_id", "row", "node").join(found, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
     ids = materialize(ids, "ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))

@@ -86,3 +86,45 @@ def test_unlike_texts_of_one_hash(edited, spark, monkeypatch, weak):
     docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
     found = sorted((str(r.doc_id), str(r.component_id)) for r in shingle_join.near_duplicates(docs).collect())
     assert found == sorted((str(i), str(c)) for (i, _), c in zip(edited, brute_jaccard(edited)))
+
+
+def test_members_have_a_partner_of_fitting_size(spark):
+    """Texts that share a shingle but are too unlike in size to be similar don't meet; those of one size do."""
+    line = "a line of words that all of these texts share in one place"
+    texts = [(n, " ".join(f"w{n}x{k}" for k in range(size)) + " " + line) for n, size in ((1, 5), (2, 90), (3, 900))]
+    alike = [(4, f"{texts[1][1]} end"), (5, f"{texts[1][1]} other end")]
+    names = lambda rows: {r.node for r in shingle_join._members(shingle_join._firsts(spark.createDataFrame(rows, "node long, text string"), 5)).collect()}
+    assert names(texts) == set()
+    assert names(texts + alike) == {2, 4, 5}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_chains_keep_all_fitting_pairs(batch):
+    """Nodes that may be similar by a shingle at their places stay in one of its chains, wherever batches are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(batch)
+    rows = []
+    for shingle in range(0, 60 * 16, 16):
+        for _ in range(rng.choice((1, 2, 2, 3, 12))):
+            size = rng.randrange(1, 400)
+            place = rng.randrange(size - -(-4 * size // 5) + 1)
+            rows.append((shingle, rng.randrange(10**6), size, int(shingle_join.most_size(np.array(size), np.array(place)))))
+    rows.sort(key=lambda r: (r[0], r[2], r[1]))
+    columns = [np.array(c) for c in zip(*rows)]
+    packed = shingle_join.packed(columns[0], columns[2], columns[3])
+    table = pa.table([pa.array(packed), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["shingle", "node", "size"])
+    kept = [r for found in shingle_join._led(iter(table.to_batches(max_chunksize=batch))) for r in found.to_pylist()]
+    chain = {}
+    for r in kept:
+        chain.setdefault(r["node"], set()).add(r["shingle"])
+    fitting = 0
+    for a, (s, u, n, reach) in enumerate(rows):
+        for t, v, m, other in rows[:a]:
+            if s == t and n <= other and m <= reach:
+                fitting += 1
+                assert chain[u] & chain[v]
+    assert fitting > 5 and len(kept) < len(rows)
+    whole = [r for found in shingle_join._led(iter(table.to_batches())) for r in found.to_pylist()]
+    assert kept == whole
