@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.operators.vector import matrix, recall, topk, unit
+from quillgraph.operators.vector import Nearest, blocks, matrix, recall, topk, unit
 from quillgraph.runtime import if_small, materialize
 from quillgraph.sources.manifest import Manifest
 
@@ -257,16 +257,12 @@ class Index:
         def estimate(batches):
             qid, q, who, first = asked.value
             model = shared.value
-            table = None
-            best = (np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            table, nearest = None, Nearest(len(qid), most)
+            for batch in blocks(batches, len(qid)):
                 if table is None:
                     table = model.products(q)
                 cells, own = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
                 codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                found = [best]
                 for cell in np.unique(cells):
                     asks = who[first[cell] : first[cell + 1]]
                     if not len(asks):
@@ -277,14 +273,10 @@ class Index:
                         guess += table[part][asks][:, codes[at, part]]
                     if not_self:
                         guess[qid[asks][:, None] == own[at][None, :]] = -np.inf
-                    row, column = np.nonzero(guess > -np.inf)
-                    found.append((asks[row].astype(np.int64), guess[row, column], own[at][column]))
-                row, guess, ids = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((ids, -guess, row))
-                row, guess, ids = row[order], guess[order], ids[order]
-                kept = np.arange(len(row)) - np.searchsorted(row, row) < most
-                best = row[kept], guess[kept], ids[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]].astype(np.int64)), pa.array(best[2]), pa.array(best[1].astype(np.float64))], ["query_id", "id", "guess"])
+                    row, column = np.nonzero((guess > -np.inf) & (-guess <= nearest.worst[asks][:, None]))
+                    nearest.offer(asks[row].astype(np.int64), -guess[row, column].astype(np.float64), own[at][column])
+            query, key, found = nearest.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(qid[query].astype(np.int64)), pa.array(found), pa.array(-key)], ["query_id", "id", "guess"])
 
         rows = self.rows()
         shelves = sorted({int(c) // self._shelf for c in np.unique(nearest)})

@@ -26,6 +26,36 @@ def test_matrix():
     assert vector.matrix(pa.array([[1.0, 2, 3], [4.0, 5, 6]], pa.list_(pa.float64())), 2).tolist() == [[1, 2], [4, 5]]
 
 
+def test_searches_hold_few_similarities(spark):
+    """What a task holds at once doesn't grow with the rows of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    q, rows = vector.unit(rng.normal(size=(2000, 8))), rng.normal(size=(20_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(list(rows))], ["id", "embedding"])
+    cells = vector.Cells(rows[:500], 8, 2)
+
+    class Corpus:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            tracemalloc.start()
+            found = list(run(iter([batch])))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return found[0], peak
+
+    far = -np.round(q @ vector.unit(rows).T, 6)
+    want = {(n, int(i)) for n in range(len(q)) for i in np.lexsort((np.arange(len(rows)), far[n]))[:3]}
+    for probed in ((), (cells, 8)):
+        found, peak = vector._top(spark, Corpus(), np.arange(len(q)), q, 3, 8, False, *probed)
+        assert set(zip(found["query_id"].to_pylist(), found["id"].to_pylist())) == want
+        assert peak < 200e6  # all similarities are 320 MB
+
+
 @pytest.fixture(scope="module")
 def vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
