@@ -126,6 +126,14 @@ def test_entities(spark):
     assert (1, 4) not in {(x.i, x.j) for x in resolve.matches(r, yes, marks).collect()}  # blocking never made the pair
 
 
+def test_boundary_pairs_of_one_gap(spark):
+    """Rows of one pair that lie as far on both sides of the threshold give the less similar one, however they come."""
+    rows = [("blue bolt", "blue bolt w1", x) for x in (0.89, 0.87)]
+    for order in (rows, rows[::-1]):
+        scored = spark.createDataFrame(order, "a string, b string, similarity double").coalesce(1)
+        assert [r.similarity for r in resolve.boundary_pairs(scored).collect()] == [0.87]
+
+
 def test_mined_pairs(spark):
     chunks = spark.createDataFrame([('We are Blue River Mining ("Blue") today.',)], "text string")
     names = spark.createDataFrame([("blue river mining",), ("blue",)], "norm string")
