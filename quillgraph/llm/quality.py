@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import documents
-from quillgraph.runtime import materialize
+from quillgraph.runtime import if_small, materialize
 
 #: Buckets of hashed n-grams, and what is added to each one's counts.
 BUCKETS, SMOOTH = 1 << 16, 0.5
-#: Trusted rows that the target's counts come from, and as many that the threshold comes from.
-TRUSTED = 6000
 #: Grams of no weight that are added to each text, so that a short one isn't judged by a few.
 PRIOR = 40
 #: Standard deviations below the mean of trusted texts at which a text is rejected.
@@ -41,11 +39,9 @@ def _hashed(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:
-    """doc_id, role ('fit' or 'hold') of a sample of about 2 * TRUSTED of the rows of labels(doc_id, quality) with quality 1."""
+    """doc_id, role of every row of labels(doc_id, quality) with quality 1: by a hash, half of them are to 'fit' and half to 'hold'."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rate = min(1.0, 2 * TRUSTED / max(1, good.count()))
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    return good.filter(hashed < int(rate * (1 << 30))).select("doc_id", F.when(hashed % 2 == 0, "fit").otherwise("hold").alias("role"))
+    return good.select("doc_id", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, "fit").otherwise("hold").alias("role"))
 
 
 def _weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -54,7 +50,7 @@ def _weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = (
         _hashed(docs)
         .select("doc_id", "hashes")
-        .join(F.broadcast(fit), "doc_id", "left")  # about TRUSTED ids
+        .join(if_small(fit), "doc_id", "left")
         .select("target", F.explode(F.expr(f"concat({SINGLES}, {PAIRS})")).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("target").alias("target"))
@@ -74,15 +70,15 @@ def _scored(docs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(weights, threshold) from all rows of docs and a bounded sample of those that labels trust.
+    """(weights, threshold) from all rows of docs and all of those that labels trust.
 
-    Half of the sample gives the target's counts; the threshold is DEVIATIONS
+    Half of the trusted rows give the target's counts; the threshold is DEVIATIONS
     standard deviations below the mean score of the other half. Without trusted
     rows nothing is rejected by it.
     """
     trusted = materialize(trusted_rows(labels), "trusted")
     weights = _weights(docs, trusted)
-    held = _hashed(docs.join(F.broadcast(trusted.filter("role = 'hold'").select(F.col("doc_id"))), "doc_id", "left_semi"))  # about TRUSTED ids
+    held = _hashed(docs.join(if_small(trusted.filter("role = 'hold'").select(F.col("doc_id"))), "doc_id", "left_semi"))
     mean, spread = _scored(held, weights).agg(F.avg("llr"), F.stddev_pop("llr")).first()
     return weights, float("-inf") if mean is None else mean - DEVIATIONS * spread
 

@@ -382,3 +382,11 @@ def test_shards_are_whole(monkeypatch):
         assert np.concatenate([n for _, n in out]).tolist() == list(range(400))
         suffixes = [set((g >> np.uint64(8) & np.uint64(0xFFFF)).tolist()) for g, _ in out]
         assert sum(map(len, suffixes)) == len(set().union(*suffixes))
+
+
+def test_all_trusted_rows_are_learned_from(spark):
+    from quillgraph.llm import quality
+
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 10 > 0 AS INT) AS quality")
+    roles = {r.role: r["count"] for r in quality.trusted_rows(labels.union(labels)).groupBy("role").count().collect()}
+    assert sum(roles.values()) == 27_000 and min(roles.values()) > 13_000
