@@ -21,6 +21,9 @@ DIGITS = 9
 class Inverted:
     """Postings of texts(id, words array) in a folder.
 
+    Texts of the same words are one: it has the smallest of their ids, as no other
+    of them can be the best, and counts as often as they are.
+
     postings: word, level, id, size, weight - the share that the word gives the
     text's score; level says in which LEVELS-th of the word's greatest weight it
     lies. words: word, df, most (its greatest weight) and first, the text that
@@ -43,9 +46,10 @@ class Inverted:
         rows = texts.select("id", "words").filter("id is not null and size(words) > 0").withColumn("size", F.size("words"))
         total = rows.agg(F.count("*"), F.avg("size")).first()
         n, average = total[0], total[1] or 1.0
-        counted = rows.select("id", "size", F.explode("words").alias("word")).groupBy("id", "size", "word").agg(F.count("*").alias("tf"))
+        same = rows.groupBy(F.sort_array("words").alias("words"), "size").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        counted = same.select("id", "size", "copies", F.explode("words").alias("word")).groupBy("id", "size", "copies", "word").agg(F.count("*").alias("tf"))
         counted = materialize(counted, "counted", light=True)
-        df = counted.groupBy("word").agg(F.count("*").alias("df"))
+        df = counted.groupBy("word").agg(F.sum("copies").alias("df"))
         weight = F.round(F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / average)), DIGITS)
         weighed = materialize(counted.join(df, "word").select("word", "df", "id", "size", weight.alias("weight")), "weighed", light=True)
         first = F.min_by("id", F.struct(-F.col("weight"), F.col("size"), F.col("id")))
@@ -79,8 +83,17 @@ class Inverted:
         whose greatest weights together stay below that can't find a better text,
         and neither can a light posting of a word that the greatest weights of
         all others don't lift that far. What is left is met by word and level.
+        Questions of the same words are searched for once.
         """
-        words = materialize(asked.select("q", F.explode(F.array_distinct("words")).alias("word")).distinct().join(self.words, "word"), "asked", light=True)
+        every = asked.filter("q is not null").groupBy("q").agg(F.sort_array(F.array_compact(F.array_distinct(F.flatten(F.collect_list("words"))))).alias("words"))
+        every = materialize(every, "questions", light=True)
+        alike = materialize(every.groupBy("words").agg(F.min("q").alias("first")), "alike", light=True)
+        best = self._best(alike.select(F.col("first").alias("q"), F.explode("words").alias("word")))
+        return every.join(alike.join(best, F.col("first") == F.col("q")).select("words", "id", "score"), "words").select("q", "id", "score")
+
+    def _best(self, asked: DataFrame) -> DataFrame:
+        """The rows of `best` for the different questions of asked(q, word)."""
+        words = materialize(asked.join(self.words, "word"), "asked", light=True)
         lists = self._lists(words)
         lead = self._scores(words.select("q", F.col("first").alias("id")).distinct(), words, lists)
         reached = lead.groupBy("q").agg(F.max("score").alias("reached"))

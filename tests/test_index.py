@@ -174,6 +174,19 @@ def test_common_words_do_not_fan_out(spark, tmp_path):
     assert {r.q: r.id for r in best.collect()} == {q: i for q, (i, _) in brute_bm25([(r.id, r.words) for r in texts.collect()], [(1, ["inc", "w701"]), (2, ["inc", "w33"])]).items()}
 
 
+def test_same_texts_and_questions_are_met_once(spark, tmp_path):
+    """Copies of a text have one entry a word but all count, and copies of a question don't meet the texts again."""
+    kinds = [["inc", "a", "b"], ["b", "inc", "a"], ["inc", "c"], ["inc", "a", "a"], ["rare"]]
+    texts = [(n, kinds[n % 4]) for n in range(7, 600)] + [(3, kinds[4])]
+    asked = [(n, [["inc", "a"], ["a", "inc", "a"], ["c"], ["rare", "b"], ["none"]][n % 5]) for n in range(100)]
+    index = Inverted.build(spark.createDataFrame(texts, "id long, words array<string>"), str(tmp_path / "t"))
+    assert index.postings.count() == 8
+    met, own = [], Inverted._scores
+    index._scores = lambda pairs, words, lists: met.append(pairs.count()) or own(index, pairs, words, lists)
+    found = {r.q: (r.id, round(r.score, 6)) for r in index.best(spark.createDataFrame(asked, "q long, words array<string>")).collect()}
+    assert found == brute_bm25(texts, asked) and max(met) <= 12
+
+
 def test_names_by_full_text(spark):
     """A rare word outweighs two common ones, which a count of shared words has the other way round."""
     names = [(str(n), f"Pacific Holding {chr(97 + n % 26)}{chr(97 + n // 26)}x", [], 1) for n in range(60)] + [("rare", "Zanzibar Mining", ["ZM"], 1), ("both", "Pacific Holding Mining", [], 1)]
