@@ -225,7 +225,7 @@ def _listed(spark, sf_dir):
 
 @query(f"WITH {LISTED} SELECT * FROM listed")
 def listed_pairs(spark, sf_dir):
-    return _listed(spark, sf_dir).distinct()
+    return _listed(spark, sf_dir)
 
 
 @query(f"""WITH {LISTED}, h AS (SELECT s_name AS a, n_name AS b, s_suppkey % 2 = 0 AS same FROM s WHERE s_suppkey % 10 = 0), d AS (SELECT p_name AS a, p_name || ' w' || p_partkey AS b FROM part WHERE p_partkey % 40 = 0),

@@ -146,6 +146,22 @@ def test_mined_pairs(spark):
     assert sum(r.source == "hand" for r in mined) == 1 and not any(r.source == "alias-declaration" for r in mined) and 1 <= sum(r.source.startswith("ex21") for r in mined) <= 3
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_repeated_names_of_a_list_meet_once(spark, monkeypatch, block):
+    """Each pair is one row, however often its names are repeated in a list or in others."""
+    monkeypatch.setattr(resolve, "LIST", block)
+    names = [f"n{k % 7}" for k in range(40)] + ["last", None, "F"]
+    got = [tuple(r) for r in resolve.listed_pairs(spark.createDataFrame([("c", "F", names), ("d", "G", ["n0", "n1", "new"])], "chunk_id string, filer string, names array<string>")).collect()]
+    want = {("F", n, "ex21-parent") for n in names if n and n != "F"}
+    want |= {(a, b, "ex21-sibling") for k, a in enumerate(names) for b in names[k + 1 :]}
+    want |= {("G", n, "ex21-parent") for n in ("n0", "n1", "new")} | {("n0", "new", "ex21-sibling"), ("n1", "new", "ex21-sibling")}
+    assert sorted(got, key=str) == sorted(want, key=str)
+    mined = resolve.mine_pairs(*[spark.createDataFrame([], "a string, b string, same boolean")] * 2, spark.createDataFrame(got, "a string, b string, source string"), 10)
+    places = sorted(want, key=lambda r: tuple(x or "" for x in r))
+    stride = [places[int(i * len(places) / 10)] for i in range(10)]
+    assert {frozenset((r.a, r.b)) for r in mined.collect()} == {frozenset((a, b)) for a, b, _ in stride if a and b and a != b}
+
+
 def test_components_of_long_chain_and_star(spark):
     rows = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1400)] + [(5, 5), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "u long, v long")).collect()}
