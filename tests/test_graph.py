@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import text as X
 from quillgraph.operators import components, context, evals, graph, logs, models, questions, resolve, routing, vector
 from quillgraph.operators.ask import ask
 from quillgraph.operators.components import connected_components
@@ -146,6 +147,22 @@ def test_mined_pairs(spark):
     assert sum(r.source == "hand" for r in mined) == 1 and not any(r.source == "alias-declaration" for r in mined) and 1 <= sum(r.source.startswith("ex21") for r in mined) <= 3
 
 
+def test_candidate_pairs_are_made_once(spark):
+    """Pairs that share several keys are one row, without a shuffle of pairs; overrides hold in either order."""
+    names = ["Acme Works North", "Acme Works North", "Acme Works", "AWN", "Acme Mill", "Zed", "zed", "Acme Works North"]
+    records = spark.createDataFrame([(n, "C" if n < 7 else "D", s) for n, s in enumerate(names)], "id long, type string, surface string").withColumn("norm", X.normalize("surface"))
+    keys = {r.id: {(r.type, k) for k in r.keys} for r in records.select("id", "type", X.blocking_keys("norm", "surface").alias("keys")).collect()}
+    want = sorted((i, j) for i in keys for j in keys if i < j and keys[i] & keys[j])
+    pairs = resolve.candidates(records)
+    assert sorted((r.i, r.j) for r in pairs.collect()) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
+    side = resolve.with_overrides(records, spark.createDataFrame([("Zed", "Acme Mill", True), ("Acme Works", "Acme Mill", False)], "a string, b string, same boolean"))
+    a, b = (side.select(F.col("id").alias(c), F.struct("norm", "ours", "theirs").alias(c + "r")) for c in "ab")
+    found = a.join(b, F.col("a") != F.col("b")).withColumn("same", resolve.overridden("ar", "br")).filter("same is not null")
+    assert sorted((r.a, r.b, r.same) for r in found.collect()) == [(2, 4, False), (4, 2, False), (4, 5, True), (4, 6, True), (5, 4, True), (6, 4, True)]
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_repeated_names_of_a_list_meet_once(spark, monkeypatch, block):
     """Each pair is one row, however often its names are repeated in a list or in others."""
