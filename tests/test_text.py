@@ -170,3 +170,12 @@ def test_quoted(spark, monkeypatch, letters):
     assert sorted(map(tuple, validate.quoted(*frames).collect())) == want
     for empty in ((frames[0].limit(0), frames[1]), (frames[0], frames[1].limit(0))):
         assert validate.quoted(*empty).count() == 0
+
+
+def test_folding_looks_for_no_long_class_of_letters(spark):
+    """Texts are asked for one short class of letters only, and every letter that folds still does."""
+    letters = [c for c in [*X._OTHER, *X._SEVERAL, "a", "Z", "é"]]
+    folded = spark.createDataFrame([(c, f"Ab {c} {c}") for c in letters], "c string, t string").select("c", X.fold("t").alias("t"))
+    assert {r.c: r.t for r in folded.collect()} == {c: f"ab {c.casefold()} {c.casefold()}" for c in letters}
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and X._OTHER[0] not in plan.split("RLIKE")[1].split(" THEN ")[0]
