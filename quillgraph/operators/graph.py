@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import materialize
+from quillgraph.runtime import if_small, materialize, numbered
 from quillgraph.schemas import closed
 
 
@@ -134,6 +134,10 @@ def neighbourhood_counts(edges: DataFrame, anchors: DataFrame, nodes: DataFrame,
 BLOCK = 512
 #: Objects, those with most subjects, whose pairs are counted first, as a multiple of the pairs wanted.
 LEAD = 4
+#: Pairs that make a task's work, where they are listed and where they are counted; tasks that either is dealt over at most.
+LISTED, COUNTED, MOST_LISTING, MOST_COUNTING = 2_000_000, 1_000_000, 1_000, 10_000
+#: Subjects from which on an object's pairs are dealt over several tasks.
+BUSY = 4096
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -151,6 +155,38 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["subject_id", "row", "column"]).filter("a < b").select("subject_id", "a", "b")
 
 
+def _pair_counts(links: DataFrame) -> DataFrame:
+    """a, b, n: for a < b how many subjects links(subject_id, o, first) has with both, where a is ``first`` in its links; o are whole numbers.
+
+    A subject's objects are one list, a long one blocks that meet two by two as
+    in `_met`. Each object goes to its task with the lists that it is in, so that
+    a pair takes a number's bytes of the shuffle and is counted where it is made.
+    """
+    sizes = links.groupBy("subject_id").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts"))
+    sizes = materialize(sizes.filter("firsts > 0"), "sizes", light=True)
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("firsts")) / 2, F.lit(0.0))).first()[0]
+    tasks = lambda each, most: int(max(1, min(most, pairs // each)))  # noqa: E731 - said outright, as few links may give many pairs
+    cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    long = materialize(sizes.filter(F.col("n") > BLOCK).select("subject_id", cut("firsts").alias("rows"), cut("n").alias("columns")), "blocks", light=True)
+    busy = materialize(links.groupBy("o").agg(F.count("*").alias("n")).filter(F.col("n") > BUSY).select(F.col("o").alias("a"), F.ceil(F.col("n") / BUSY).cast("int").alias("parts")), "busy", light=True)
+
+    tile = lambda row, column, own, other: F.struct(row.alias("row"), column.alias("column"), own.alias("own"), other.alias("other"))
+    yes, no, none = F.lit(True), F.lit(False), F.lit(0)
+    row, column = F.pmod(F.xxhash64("o"), "rows").cast("int"), F.pmod(F.xxhash64(F.lit(1), "o"), "columns").cast("int")
+    own = F.when(F.col("first"), F.transform(F.sequence(none, F.col("columns") - 1), lambda c: tile(row, c, yes, no)))
+    other = F.transform(F.sequence(none, F.col("rows") - 1), lambda r: tile(r, column, no, yes))
+    tiles = F.when(F.col("columns").isNull(), F.array(tile(none, none, F.col("first"), yes))).when(F.col("first"), F.concat(own, other)).otherwise(other)
+    placed = links.join(if_small(long), "subject_id", "left").select("subject_id", "o", F.explode(tiles).alias("t")).select("subject_id", "t.row", "t.column", "o", "t.own", "t.other")
+    lists = placed.repartition(tasks(LISTED, MOST_LISTING), "subject_id", "row", "column").groupBy("subject_id", "row", "column")
+    lists = lists.agg(F.collect_list(F.when(F.col("own"), F.col("o"))).alias("own"), F.collect_list(F.when(F.col("other"), F.col("o"))).alias("others"))
+    after = lists.select(F.explode("own").alias("a"), "others").select("a", F.filter("others", lambda b: b > F.col("a")).alias("others")).filter(F.size("others") > 0)
+
+    share = lambda part, others: F.struct(part.alias("part"), others.alias("others"))
+    shares = F.when(F.col("parts").isNull(), F.array(share(none, F.col("others")))).otherwise(F.transform("others", lambda b: share(F.pmod(F.xxhash64(b), "parts").cast("int"), F.array(b))))
+    dealt = after.join(if_small(busy), "a", "left").select("a", F.explode(shares).alias("s")).select("a", "s.part", "s.others").repartition(tasks(COUNTED, MOST_COUNTING), "a", "part")
+    return dealt.select("a", "part", F.explode("others").alias("b")).groupBy("a", "part", "b").agg(F.count("*").alias("n")).select("a", "b", "n")
+
+
 def shared_neighbour(edges: DataFrame, predicate: str, allowed, most: int, examples: int = 3) -> DataFrame:
     """a, b, n, examples: pairs of objects of one relation by the subjects that they share, the most shared first, then by a and b.
 
@@ -158,8 +194,8 @@ def shared_neighbour(edges: DataFrame, predicate: str, allowed, most: int, examp
     either has. So pairs among those that have most are counted first; the last
     of the best ``most`` of them bounds what can still come before it: objects
     with as many subjects at least, and of objects with just as many only pairs
-    that come before it in order. Long lists of a subject are cut into blocks
-    (`_met`); counts are summed in tasks first. examples are a pair's first
+    that come before it in order. Pairs aren't shuffled one by one: objects
+    meet the lists that they are in (`_pair_counts`). examples are a pair's first
     subjects, of which no task holds more than it shows.
     """
     e = materialize(edges.filter(F.col("predicate") == closed(predicate, allowed)).select("subject_id", "object_id").distinct(), "links", light=True)
@@ -178,17 +214,19 @@ def shared_neighbour(edges: DataFrame, predicate: str, allowed, most: int, examp
 
     lead = ranked(_met(*sides(few)))
     last = lead.orderBy("n", F.desc("a"), F.desc("b")).first() if lead.count() == most else None
-    if last is None:
-        top = ranked(_met(*sides(e)))
-    else:
-        known = e.join(degree.filter(F.col("degree") >= last.n), "object_id")
-        kind = known.schema["object_id"].dataType
-        bound = lambda v: F.lit(v).cast(kind)
-        left = known.filter((F.col("degree") > last.n) | (F.col("object_id") <= bound(last.a))).select("subject_id", F.col("object_id").alias("a"))
-        pairs = _met(left, known.select("subject_id", F.col("object_id").alias("b")))
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-        before = (F.col("n") > last.n) | (F.col("n") == last.n) & ((F.col("a") < bound(last.a)) | (F.col("a") == bound(last.a)) & (F.col("b") <= bound(last.b)))
-        top = materialize(counted.filter(before).orderBy(F.desc("n"), "a", "b").limit(most), "top", light=True)
+    # numbers in the order of the objects stand for them while pairs are counted
+    places = materialize(numbered(degree if last is None else degree.filter(F.col("degree") >= last.n), ["object_id"]), "places", light=True)
+    kind = "int" if places.count() < 1 << 31 else "long"
+    first, before = F.lit(True), F.lit(True)
+    if last is not None:
+        at = {r.object_id: r.place for r in places.filter(F.col("object_id").isin(last.a, last.b)).collect()}
+        a, b = at[last.a], at[last.b]
+        first = (F.col("degree") > last.n) | (F.col("place") <= a)
+        before = (F.col("n") > last.n) | (F.col("n") == last.n) & ((F.col("a") < a) | (F.col("a") == a) & (F.col("b") <= b))
+    known = materialize(e.join(places, "object_id").select("subject_id", F.col("place").cast(kind).alias("o"), first.alias("first")), "numbered", light=True)
+    best = materialize(_pair_counts(known).filter(before).orderBy(F.desc("n"), "a", "b").limit(most), "best", light=True)
+    name = lambda c: F.broadcast(best.select(c).distinct()).join(places.select(F.col("place").cast(kind).alias(c), F.col("object_id").alias(f"{c}_id")), c)
+    top = materialize(best.join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "n"), "top", light=True)
     ends = top.select(F.explode(F.array("a", "b")).alias("object_id")).distinct()  # twice ``most`` at most
     shown = _met(*sides(e.join(F.broadcast(ends), "object_id", "left_semi"))).join(F.broadcast(top.select("a", "b")), ["a", "b"])
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("subject_id"))

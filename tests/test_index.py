@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import shutil
 from collections import Counter, defaultdict
 
@@ -246,3 +247,16 @@ def test_counts_at_a_hub(spark):
     assert (r.n, r.examples, r.chunk_ids) == (15_000, [f"name {k:06d}" for k in range(8)], ["000000", "000001", "000002"])
     plan = graph.neighbourhood_counts(edges, spark.createDataFrame([(-1,)], "id long"), nodes, cites=3)._jdf.queryExecution().toString()
     assert "collect_set" not in plan and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("block,busy", [(512, 4096), (4, 4096), (3, 5)])
+def test_pairs_are_counted_where_lists_meet(spark, monkeypatch, block, busy):
+    """Lists go to their objects' tasks, hubs on either side are dealt over several, and no pair is shuffled."""
+    for name, value in (("BLOCK", block), ("BUSY", busy), ("LISTED", 50), ("COUNTED", 50)):
+        monkeypatch.setattr(graph, name, value)
+    rng = random.Random(block)
+    links = sorted({(rng.randrange(20), min(rng.randrange(50), rng.randrange(50))) for _ in range(400)})
+    counted = graph._pair_counts(spark.createDataFrame([(s, o, o % 3 > 0) for s, o in links], "subject_id long, o int, first boolean"))
+    assert {(r.a, r.b): r.n for r in counted.collect()} == {k: n for k, (n, _) in brute_shared(links, 10_000).items() if k[0] % 3 > 0}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(a#\d+L?, part#", plan) and not re.search(r"hashpartitioning\([^)]*\bb#", plan)
