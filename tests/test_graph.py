@@ -9,6 +9,7 @@ from quillgraph.functions import text as X
 from quillgraph.operators import components, context, evals, graph, logs, models, questions, resolve, routing, vector
 from quillgraph.operators.ask import ask
 from quillgraph.operators.components import connected_components
+from quillgraph.runtime import materialize
 from quillgraph.schemas import ontology
 from quillgraph.sources import jsonl, sections
 from quillgraph.streaming import claims, merge
@@ -517,3 +518,16 @@ def test_numbers_over_partitions(spark):
     rows = numbered(df, ["x", "y"]).orderBy("place").collect()
     assert [r.place for r in rows] == list(range(52)) and [r.x for r in rows] == [None, None, *range(50)]
     assert [r.x for r in questions.sample_strided(df.filter("x is not null"), ["x"], 5).orderBy("x").collect()] == [0, 10, 20, 30, 40]
+
+
+def test_equal_names_are_linked_not_paired(spark):
+    """100 copies of a name are 99 links instead of 4950 pairs; classes are those of all pairs, whatever keys are too full and whatever an override says of a norm and itself."""
+    names = ["Ash Stone"] * 100 + ["Ash Stone Inc.", "ASI", "Ash Stones", "Birch Hill", "Birch Hill", "Elm Ltd", "Elm Inc"] + ["Oak Pond Holdings"] * 3 + ["Oak Pond"] * 6
+    records = spark.createDataFrame([(i, "Company", n) for i, n in enumerate(names)], "id long, type string, surface string").withColumn("norm", X.normalize("surface"))
+    side = materialize(resolve.with_overrides(records, spark.createDataFrame([("Birch Hill", "Birch Hill", False)], "a string, b string, same boolean")))
+    for most in (400, 100, 8):
+        found = lambda equal: resolve.candidate_pairs(side, ["norm", "surface", "ours", "theirs"], most, equal).withColumn("rule", resolve.rule("a", "b", resolve.overridden("a", "b"), F.lit(1.0), F.array().cast("array<string>"))).filter("rule is not null").select("i", "j")  # noqa: B023, E731
+        classes = lambda m: {tuple(r) for r in connected_components(m.select(F.col("i").alias("u"), F.col("j").alias("v"))).collect()}
+        every, links = found(True), found(False).unionByName(resolve.equals(side, most))
+        assert classes(links) == classes(every)
+        assert most < 400 or every.count() > 4950 and resolve.equals(side, most).count() == 100 + 1 + 8
