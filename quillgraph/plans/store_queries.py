@@ -247,7 +247,7 @@ def declared_aliases(spark, sf_dir):
     long, short = F.concat(_text("Acme N", k), F.lit(" Works")), F.get(F.array(*[F.lit(x) for x in ("Works", "Acme", "Other", "Anw")]), (k % 4).cast("int"))
     quote = F.when(k % 5 < 2, '"').otherwise("")
     chunks = table(spark, sf_dir, "part").select(F.concat(F.lit("we buy from "), long, F.lit(" ( "), quote, short, quote, F.lit(") a lot")).alias("text"))
-    names = table(spark, sf_dir, "part").filter(k % 3 != 0).select(X.normalize(long).alias("norm")).union(spark.createDataFrame([("works",), ("acme",), ("other",), ("anw",)], "norm string"))
+    names = table(spark, sf_dir, "part").filter(k % 3 != 0).select(X.normalize(long).alias("norm")).union(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("works", "acme", "other", "anw")]))))
     return resolve.declared_pairs(chunks, names)
 
 

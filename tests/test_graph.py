@@ -9,6 +9,7 @@ from quillgraph.functions import text as X
 from quillgraph.operators import components, context, evals, graph, logs, models, questions, resolve, routing, vector
 from quillgraph.operators.ask import ask
 from quillgraph.operators.components import connected_components
+from quillgraph.plans import store_queries
 from quillgraph.runtime import materialize
 from quillgraph.schemas import ontology
 from quillgraph.sources import jsonl, sections
@@ -531,3 +532,8 @@ def test_equal_names_are_linked_not_paired(spark):
         every, links = found(True), found(False).unionByName(resolve.equals(side, most))
         assert classes(links) == classes(every)
         assert most < 400 or every.count() > 4950 and resolve.equals(side, most).count() == 100 + 1 + 8
+
+
+def test_declared_aliases_start_no_python(spark, sf_dir):
+    plan = store_queries.query.queries["declared_aliases"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan
