@@ -41,7 +41,8 @@ def verify(nodes: DataFrame, edges: DataFrame, passages: DataFrame, chunks: Data
     that isn't there or of which cells are missing or changed.
 
     Every table is scanned once: figures are observed while the pass writes the
-    ids that the joins need.
+    ids that the joins need. Passages come first, so that of the evidence only
+    the ids looked up are written.
     """
     spark, path = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/gate-{uuid.uuid4().hex}"
     names = [r[0] for r in relations]
@@ -49,19 +50,22 @@ def verify(nodes: DataFrame, edges: DataFrame, passages: DataFrame, chunks: Data
     known = {"edges": F.count(F.lit(1)), "loops": F.count_if(F.col("subject_id") == F.col("object_id")), "unknown": F.count_if(~F.col("predicate").isin(names))} | per
     seen_edges, of_edges = _observed(edges, known)
     text = lambda c: F.col(c).cast("string")
+    whole = {"passages": F.count(F.lit(1))} | {f"lacking_{v}": F.count_if(F.col(v).isNull()) for v in vectors}
+    seen_passages, of_passages = _observed(passages, whole)
+    several = seen_passages.filter(F.size("entity_ids") > ENTITIES).select(text("chunk_id").alias("id")).orderBy("id").limit(LOOKED_UP)
+    several = [r.id for r in materialize(several, "several", light=True).collect()]
+    looked_up = len(several)
+
     mark = lambda kind, i: F.struct(F.lit(kind).alias("kind"), i.cast("string").alias("id"))
-    marks = F.concat(F.array(mark("node", F.col("subject_id")), mark("node", F.col("object_id"))), F.transform("chunk_ids", lambda i: mark("chunk", i)))
+    cited = F.filter("chunk_ids", lambda i: i.cast("string").isin(several))
+    marks = F.concat(F.array(mark("node", F.col("subject_id")), mark("node", F.col("object_id"))), F.transform(cited, lambda i: mark("chunk", i)))
     seen_edges.select(F.explode(marks).alias("m")).select("m.*").distinct().write.partitionBy("kind").parquet(path)
     touched = spark.read.schema("id string, kind string").parquet(path)
 
     seen_nodes, of_nodes = _observed(nodes, {"nodes": F.count(F.lit(1))})
     alone = seen_nodes.select(text("id").alias("id")).join(touched.filter("kind = 'node'").select("id"), "id", "left_anti").count()
-    whole = {"passages": F.count(F.lit(1))} | {f"lacking_{v}": F.count_if(F.col(v).isNull()) for v in vectors}
-    seen_passages, of_passages = _observed(passages, whole)
-    several = seen_passages.filter(F.size("entity_ids") > ENTITIES).select(text("chunk_id").alias("id")).orderBy("id").limit(LOOKED_UP)
-    several = materialize(several, "several", light=True)
-    joined = several.join(touched.filter("kind = 'chunk'").select("id"), "id", "left_semi").count()
-    looked_up = several.count()
+    hits = {r.id for r in touched.filter("kind = 'chunk'").select("id").collect()}  # LOOKED_UP at most
+    joined = sum(i in hits for i in several)
 
     e, n, p = of_edges(), of_nodes(), of_passages()
     figures = {"nodes": n["nodes"], "edges": e["edges"], "loops": e["loops"], "orphans": alone, "passages": p["passages"], "chunks": chunks.count(), "looked_up": looked_up, "joined": joined}

@@ -1,5 +1,6 @@
 """Streams, sources, bucketed tables, calls over tables, the gate and closed schemas."""
 
+import glob
 import json
 import os
 import random
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import ann_index, chat, gate, logs, strict
+from quillgraph.runtime import shared_dir
 from quillgraph.sources.feeds import EventLines, Filings
 from quillgraph.sources.manifest import Manifest
 from quillgraph.streaming import supersede
@@ -229,6 +231,17 @@ def test_gate_names_each_breach(spark, tmp_path):
     assert gate.verify(**none, **GATE)[1] == ["empty relation: R", "empty relation: S"]
 
 
+def test_gate_writes_only_the_evidence_looked_up(spark):
+    """Passages of one id count each; ids that no lookup asks for aren't written, however many edges cite them."""
+    good, old = stores(spark), set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/gate-*"))
+    edges = spark.createDataFrame([("a", "R", "b", ["1", *map(str, range(10, 500))]), ("b", "S", "c", ["3"])], good["edges"].schema)
+    passages = good["passages"].unionByName(good["passages"].filter("chunk_id = '1'"))
+    figures, _ = gate.verify(**(good | {"edges": edges, "passages": passages}), **GATE)
+    assert (figures["looked_up"], figures["joined"], figures["edges"]) == (2, 2, 2)
+    (path,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/gate-*")) - old
+    assert [(r.id, r.kind) for r in spark.read.schema("id string, kind string").parquet(path).filter("kind = 'chunk'").collect()] == [("1", "chunk")]
+
+
 SCHEMA = {
     "type": "object",
     "$defs": {"Place": {"type": "object", "properties": {"x": {"type": "number"}}, "required": ["x"]}},
