@@ -78,9 +78,24 @@ def superseded(log: DataFrame, keys: list[str], order: list[str], stale: Column,
     kinds = {f.name: f.dataType for f in log.schema.fields}
     plain = lambda c: F.unix_micros(c) if isinstance(kinds[c], T.TimestampType) else F.col(c)
     rows = log.select(*keys, *[plain(c).alias(f"order__{n}") for n, c in enumerate(order)], F.to_json(F.struct(*fields), _STAMP).alias("payload"), F.coalesce(stale, F.lit(False)).alias("stale"))
+    if keep is None:
+        return _by_aggregate(rows, keys, [f"order__{n}" for n in range(len(order))])
     state = T.StructType([rows.schema[f"order__{n}"] for n in range(len(order))])
     out = T.StructType([*[rows.schema[k] for k in keys], T.StructField("payload", T.StringType()), T.StructField("evicted", T.BooleanType())])
-    return rows.groupBy(*keys).transformWithStateInPandas(_Latest(keys, state, keep), out, "Update", "None" if keep is None else "ProcessingTime")
+    return rows.groupBy(*keys).transformWithStateInPandas(_Latest(keys, state, keep), out, "Update", "ProcessingTime")
+
+
+def _by_aggregate(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What `_Latest` gives where no key is forgotten, by an aggregation: its state takes no message a key to and from Python.
+
+    The time of a micro-batch is a row's last order, so that of equal orders the
+    later arrival counts, and tells whether a key's latest row came with this batch.
+    """
+    known = lambda c: F.when(~F.isnan(c), F.col(c)) if isinstance(rows.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)
+    timed = rows.withColumn("arrived", F.current_timestamp())
+    last = timed.groupBy(*keys).agg(F.max_by(F.struct("payload", "stale", "arrived"), F.struct(*[known(c).alias(c) for c in order], "arrived")).alias("last"))
+    changed = last.filter(F.col("last.arrived") == F.current_timestamp())
+    return changed.select(*keys, F.col("last.payload").alias("payload"), F.col("last.stale").alias("evicted"))
 
 
 def current(changes: DataFrame, keys: list[str], number: str, log_schema: T.StructType) -> DataFrame:

@@ -65,6 +65,21 @@ def test_superseded_is_the_replay(spark, tmp_path, seed):
     assert "gone" not in {r.k for r in got.collect()}
 
 
+def test_superseded_changes(spark, tmp_path):
+    """A change is one row, an older row none; of equal orders the later arrival counts, and what has no order comes first."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", supersede.PROVIDER)
+    kind, out = "k string, at double, note string", []
+    batches = [[("a", 2.0, "first"), ("b", float("nan"), "none"), ("c", 5.0, "stays")], [("a", 2.0, "later"), ("b", 0.5, "some"), ("c", 4.0, "old")], [("a", 1.0, "old"), ("b", None, "old"), ("c", 6.0, "x")]]
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, kind).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        log = spark.readStream.schema(kind).parquet(str(tmp_path / "in/*"))
+        changes = supersede.superseded(log, ["k"], ["at"], F.col("note") == "x")
+        query = changes.writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend((n, r.k, json.loads(r.payload)["note"], r.evicted) for r in b.collect()))
+        query.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        assert "WithState" not in changes._jdf.queryExecution().analyzed().toString()
+    assert sorted(x[1:] for x in out) == sorted([("a", "first", False), ("b", "none", False), ("c", "stays", False), ("a", "later", False), ("b", "some", False), ("c", "x", True)])
+
+
 def test_bucketed_rewrites_what_a_batch_touches(spark, tmp_path):
     table = Bucketed(spark, str(tmp_path / "t"), "id long, n long", ["id"], 8)
     add = lambda old, new: old.unionByName(new).groupBy("id").agg(F.sum("n").alias("n"))
