@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import numbered
+from quillgraph.runtime import materialize, numbered
 from quillgraph.schemas import closed
 
 
+#: Edges of a relation whose names are looked up first, as a multiple of the questions wanted.
+LEAD = 64
+
+
 def one_hop(edges: DataFrame, names: DataFrame, templates: DataFrame, per_predicate: int = 2, order: list[Column] | None = None) -> DataFrame:
     """question, gold_chunk_ids, expected_answers, predicate, hops from edges and templates(predicate, template, side).
 
-    A few edges of each relation, by ``order`` or a hash of their ends; both ends need names.
+    A few edges of each relation, by ``order`` of edges' columns or a hash of their ends; both ends need names.
     side is the end that answers; null for none.
+
+    Each relation's first edges meet the names, so that edges aren't shuffled;
+    all edges do only if of some relation too few of the first have names.
     """
     s = names.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"))
     o = names.select(F.col("id").alias("object_id"), F.col("name").alias("object"))
     w = Window.partitionBy("predicate").orderBy(*(order or [F.xxhash64("subject_id", "object_id")]), "subject_id", "object_id")
-    few = edges.join(F.broadcast(templates), "predicate").join(s, "subject_id").join(o, "object_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_predicate)
+    asked = edges.join(F.broadcast(templates.select("predicate").distinct()), "predicate", "left_semi")
+    lead = materialize(asked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= LEAD * per_predicate), "lead", light=True)
+    named = materialize(F.broadcast(F.broadcast(lead).join(s, "subject_id")).join(o, "object_id"), "named", light=True)
+    have = named.groupBy("predicate").agg(F.count_distinct("_n").alias("have"))
+    short = lead.groupBy("predicate").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAD * per_predicate).join(have, "predicate", "left").filter(F.coalesce("have", F.lit(0)) < per_predicate)
+    if not short.isEmpty():
+        named = asked.join(s, "subject_id").join(o, "object_id")
+    few = named.join(F.broadcast(templates), "predicate").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_predicate)
     text = F.replace(F.replace("template", F.lit("{subject}"), F.col("subject")), F.lit("{object}"), F.col("object"))
     expected = F.when(F.col("side") == "object", F.array("object")).when(F.col("side") == "subject", F.array("subject")).otherwise(F.array().cast("array<string>"))
     return few.select(text.alias("question"), F.col("chunk_ids").alias("gold_chunk_ids"), expected.alias("expected_answers"), "predicate", F.lit(1).cast("long").alias("hops"))

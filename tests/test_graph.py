@@ -559,3 +559,18 @@ def test_edges_of_keys_are_those_of_facts(spark, sf_dir, tmp_path, monkeypatch,
     some = want.join(few.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("subject_id")), "subject_id", "left_semi").filter("predicate = 'BOUGHT'")
     assert told(tpch_graph.supports(spark, str(tmp_path), "BOUGHT", buyers=few)) == told(some.select(*ends))
     assert lines == 500_000 or tpch_graph.edges(spark, str(tmp_path), "SUPPLIES").rdd.getNumPartitions() == max(8, -(-spark.read.parquet(f"{tmp_path}/lineitem.parquet").count() // lines))
+
+
+@pytest.mark.parametrize("lead", [64, 1])
+def test_questions_are_from_the_first_named_edges(spark, monkeypatch, lead):
+    """Also where the first edges have no names, a name is listed twice or a relation has two templates; edges go to no join's shuffle while enough of the first have names."""
+    monkeypatch.setattr(questions, "LEAD", lead)
+    rows = [edge(f"s{i:03}", p, f"o{i % 7}", *map(str, range(n))) for p in ("P", "Q") for i, n in enumerate([9, 8, 8, 8, 7] + [1] * 200)]
+    names = spark.createDataFrame([*((f"s{i:03}", f"S{i}") for i in range(205) if i not in (0, 1)), ("s002", "S2"), *((f"o{i}", f"O{i}") for i in range(7))], "id string, name string")
+    templates = spark.createDataFrame([("P", "{subject}?", None), ("Q", "{object}?", None), ("Q", "{subject}, {object}?", "object")], "predicate string, template string, side string")
+    made = []
+    monkeypatch.setattr(questions, "materialize", lambda df, name, light: made.append(materialize(df, name, light=light)) or made[-1])
+    mined = questions.one_hop(spark.createDataFrame(rows, EDGE), names, templates, 3, [F.desc("support")])
+    found = sorted(r.question for r in mined.collect())
+    assert [q for q in found if q.startswith("S") and "," not in q] == ["S2?", "S2?", "S3?"] and len(found) == 6 and set(found) <= {"S2?", "S3?", "O2?", "S2, O2?"}
+    assert [t.count() for t in made] == ([2 * 192, 2 * 191] if lead == 64 else [2 * 3, 2 * 2])
