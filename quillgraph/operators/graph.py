@@ -76,28 +76,61 @@ def merge_passages(old: DataFrame, new: DataFrame, vectors: list[str], key: str
     return o.join(new.withColumn("_new", F.lit(True)).alias("n"), key, "full").select(*columns)
 
 
-def paths(edges: DataFrame, anchors: DataFrame, chain: list[str], allowed, per_anchor: int = 200) -> DataFrame:
+def paths(edges: DataFrame, anchors: DataFrame, chain: list[str], allowed, per_anchor: int = 200, tasks: int | None = None, small: tuple[str, ...] = ()) -> DataFrame:
     """anchor, node_1…node_n, total_support, min_support, rank: directed walks along a chain of relations.
 
     No edge repeats within a walk; nodes may. The strongest per_anchor walks of
     each anchor by summed support, ties by the nodes' ids.
+
+    Where no relation comes twice, walks are counted before they are made: how
+    many tails of what support a first node has tells which first nodes, at
+    which total, can still be among an anchor's strongest, and only their tails are met.
+    tasks: over how many a hop is dealt, by its edges, where that should not be
+    left to the shuffle partitions. small: relations whose edges may go to every task.
     """
-    walk = anchors.select(F.col("id").alias("anchor"), F.col("id").alias("node_0"))
-    for k, predicate in enumerate(chain, 1):
-        hop = edges.filter(F.col("predicate") == closed(predicate, allowed)).select(
+
+    def hop(k: int) -> DataFrame:
+        return edges.filter(F.col("predicate") == closed(chain[k - 1], allowed)).select(
             F.col("subject_id").alias(f"node_{k - 1}"), F.col("object_id").alias(f"node_{k}"), F.coalesce("support", F.lit(1)).cast("long").alias(f"support_{k}")
         )
-        walk = walk.join(hop, f"node_{k - 1}")
-        for j in range(1, k):
-            if chain[j - 1] == predicate:
-                walk = walk.filter((F.col(f"node_{j - 1}") != F.col(f"node_{k - 1}")) | (F.col(f"node_{j}") != F.col(f"node_{k}")))
-    supports = [F.col(f"support_{k}") for k in range(1, len(chain) + 1)]
-    nodes = [f"node_{k}" for k in range(1, len(chain) + 1)]
-    walk = walk.withColumns({"total_support": reduce(Column.__add__, supports), "min_support": supports[0] if len(supports) == 1 else F.least(*supports)})
+
+    def met(walk: DataFrame, k: int) -> DataFrame:
+        if chain[k - 1] in small:
+            return walk.join(F.broadcast(hop(k)), f"node_{k - 1}")
+        return walk.join(_dealt(hop(k), tasks, f"node_{k - 1}"), f"node_{k - 1}")
+
+    supports, nodes = [f"support_{k}" for k in range(1, len(chain) + 1)], [f"node_{k}" for k in range(1, len(chain) + 1)]
+    walk = met(anchors.select(F.col("id").alias("anchor"), F.col("id").alias("node_0")), 1)
+    if len(set(chain)) == len(chain) > 1:
+        tails = _dealt(hop(2), tasks, "node_1")
+        for k in range(3, len(chain) + 1):
+            tails = met(tails, k)
+        rest = reduce(Column.__add__, map(F.col, supports[1:]))
+        counts = tails.select("node_1", rest.alias("rest")).groupBy("node_1", "rest").agg(F.count("*").alias("n"))
+        sums = _dealt(walk, tasks, "node_1").join(counts, "node_1").withColumn("total", F.col("support_1") + F.col("rest"))
+        # walks up to those of one first node and total, and these alone; edges of the same ends count together
+        upto = F.sum("n").over(Window.partitionBy("anchor").orderBy(F.desc("total"), "node_1"))
+        own = F.sum("n").over(Window.partitionBy("anchor", "total", "node_1"))
+        walk = sums.withColumns({"upto": upto, "own": own}).filter(F.col("upto") - F.col("own") < per_anchor).select("anchor", "node_1", "support_1", "rest")
+        # equal supports are asked for as a range, as a key of their own would deal all tails anew
+        tails = tails.withColumns({"first": F.col("node_1"), "tail": rest}).drop("node_1")
+        walk = _dealt(walk, tasks, "node_1").join(tails, (F.col("node_1") == F.col("first")) & (F.col("tail") >= F.col("rest")) & (F.col("tail") <= F.col("rest")))
+    else:
+        for k in range(2, len(chain) + 1):
+            walk = met(walk, k)
+            for j in range(1, k):
+                if chain[j - 1] == chain[k - 1]:
+                    walk = walk.filter((F.col(f"node_{j - 1}") != F.col(f"node_{k - 1}")) | (F.col(f"node_{j}") != F.col(f"node_{k}")))
+    walk = walk.withColumns({"total_support": reduce(Column.__add__, map(F.col, supports)), "min_support": F.col(supports[0]) if len(supports) == 1 else F.least(*supports)})
     order = Window.partitionBy("anchor").orderBy(F.desc("total_support"), *nodes)
     return walk.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= per_anchor).select("anchor", *nodes, "total_support", "min_support", "rank")
 
 
+def _dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """rows dealt by keys over so many tasks; as they are if that is left open."""
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
 def neighbourhood(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """anchor, outbound, neighbour and the edge in its stored direction, for every edge that touches an anchor; a loop once."""
     a = anchors.select(F.col("id").alias("anchor"))

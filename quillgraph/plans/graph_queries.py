@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import context, graph, routing
 from quillgraph.plans import tpch_graph as G
 from quillgraph.plans.registry import Registry
+from quillgraph.runtime import BROADCAST_ROWS, if_small
 
 query = Registry()
 WITH = "WITH " + G.FACTS_SQL
@@ -59,12 +60,11 @@ def path_nation_region(spark, sf_dir):
     return graph.paths(G.edges(spark, sf_dir, "LIVES_IN", "PART_OF"), _anchors(spark, sf_dir, "c"), ["LIVES_IN", "PART_OF"], G.NAMES, 20)
 
 
-def _undirected(spark, sf_dir):
-    """Purchases read backwards as one more relation, so that a walk can go out and come back."""
-    e = G.edges(spark, sf_dir, "BOUGHT", "SUPPLIES", "BASED_IN", "PART_OF")
+def _undirected(spark, sf_dir, buyers):
+    """Purchases of buyers, and supplies read backwards as one more relation, so that a walk can go out and come back."""
+    e = G.supports(spark, sf_dir, "BOUGHT", "SUPPLIES", "BASED_IN", "PART_OF", buyers=buyers)
     back = e.filter("predicate = 'SUPPLIES'").select(F.col("object_id").alias("subject_id"), F.lit("SUPPLIED_BY").alias("predicate"), F.col("subject_id").alias("object_id"), "support")
-    ends = ["subject_id", "predicate", "object_id", "support"]
-    return e.select(*ends).unionByName(back.select(*ends))
+    return e.unionByName(back)
 
 
 THREE = _paths_sql("c", ["BOUGHT", "SUPPLIED_BY", "BASED_IN"], 50).replace(" walks AS (", " both_ways AS (SELECT s, p, o, support FROM edges UNION ALL SELECT o, 'SUPPLIED_BY', s, support FROM edges WHERE p = 'SUPPLIES'), walks AS (").replace("FROM edges e1", "FROM both_ways e1").replace("JOIN edges e", "JOIN both_ways e")
@@ -72,7 +72,10 @@ THREE = _paths_sql("c", ["BOUGHT", "SUPPLIED_BY", "BASED_IN"], 50).replace(" wal
 
 @query(THREE)
 def path_three_hop(spark, sf_dir):
-    return graph.paths(_undirected(spark, sf_dir), _anchors(spark, sf_dir, "c"), ["BOUGHT", "SUPPLIED_BY", "BASED_IN"], (*G.NAMES, "SUPPLIED_BY"), 50)
+    # purchases of others than the anchors are in no walk, so they are left out before they are gathered
+    buyers = G.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % ANCHOR == 0).select("c_custkey")
+    small = ("BASED_IN",) if G.table(spark, sf_dir, "supplier").count() <= BROADCAST_ROWS else ()
+    return graph.paths(_undirected(spark, sf_dir, if_small(buyers)), _anchors(spark, sf_dir, "c"), ["BOUGHT", "SUPPLIED_BY", "BASED_IN"], (*G.NAMES, "SUPPLIED_BY"), 50, G.line_tasks(spark, sf_dir), small)
 
 
 WALK = WITH + f""", a AS (SELECT 's:' || s_suppkey AS anchor FROM supplier WHERE s_suppkey % {ANCHOR} = 0 UNION ALL SELECT 'n:' || n_nationkey FROM nation),

@@ -539,6 +539,27 @@ def test_declared_aliases_start_no_python(spark, sf_dir):
     assert "ExistingRDD" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("tasks,small", [(None, ()), (3, ("R",))])
+def test_strongest_walks_are_those_of_all_walks(spark, tasks, small):
+    """Whatever ties there are and however often an edge is listed; tails of first nodes that can't be among the strongest are not met."""
+    chance = random.Random(5)
+    rows = [(f"{a}{chance.randrange(n)}", p, f"{b}{chance.randrange(m)}", chance.choice([1, 1, 1, 2, None])) for p, a, n, b, m in (("P", "a", 4, "b", 12), ("Q", "b", 12, "c", 12), ("R", "c", 12, "d", 5)) for _ in range(60)]
+    walks = {}
+    for a, p, b, x in rows:
+        for b2, q, c, y in rows:
+            for c2, r, d, z in rows if (p, q, b2) == ("P", "Q", b) else ():
+                if (r, c2) == ("R", c):
+                    s = [v or 1 for v in (x, y, z)]
+                    walks.setdefault(a, []).append((-sum(s), b, c, d, min(s)))
+    edges = spark.createDataFrame(rows, "subject_id string, predicate string, object_id string, support long")
+    for most in (1, 7, 40):
+        found = graph.paths(edges, ids(spark, "a0", "a1", "a2"), ["P", "Q", "R"], ["P", "Q", "R"], most, tasks, small)
+        got = sorted((r.anchor, r["rank"], -r.total_support, r.node_1, r.node_2, r.node_3) for r in found.collect())
+        assert got == [(a, k, *w[:4]) for a in ("a0", "a1", "a2") for k, w in enumerate(sorted(walks[a])[:most], 1)]
+        if most == 40:
+            assert all(r.min_support in {w[4] for w in walks[r.anchor] if w[:4] == (-r.total_support, r.node_1, r.node_2, r.node_3)} for r in found.collect())
+
+
 @pytest.mark.parametrize("lines", [500_000, 300])
 def test_edges_of_keys_are_those_of_facts(spark, sf_dir, tmp_path, monkeypatch, lines):
     """Also where keys are null and lines come twice; with more lines than a task groups, tasks grow with them."""
