@@ -20,7 +20,7 @@ OVER, UNDER = 4, 5
 SAMPLE, COMMON = 20_000, 200_000
 #: Pairs whose sketches a task compares at once.
 HOLD = 1 << 18
-#: Bits of a sketch.
+#: Bits of a sketch; larger sets have a wide one too.
 BITS = 1024
 #: Bits in which fingerprints may differ that BK-trees look for.
 RADIUS = 4
@@ -41,9 +41,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+def sketch(shingles: np.ndarray, bits: int = BITS) -> bytes:
     """The parity of how many shingles fall on each bit: two sets differ in at least as many shingles as their sketches in bits."""
-    return np.packbits(np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def wide(shingles: np.ndarray) -> bytes:
+    """A sketch of at least a bit for each shingle, as BITS can't tell sets of twice as many apart; empty for sets of up to BITS."""
+    return sketch(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > BITS else b""
+
+
+def wide_alike(a: bytes, b: bytes, sizes: int) -> bool:
+    """If wide sketches of sets of so many shingles together allow the similarity; the larger one is folded to the bits of the other."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    if not len(x) or not len(y):
+        return True
+    while len(x) != len(y):
+        x, y = (z[: len(z) // 2] ^ z[len(z) // 2 :] if len(z) > len(other) else z for z, other in ((x, y), (y, x)))
+    return (UNDER + OVER) * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (UNDER - OVER) * sizes
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -75,7 +90,7 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _firsts(texts: DataFrame, width: int) -> DataFrame:
-    """node, size, sketch, fp (the SimHash), firsts (the prefix, 8 bytes a shingle) of each text's set."""
+    """node, size, sketch, wide (sketch), fp (the SimHash), firsts (the prefix, 8 bytes a shingle) of each text's set."""
     model = texts.sparkSession.sparkContext.broadcast(_common(texts, width))
 
     def run(batches):
@@ -87,13 +102,14 @@ def _firsts(texts: DataFrame, width: int) -> DataFrame:
                     batch.column("node"),
                     pa.array([len(x) for x in sets], pa.int32()),
                     pa.array([sketch(x) for x in sets], pa.binary()),
+                    pa.array([wide(x) for x in sets], pa.binary()),
                     pa.array(np.array([simhash.print_of(x) for x in hashes], np.uint64).view(np.int64)),
                     pa.array([prefix(x, *model.value).tobytes() for x in sets], pa.binary()),
                 ],
-                ["node", "size", "sketch", "fp", "firsts"],
+                ["node", "size", "sketch", "wide", "fp", "firsts"],
             )
 
-    return materialize(texts.mapInArrow(run, "node long, size int, sketch binary, fp long, firsts binary"), "firsts")
+    return materialize(texts.mapInArrow(run, "node long, size int, sketch binary, wide binary, fp long, firsts binary"), "firsts")
 
 
 def _close(nodes: DataFrame) -> DataFrame:
@@ -226,8 +242,22 @@ def _alike(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (UNDER + OVER) * np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= (UNDER - OVER) * sizes.astype(np.int64)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs(u, v) of similar sets, which are made again from the texts."""
+def _wider(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs(u, v) whose wide sketches, where both sets have one, allow the similarity too."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sizes")))
+            yield batch.select(["u", "v"]).filter(pa.array([a is None or b is None or wide_alike(a, b, n) for a, b, n in rows], pa.bool_()))
+
+    large = nodes.filter(F.col("size") > BITS)
+    first, second = (large.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    both = pairs.join(first, "u", "left").join(second, "v", "left").select("u", "v", "a", "b", (F.col("size_u") + F.col("size_v")).alias("sizes"))
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs(u, v) of similar sets, which are made again from the texts for the pairs that no wide sketch rules out."""
 
     def sets_of(batches):
         seen: set[int] = set()  # of wanted nodes: a task passes each on once
@@ -243,7 +273,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             good = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    left = materialize(pairs, "near")
+    left = materialize(_wider(pairs, nodes), "near")
     ends = {c: materialize(left.select(F.col(c).alias("node")).distinct(), "ends", light=True) for c in ("u", "v")}
     wanted = materialize(ends["u"].union(ends["v"]).distinct(), "wanted", light=True)
     sets = materialize(texts.join(if_small(wanted), "node", "left_semi").mapInArrow(sets_of, "node long, shingles binary"), "sets")
@@ -370,14 +400,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str | None = None) ->
     firsts = _firsts(texts, width)
     spark = docs.sparkSession
     members = settled(lambda: _members(firsts), spark, "members")
-    nodes = settled(lambda: firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "fp"))), spark, "nodes")
+    nodes = settled(lambda: firsts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "wide", "fp"))), spark, "nodes")
     discard(firsts)
     led = members.filter("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v"))
     star = settled(lambda: led.unionByName(_close(nodes)).distinct(), spark, "star")
-    links = settled(lambda: _similar(_near(star, nodes), texts, width), spark, "similar")
+    links = settled(lambda: _similar(_near(star, nodes), nodes, texts, width), spark, "similar")
     joined = settled(lambda: connected_components(links), spark, "joined")
     classes = members.select("shingle", "node", "size").join(if_small(joined), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("class"))
-    more = settled(lambda: _similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), texts, width), spark, "similar")
+    more = settled(lambda: _similar(_across(classes, nodes).join(star, ["u", "v"], "left_anti"), nodes, texts, width), spark, "similar")
     found = settled(lambda: connected_components(links.unionByName(more)), spark, "found")
     ids = rows.select("doc_id", "row", "node").join(found, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
     ids = materialize(ids, "ids")

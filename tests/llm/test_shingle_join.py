@@ -128,3 +128,37 @@ def test_chains_keep_all_fitting_pairs(batch):
     assert fitting > 5 and len(kept) < len(rows)
     whole = [r for found in shingle_join._led(iter(table.to_batches())) for r in found.to_pylist()]
     assert kept == whole
+
+
+def test_long_unlike_texts_are_told_apart_by_sketches(spark, monkeypatch):
+    """Whole sets are made for the pairs of similar texts only, also where a plain sketch has fewer bits than the sets shingles."""
+    rng = random.Random(8)
+    line = " ".join(f"shared{k}" for k in range(150))
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (4000, 4100, 4200)]
+    texts.append(texts[2][:2000] + ["edited"] + texts[2][2001:] + [f"w{k}" for k in range(200)])
+    rows = [(n, f"{line if n < 2 else ''} {' '.join(t)}") for n, t in enumerate(texts)]  # what more than two have comes last, so they wouldn't meet there
+    written, seen = shingle_join.materialize, []
+
+    def watched(df, name="step", light=False):
+        found = written(df, name, light)
+        seen.extend(found.count() for _ in range(name == "near"))
+        return found
+
+    monkeypatch.setattr(shingle_join, "materialize", watched)
+    found = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 1), (2, 2), (3, 2)]
+    assert sum(seen) == 1
+
+
+def test_wide_sketches_rule_out_no_similar_sets():
+    """Sets on both sides of a doubling of the bits are compared at the fewer bits; the bound holds for any two sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size, other in ((1024, 1100), (2000, 2100), (2048, 2049), (4000, 4900), (1100, 1375)):
+        every = np.unique(rng.integers(0, 2**63, 2 * (size + other)).astype(np.uint64))
+        for both in (0, size // 2, size):
+            a, b = np.sort(every[:size]), np.sort(np.concatenate((every[:both], every[size : size + other - both])))
+            allowed = shingle_join.wide_alike(shingle_join.wide(a), shingle_join.wide(b), size + other)
+            assert allowed or not shingle_join.similar(a, b)
+            assert not (allowed and both == 0 and size > 1024)
